@@ -49,11 +49,11 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str], out: str, e
     ``df`` is read twice, so give it checkpointed. ``extra`` (one row for each of ``keys``) adds columns.
     """
     salts = salts or max(8, 2 * partitions_of(df.sparkSession))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sub = [*keys, "_salt"]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*sub).orderBy(F.xxhash64(*order), *order)) - 1)
-    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy(*sub).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    salted = df.withColumn("_pos_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sub = [*keys, "_pos_salt"]
+    ranked = salted.withColumn("_pos_rank", F.row_number().over(Window.partitionBy(*sub).orderBy(F.xxhash64(*order), *order)) - 1)
+    before = Window.partitionBy(*keys).orderBy("_pos_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*sub).agg(F.count("*").alias("_pos_n")).withColumn("_pos_start", F.coalesce(F.sum("_pos_n").over(before), F.lit(0))).drop("_pos_n")
     if extra is not None:
         starts = starts.join(extra, keys)
-    return ranked.join(starts, sub).withColumn(out, (F.col("_start") + F.col("_rank")).cast("long")).drop("_salt", "_rank", "_start")
+    return ranked.join(starts, sub).withColumn(out, (F.col("_pos_start") + F.col("_pos_rank")).cast("long")).drop("_pos_salt", "_pos_rank", "_pos_start")

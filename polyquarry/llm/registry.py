@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "urlfilter", "simhash")
+MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing")
 
 
 def _gather(kind: str) -> dict:
