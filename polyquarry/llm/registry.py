@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing")
+MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing", "knn")
 
 
 def _gather(kind: str) -> dict:
