@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing", "knn")
+MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing", "knn", "langid")
 
 
 def _gather(kind: str) -> dict:
