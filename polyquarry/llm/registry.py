@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing", "knn", "langid", "licenses", "lm")
+MODULES = ("sharding", "mixing", "urlfilter", "simhash", "packing", "knn", "langid", "licenses", "lm", "gif")
 
 
 def _gather(kind: str) -> dict:
