@@ -19,8 +19,11 @@ TILE = 2048
 # --- fingerprints
 
 
-def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,)):
-    """XXH64 of each run of ``width`` words (all words, if fewer) of the A-Z-lower-cased text, a column for each seed."""
+def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,), repeats: bool = True):
+    """XXH64 of each run of ``width`` words (all words, if fewer) of the A-Z-lower-cased text, a column for each seed.
+
+    ``repeats``: whether a run counts as often as it occurs, or once.
+    """
     import numpy as np
     from xxhash import xxh64_intdigest
 
@@ -32,6 +35,8 @@ def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         grams = [joined[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    if not repeats:
+        grams = list(dict.fromkeys(grams))
     return np.array([[xxh64_intdigest(g, s) for s in seeds] for g in grams], dtype=np.uint64).reshape(len(grams), len(seeds))
 
 
@@ -58,7 +63,7 @@ def majority_bits(hashes, first_on_tie: bool = False):
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1, first_on_tie: bool = False, out: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1, first_on_tie: bool = False, repeats: bool = True, out: str = "fp") -> DataFrame:
     """``docs`` without ``text`` and with ``words`` longs ``out``0.. : SimHash fingerprints of the whole texts.
 
     Null, empty and blank texts have fingerprint zero; a column of that name is replaced.
@@ -76,7 +81,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: i
             at = batch.schema.get_field_index(text)
             made = np.empty((batch.num_rows, words), dtype=np.uint64)
             for i, value in enumerate(batch.column(at)):
-                made[i] = majority_bits(shingle_hashes(value.as_py(), shingle, seeds), first_on_tie)
+                made[i] = majority_bits(shingle_hashes(value.as_py(), shingle, seeds, repeats), first_on_tie)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(made[:, i].view(np.int64)) for i in range(words))], names=[*kept, *names])
 
@@ -188,44 +193,46 @@ def block_plan(count: int, radius: int, bits: int = 64, tile: int = TILE) -> tup
 
 
 def near_links(prints: DataFrame, names: list[str], radius: int, total_radius: int, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect what is within reach: first word within ``radius`` bits, all within ``total_radius``.
+    """Links (a, b) that connect what is within reach: some word within ``radius`` bits, all words together within ``total_radius``.
 
     ``prints``: distinct fingerprints, long columns ``names``, checkpointed; ``_id`` names each. The links are
     spanning forests of the pairs, one for each bucket's tile pair, so a group of n gives about n links a bucket, not n^2.
-    Buckets are keyed by parts of the first word and lose no pair; those of over ``tile`` rows are split into tiles,
+    Buckets are keyed by parts of a word and lose no pair; those of over ``tile`` rows are split into tiles,
     and every two tiles meet in a task of their own.
     """
     count = prints.count()
     widths, t = block_plan(count, radius)
     starts = [sum(widths[:i]) for i in range(len(widths))]
+    # only as many key bits as buckets of the tile's size need
+    need = max(1, math.ceil(math.log2(max(2, 4 * count / tile))))
     keys = []
-    word = F.col(names[0])
-    for number, chosen in enumerate(combinations(range(len(widths)), t)):
-        # only as many key bits as buckets of the tile's size need
-        need, key = max(1, math.ceil(math.log2(max(2, 4 * count / tile)))), F.lit(number).cast("long")
-        for i in chosen:
-            take = min(widths[i], -(-need // t))
-            key = key * F.lit(1 << take) + F.shiftrightunsigned(word, starts[i]).bitwiseAND(F.lit((1 << take) - 1))
-        keys.append(key)
-    spread = prints.select("_id", *names, F.explode(F.array(*keys)).alias("_key"))
+    for number, name in enumerate(names):
+        for chosen in combinations(range(len(widths)), t):
+            key = F.lit(len(keys)).cast("long")
+            for i in chosen:
+                take = min(widths[i], -(-need // t))
+                key = key * F.lit(1 << take) + F.shiftrightunsigned(F.col(name), starts[i]).bitwiseAND(F.lit((1 << take) - 1))
+            keys.append(F.struct(F.lit(number).alias("w"), key.alias("k")))
+    spread = prints.select("_id", *names, F.explode(F.array(*keys)).alias("_at")).select("_id", *names, F.col("_at.w").alias("_w"), F.col("_at.k").alias("_key"))
     sizes = spread.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > tile)
     tiled = spread.join(sizes, "_key", "left").withColumn("_tiles", F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(tile)).cast("int"))
     tiled = tiled.withColumn("_own", F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_tiles")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda o: F.struct(F.least(o, F.col("_own")).alias("i"), F.greatest(o, F.col("_own")).alias("j")))
-    placed = tiled.select("_key", "_own", "_id", *names, F.explode(others).alias("_pair")).select("_key", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"), "_own", "_id", *names)
+    placed = tiled.select("_w", "_key", "_own", "_id", *names, F.explode(others).alias("_pair"))
+    placed = placed.select("_w", "_key", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"), "_own", "_id", *names)
 
     def compare(key, part):
         import numpy as np
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
+        word, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
         ids, own = part["_id"].to_numpy(), part["_own"].to_numpy()
         values = np.stack([part[n].to_numpy().view(np.uint64) for n in names], axis=1)
         left, right = (np.nonzero(own == x)[0] for x in (i, j))
         parents = np.arange(len(ids))
         for at in range(0, len(left), 512):
             mine = left[at : at + 512]
-            q, d = within_radius(values[mine, 0], values[right, 0], radius)
+            q, d = within_radius(values[mine, word], values[right, word], radius)
             a, b = mine[q], right[d]
             keep = a != b
             if len(names) > 1 and len(a):
@@ -237,11 +244,20 @@ def near_links(prints: DataFrame, names: list[str], radius: int, total_radius: i
         order = np.nonzero(parents != np.arange(len(ids)))[0]
         return pa.table({"a": ids[order], "b": ids[parents[order]]})
 
-    return placed.groupBy("_key", "_i", "_j").applyInArrow(compare, "a long, b long")
+    return placed.groupBy("_w", "_key", "_i", "_j").applyInArrow(compare, "a long, b long")
 
 
 def near_groups(
-    docs: DataFrame, key: str, text: str = "text", shingle: int = 4, words: int = 1, radius: int = 4, total_radius: int | None = None, first_on_tie: bool = False, tile: int = TILE
+    docs: DataFrame,
+    key: str,
+    text: str = "text",
+    shingle: int = 4,
+    words: int = 1,
+    radius: int = 4,
+    total_radius: int | None = None,
+    first_on_tie: bool = False,
+    repeats: bool = True,
+    tile: int = TILE,
 ) -> DataFrame:
     """``docs`` without ``text``, with fingerprint words ``fp0``.. and ``component``: the least ``key`` reachable by links.
 
@@ -250,7 +266,7 @@ def near_groups(
     unless all keys in it are null. Empty tables give empty results, repeated rows stay.
     """
     names = [f"fp{i}" for i in range(words)]
-    printed = cut(fingerprints(docs, text, shingle, words, first_on_tie))
+    printed = cut(fingerprints(docs, text, shingle, words, first_on_tie, repeats))
     prints = printed.groupBy(*names).agg(F.min(key).alias("_least"))
     # a single word is its own id; several are named by a hash of them, whose order doesn't matter
     ident = F.col("fp0") if words == 1 else F.xxhash64(*names)
