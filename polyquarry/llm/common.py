@@ -14,13 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, without lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a local master may run without it; then a
-    temporary folder serves, since driver and executor are one process there.
+    Only a local master may run without that setting; then a temporary folder serves, since driver and executor
+    are one process there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="polyquarry-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, without lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
