@@ -19,38 +19,85 @@ class WordIds:
     """Token ids of whole texts, tokenised once for each distinct run of characters between blanks.
 
     The vocabulary's tokeniser never joins characters across white space, so the ids of a text are those of
-    its runs in order. Ids are kept as little-endian unsigned 32-bit bytes in two generations of at most
+    its runs in order. Ids are kept as little-endian unsigned 32-bit bytes in two generations of about
     ``most`` runs each; the older one is dropped when the younger is full, so memory is bounded.
     """
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    BETWEEN = "<|endoftext|>"
+
+    def __init__(self, vocabulary: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(vocabulary), most
+        self.between = self.tokenizer.token_to_id(self.BETWEEN)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        import struct
-
-        runs = text.translate({9: 32, 10: 32, 13: 32}).split(" ")
-        young, old = self.young, self.old
-        missing = []
-        for run in set(runs):
-            if run not in young:
-                if (known := old.get(run)) is None:
-                    missing.append(run)
-                else:
-                    young[run] = known
-        for run, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            young[run] = struct.pack(f"<{len(e)}I", *e.ids)
-        out = b"".join([young[run] for run in runs])
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-        return out
+    def _known(self, run: str) -> bytes | None:
+        known = self.young.get(run)
+        if known is None and (known := self.old.get(run)) is not None:
+            self.young[run] = known
+        return known
+
+    def _tokenise(self, runs: list[str]) -> None:
+        import numpy as np
+
+        if self.between is None:
+            plain, odd = [], runs
+        else:
+            odd = [run for run in runs if "<|" in run]  # may hold special tokens themselves
+            plain = [run for run in runs if "<|" not in run] if odd else runs
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            # one call for many runs, told apart by a special token
+            ids = np.array(self.tokenizer.encode_batch_fast([self.BETWEEN.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*(4 * np.nonzero(ids == self.between)[0]).tolist(), 4 * len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("the separating token was not kept apart")
+            data, start = ids.tobytes(), 0
+            for run, end in zip(part, ends, strict=True):
+                self.young[run] = data[start:end]
+                start = end + 4
+        for run, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.young[run] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, runs: set) -> None:
+        """Letters followed by stops are the letters' ids and the stops' ids; ASCII capitals count like small letters."""
+        fresh, made = set(), []
+        for run in runs:
+            if self._known(run) is not None:
+                continue
+            core = run.rstrip(".,")
+            if core.isalpha():
+                stops = run[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+                if core != run:
+                    made.append((run, core, stops))
+                    if stops and self._known(stops) is None:
+                        fresh.add(stops)
+                if self._known(core) is None:
+                    fresh.add(core)
+            else:
+                fresh.add(run)
+        self._tokenise(list(fresh))
+        for run, core, stops in made:
+            self.young[run] = self.young[core] + (self.young[stops] if stops else b"")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(self.young.get, runs)) for runs in split]
+        gaps = [[i for i, ids in enumerate(parts) if ids is None] if None in parts else [] for parts in found]
+        self._learn({runs[i] for runs, at in zip(split, gaps, strict=True) for i in at})
+        for runs, parts, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                parts[i] = self.young[runs[i]]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return [b"".join(parts) for parts in found]
 
 
 def _worker_wide(name: str, make):
@@ -73,6 +120,16 @@ def token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, end: int
     """
     kind = docs.schema[key].dataType.simpleString()
 
+    def encoded(words, texts):
+        """Texts are tokenised some hundred thousand characters at a time."""
+        held, size, first = [], 0, 0
+        for i, value in enumerate(texts):
+            held.append(value.as_py() or "")
+            size += len(held[-1])
+            if size > 1 << 19 or i + 1 == len(texts):
+                yield from enumerate(words.encode(held), first)
+                held, size, first = [], 0, i + 1
+
     def run(batches):
         import pyarrow as pa
 
@@ -82,8 +139,8 @@ def token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, end: int
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at, piece, start, length, ids = [], [], [], [], []
-            for i in range(batch.num_rows):
-                made = words.encode(texts[i].as_py() or "") + tail
+            for i, made in encoded(words, texts):
+                made += tail
                 for k, a in enumerate(range(0, len(made), step)):
                     part = made[a : a + step]
                     at.append(i)
