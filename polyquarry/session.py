@@ -27,3 +27,22 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint(df):
+    """``df`` written once to the shared checkpoint folder (``spark.checkpoint.dir``), without lineage.
+
+    Only a local master may run without that setting; driver and executor are one process there.
+    """
+    import tempfile
+
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="polyquarry-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
