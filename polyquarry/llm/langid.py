@@ -103,7 +103,7 @@ class LanguageFilter:
         """
         import numpy as np
 
-        codes = _letters(text) if text else None
+        codes = _letters(text) if text and self.languages else None
         if codes is None:
             return UNKNOWN, 0.0
         n, k = 0, len(self.languages)
@@ -158,17 +158,25 @@ def fit(
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            found: dict = {}
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes = _letters(value.as_py())
-                if codes is not None:
-                    found.setdefault(name, []).append(_hashes(codes, orders))
+        def send(found: dict):
             for name, parts in found.items():
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    # one batch of a large Arrow frame: rare n-grams of single batches stay, so counts are whole over the sample
+        for batch in batches:
+            found, held = {}, 0
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = _letters(value.as_py())
+                if codes is None:
+                    continue
+                found.setdefault(name, []).append(_hashes(codes, orders))
+                held += len(orders) * len(codes)
+                if held > 1 << 22:  # some MB of n-grams at a time
+                    yield from send(found)
+                    found, held = {}, 0
+            yield from send(found)
+
+    # n-grams that a part holds once are sent too, so counts are whole over the sample
     tallied = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = {r[0]: r[1] for r in tallied.groupBy("lang").agg(F.sum("n")).collect()}
     whole = F.coalesce(*(F.when(F.col("lang") == x, F.lit(float(totals.get(x, 1)))) for x in languages))
