@@ -230,8 +230,8 @@ def near_links(prints: DataFrame, names: list[str], radius: int, total_radius: i
         values = np.stack([part[n].to_numpy().view(np.uint64) for n in names], axis=1)
         left, right = (np.nonzero(own == x)[0] for x in (i, j))
         parents = np.arange(len(ids))
-        for at in range(0, len(left), 512):
-            mine = left[at : at + 512]
+        for at in range(0, len(left), 128):
+            mine = left[at : at + 128]
             q, d = within_radius(values[mine, word], values[right, word], radius)
             a, b = mine[q], right[d]
             keep = a != b
