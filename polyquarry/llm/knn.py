@@ -22,6 +22,7 @@ def quantised(df: DataFrame, key: str, vector: str, scale: float = 256.0) -> Dat
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute
 
         for batch in batches:
             keys, vectors = batch.column(0), batch.column(1)
@@ -106,6 +107,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
 
     def nearest(batches):
         import pyarrow as pa
+        import pyarrow.compute
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -133,6 +135,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
 
     def lower(batches):
         import pyarrow as pa
+        import pyarrow.compute
 
         best: dict = {}
         for batch in batches:
@@ -162,6 +165,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
 
     def route(batches):
         import pyarrow as pa
+        import pyarrow.compute
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -189,6 +193,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
 
     def solve(key, qs, xs):
         import pyarrow as pa
+        import pyarrow.compute
 
         dim, out = key[0].as_py(), ([], [], [])
         if qs.num_rows and xs.num_rows:
