@@ -58,13 +58,20 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """id, component: the least id reachable when directions are ignored.
 
-    Each round nodes join their least neighbour and edges are contracted, so rounds grow with the logarithm of the size.
+    Each round nodes point to their least neighbour, pointers are doubled until they lead to roots, and edges are contracted, so
+    components at least halve a round, chains included.
     """
     live = checkpoint(undirected(edges))
     labels = checkpoint(vertices_of(edges, vertices).withColumn("component", F.col("id")))
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         to = checkpoint(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("to")))
+        while True:
+            further = to.select(F.col("n").alias("to"), F.col("to").alias("on"))
+            moved = checkpoint(to.join(further, "to", "left").select("n", F.coalesce("on", "to").alias("to"), (F.col("on") < F.col("to")).alias("moved")))
+            to = moved.select("n", "to")
+            if moved.where("moved").isEmpty():
+                break
         labels = checkpoint(labels.join(to, labels["component"] == to["n"], "left").select("id", F.coalesce("to", "component").alias("component")))
         moved = live.join(to.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("n").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
         live = checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -135,7 +142,7 @@ def label_propagation(edges: DataFrame, vertices: DataFrame | None = None, round
     return state.join(least, "label").select("id", "community")
 
 
-def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 30, seed: int = 1) -> DataFrame:
+def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 12, seed: int = 1) -> DataFrame:
     """id, community (least member): one level of local moving for modularity, resolution 1.
 
     Nodes move to the neighbouring community with the highest positive gain; a seeded half of them moves each round, so that

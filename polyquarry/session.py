@@ -45,4 +45,11 @@ def checkpoint(df):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="polyquarry-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    # a checkpointed table inherits its plan's constraints, which grow exponentially over rounds of a loop
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
