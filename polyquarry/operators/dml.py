@@ -56,11 +56,11 @@ def move(nodes: DataFrame, path: str, new_parent: str) -> DataFrame:
     return update(nodes, (F.col("path") == path) | paths.descendant_of("path", path), {"path": _moved(path, new)})
 
 
-def copy(nodes: DataFrame, path: str, new_parent: str, new_name: str | None = None) -> DataFrame:
-    """COPY: the subtree again below ``new_parent``, with ids made from the old ones and the new path."""
+def copy(nodes: DataFrame, path: str, new_parent: str, new_name: str | None = None, tree: bool = True) -> DataFrame:
+    """COPY: the subtree (or the node alone) again below ``new_parent``, with ids made from the old ones and the new path."""
     new = f"{new_parent.rstrip('/')}/{new_name or path.rstrip('/').rsplit('/', 1)[1]}"
-    tree = nodes.where((F.col("path") == path) | paths.descendant_of("path", path))
-    copied = tree.withColumn("path", _moved(path, new)).withColumn("id", F.concat(F.col("id").cast("string"), F.lit("@"), F.col("path")))
+    chosen = (F.col("path") == path) | paths.descendant_of("path", path) if tree else F.col("path") == path
+    copied = nodes.where(chosen).withColumn("path", _moved(path, new)).withColumn("id", F.concat(F.col("id").cast("string"), F.lit("@"), F.col("path")))
     if new_name and "name" in nodes.columns:
         copied = copied.withColumn("name", F.when(F.col("path") == new, F.lit(new_name)).otherwise(F.col("name")))
     return nodes.unionByName(copied)

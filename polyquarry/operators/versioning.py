@@ -100,6 +100,33 @@ def three_way_merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, columns
     return merged.select("id", "status", gone.alias("gone"), *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
+def merge_branch(log: DataFrame, branches: DataFrame, source: str, target: str, resolutions: dict | None = None, at: int | None = None) -> DataFrame:
+    """New log rows on ``target`` that merge ``source`` into it; ``at`` numbers them (one beyond the last revision).
+
+    resolutions: id -> KEEP_OURS, KEEP_THEIRS or DELETE. Conflicts without one raise. Rows that ``target`` has already aren't written again.
+    """
+    fork = branches.where(F.col("name") == source).first()
+    if fork is None or fork.parent != target:
+        raise ValueError(f"{source} is no branch of {target}")
+    spark, columns = log.sparkSession, [c for c in log.columns if c not in ("id", "revision", "branch", "deleted")]
+    base = branch_state(log, branches, target, fork.fork_revision)
+    ours, theirs = branch_state(log, branches, target), branch_state(log, branches, source)
+    merged = three_way_merge(base, ours, theirs, columns)
+    kind = log.schema["id"].dataType.simpleString()
+    chosen = spark.createDataFrame([(k, v) for k, v in (resolutions or {}).items()], f"id {kind}, choice string")
+    side = theirs.select("id", F.struct(*columns).alias("_theirs"))
+    settled = merged.join(F.broadcast(chosen), "id", "left").join(side, "id", "left")  # the statement's own resolutions
+    open_ = settled.where("status = 'conflict' AND choice IS NULL").count()
+    if open_:
+        raise ValueError(f"{open_} conflicts are not resolved")
+    written = settled.where("status = 'theirs' OR (status = 'conflict' AND choice <> 'KEEP_OURS')")
+    gone = F.when(F.col("status") == "theirs", F.col("gone")).otherwise((F.col("choice") == "DELETE") | F.col("_theirs").isNull())
+    at = at if at is not None else log.agg(F.max("revision")).first()[0] + 1
+    made = {"revision": F.lit(at).cast("long"), "branch": F.lit(target), "deleted": gone, "id": F.col("id")}
+    made |= {c: F.when(F.col("status") == "theirs", F.col(c)).otherwise(F.col(f"_theirs.{c}")) for c in columns}
+    return written.select(*(made[c].alias(c) for c in log.columns))
+
+
 def fast_forward(log: DataFrame, branches: DataFrame, target: str, source: str) -> bool:
     """Whether ``target`` has no writes since ``source`` forked from it."""
     return divergence(log, branches, target, source).first().ahead == 0

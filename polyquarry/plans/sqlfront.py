@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from polyquarry.functions import geo, jsonops
 from polyquarry.operators import dml, search, versioning
-from polyquarry.plans import match
+from polyquarry.plans import match, statements
 from polyquarry.plans.expressions import closing, outside_strings, split_top
 
 #: name -> (parameters, result, body); inlined by Catalyst, so predicates on them are optimised like hand-written ones.
@@ -39,12 +39,10 @@ class Engine:
 
     def __init__(self, spark: SparkSession, udfs: bool = True):
         self.spark, self.tables, self.graphs, self.logs, self.functions = spark, {}, {}, {}, {}
+        self.branch, self.types, self.translations = "main", {}, {}
         self.text: dict[str, tuple[str, str]] = {}
         self.vectors: dict[str, tuple[str, str]] = {}
         for name, (params, kind, body) in SQL_FUNCTIONS.items():
-            if "d INT" in params:
-                # slice needs a literal length only in the planner's eyes; the function stays an expression
-                pass
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
         if udfs:
             spark.udf.register("json_contains", F.pandas_udf(_contains, "boolean"))
@@ -83,6 +81,8 @@ class Engine:
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         text = text.strip().rstrip(";")
         head = text.split(None, 1)[0].upper()
+        if (made := statements.run(self, text)) is not None:
+            return made
         if head in ("INSERT", "UPSERT", "UPDATE", "DELETE") and (made := self._change(head, text)) is not None:
             return made
         if head == "SHOW" and text.upper().split()[1:2] == ["TABLES"]:
@@ -114,7 +114,7 @@ class Engine:
         for name, (log, branches) in self.logs.items():
             if not re.search(rf"\bFROM\s+{name}\b", text, re.I):
                 continue
-            branch, revision = "main", None
+            branch, revision = self.branch, None
             if m := re.search(r"\b__branch\s*=\s*'([^']*)'", text):
                 branch, text = m[1], text[: m.start()] + "TRUE" + text[m.end() :]
             if m := re.search(r"\b__revision\s*(?:<=|=)\s*(\d+)", text):

@@ -186,3 +186,48 @@ def test_posting_upkeep(spark, tmp_path):
     stream = spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/in")
     subscriptions.maintain_postings(stream, "id", "text", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").where("term = 'fish'").collect()) == [1, 2]
+
+
+def test_tree_statements(spark):
+    nodes = spark.createDataFrame([("1", "/a", "a", 1.0), ("2", "/a/b", "b", 2.0), ("3", "/c", "c", 3.0)], "id string, path string, name string, order_key double")
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register("Page", nodes)
+    engine.register_graph(match.Graph(nodes.select("id", "path", F.lit("Page").alias("node_type"), F.lit("{}").alias("properties")), edges(spark, "1>2")))
+    here = lambda: sorted(r.path for r in engine.sql("SELECT path FROM Page").collect())
+    engine.sql("COPY TREE Page SET path='/a' TO path='/c' AS 'k'")
+    assert here() == ["/a", "/a/b", "/c", "/c/k", "/c/k/b"]
+    engine.sql("MOVE Page SET id='1' TO id='3'")
+    assert here() == ["/c", "/c/a", "/c/a/b", "/c/k", "/c/k/b"]
+    engine.sql("COPY Page SET path='/c/a' TO path='/c/k'")
+    assert here()[-3:] == ["/c/k", "/c/k/a", "/c/k/b"]
+    engine.sql("RELATE FROM path='/a' TO id='3' TYPE 'tagged' WEIGHT 2.0; ".strip())
+    assert sorted(r.dst for r in engine.graphs["NODES_GRAPH"].edges.collect()) == ["2", "3"]
+    engine.sql("UNRELATE FROM id='1' TO id='2'")
+    assert [r.relation_type for r in engine.graphs["NODES_GRAPH"].edges.collect()] == ["tagged"]
+    assert engine.sql("UPDATE Page FOR LOCALE 'de' SET name = 'Zeh' WHERE path = '/c'").first().name == "Zeh"
+    assert engine.sql("CREATE NODETYPE Page (title String REQUIRED, n Number)").count() == 2
+
+
+def test_branch_statements(spark):
+    log = spark.createDataFrame([(1, "a", False, "/a", "x", "main"), (1, "b", False, "/b", "y", "main"), (2, "b", False, "/b", "z", "main")], "revision long, id string, deleted boolean, path string, v string, branch string")
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register_log("docs", log, spark.createDataFrame([("main", None, None)], versioning.BRANCHES))
+    state = lambda: {r.id: r.v for r in engine.sql("SELECT id, v FROM docs").collect()}
+    engine.sql("CREATE BRANCH 'draft' FROM 'main' AT REVISION HEAD~1")
+    engine.sql("USE BRANCH 'draft'")
+    assert state() == {"a": "x", "b": "y"} and engine.sql("SHOW CURRENT BRANCH").first().branch == "draft"
+    own = spark.createDataFrame([(3, "a", False, "/a", "new", "draft"), (3, "b", False, "/b", "mine", "draft")], log.schema)
+    engine.logs["docs"] = (engine.logs["docs"][0].unionByName(own), engine.logs["docs"][1])
+    engine.sql("USE BRANCH 'main'")
+    with pytest.raises(ValueError, match="conflicts"):
+        engine.sql("MERGE BRANCH 'draft' INTO 'main'")
+    with pytest.raises(ValueError, match="fast-forwarded"):
+        engine.sql("MERGE BRANCH 'draft' INTO 'main' USING FAST_FORWARD")
+    engine.sql("MERGE BRANCH 'draft' INTO 'main' MESSAGE 'm' RESOLVE CONFLICTS (('b', KEEP_THEIRS))")
+    assert state() == {"a": "new", "b": "mine"}
+    engine.sql("RESTORE NODE path='/b' TO REVISION 1")
+    assert state() == {"a": "new", "b": "y"}
+    engine.sql("ALTER BRANCH 'draft' RENAME TO 'old'")
+    assert engine.sql("DESCRIBE BRANCH 'old'").count() == 1
+    engine.sql("DROP BRANCH 'old'")
+    assert engine.sql("SHOW BRANCHES").count() == 1
