@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyquarry.functions import vectors
+from polyquarry.session import checkpoint
 
 # --- vectors
 
@@ -157,10 +158,12 @@ def fulltext_match(df: DataFrame, text: str, query: str) -> DataFrame:
 def bm25(df: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``key`` and ``rank`` of rows that hold a term: sum of idf * tf (k1 + 1) / (tf + k1 (1 - b + b * length / mean length)).
 
-    idf = ln(1 + (N - n + 0.5) / (n + 0.5)). Only the counts of the query's terms are kept from a text, and nothing is shuffled but one row of totals.
+    idf = ln(1 + (N - n + 0.5) / (n + 0.5)). Only the counts of the query's terms are kept from a text (checkpointed, so texts are read once), and nothing is shuffled but one row of totals.
     """
     words = tokens(text)
-    counted = df.select(key, F.size(words).alias("_len"), *(F.size(_equal(words, t)).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    size = F.size(words)
+    # removing a term and counting what is left stays in generated code, where the tokens are made once for all terms
+    counted = checkpoint(df.select(key, size.alias("_len"), *((size - F.size(F.array_remove(words, t))).alias(f"_tf{i}") for i, t in enumerate(terms))))
     totals = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -174,10 +177,6 @@ def bm25(df: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1
     return counted.where(found).select(key, score.alias("rank"))
 
 
-def _equal(words: Column, term: str) -> Column:
-    return F.filter(words, lambda w: w == term)
-
-
 def fulltext_search(df: DataFrame, key: str, text: str, query: str, limit: int = 1000) -> DataFrame:
     """FULLTEXT_SEARCH: matching rows by descending BM25 rank, ties by key; at most ``limit``, as the feature has it."""
     tree = parse_tsquery(query)

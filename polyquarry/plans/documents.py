@@ -10,7 +10,7 @@ from polyquarry.operators import search
 from polyquarry.plans import dsl, rel, sqlfront
 from polyquarry.plans.registry import registry
 from polyquarry.sources import fixtures
-from polyquarry.sources.tables import table
+from polyquarry.sources.tables import spread, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -219,7 +219,7 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), l
 
 @query("text_match", f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS w FROM documents) WHERE list_contains(w, 'the') AND (list_contains(w, 'license') OR len(list_filter(w, lambda x: starts_with(x, 'gener'))) > 0) AND NOT list_contains(w, 'mit')")
 def text_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", "text")
     return search.fulltext_match(docs, "text", "the & (license | gener:*) & !mit").select("doc_id")
 
 
@@ -233,18 +233,18 @@ bm AS (SELECT doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (
 
 @query("text_bm25", f"WITH {_BM25} SELECT doc_id, round(rank, 9) AS rank FROM bm")
 def text_bm25(spark, d):
-    return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["license", "general", "public"]).select("doc_id", F.round("rank", 9).alias("rank"))
+    return search.bm25(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), "doc_id", "text", ["license", "general", "public"]).select("doc_id", F.round("rank", 9).alias("rank"))
 
 
 @query("text_search", f"WITH {_BM25} SELECT doc_id, round(rank, 9) AS rank FROM bm JOIN docs USING (doc_id) WHERE list_contains(w, 'license') AND list_contains(w, 'general') AND list_contains(w, 'public') ORDER BY bm.rank DESC, doc_id LIMIT 20")
 def text_search(spark, d):
-    found = search.fulltext_search(table(spark, d, "documents"), "doc_id", "text", "license & general & public", 20)
+    found = search.fulltext_search(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), "doc_id", "text", "license & general & public", 20)
     return found.select("doc_id", F.round("rank", 9).alias("rank"))
 
 
 @query("text_fuzzy", f"SELECT DISTINCT w AS term FROM (SELECT unnest({_TOKENS}) AS w FROM documents) WHERE damerau_levenshtein(w, 'license') <= 1")
 def text_fuzzy(spark, d):
-    words = table(spark, d, "documents").select(F.explode(search.tokens("text")).alias("term")).distinct()
+    words = spread(table(spark, d, "documents").select("doc_id", "text", "lang")).select(F.explode(search.tokens("text")).alias("term")).distinct()
     return search.fuzzy_terms(words, "term", "license")
 
 
@@ -255,12 +255,12 @@ def text_wildcard(spark, d):
 
 @query("text_postings", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents WHERE lang = 'de') GROUP BY ALL")
 def text_postings(spark, d):
-    return search.postings(table(spark, d, "documents").where("lang = 'de'"), "doc_id", "text")
+    return search.postings(spread(table(spark, d, "documents").select("doc_id", "text", "lang")).where("lang = 'de'"), "doc_id", "text")
 
 
 @query("text_chunks")
 def text_chunks(spark, d):
-    return search.chunks(table(spark, d, "documents"), "doc_id", "text", 1000, 100)
+    return search.chunks(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), "doc_id", "text", 1000, 100)
 
 
 # --- vectors
@@ -303,7 +303,7 @@ def vector_hamming(spark, d):
     SELECT doc_id, round(sum(1.0 / (60 + r)), 12) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc_id ORDER BY sum(1.0 / (60 + r)) DESC, doc_id""",
 )
 def hybrid_rrf(spark, d):
-    text = search.bm25(table(spark, d, "documents"), "doc_id", "text", ["license", "general", "public"]).select("doc_id", F.round("rank", 9).alias("rank"))
+    text = search.bm25(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), "doc_id", "text", ["license", "general", "public"]).select("doc_id", F.round("rank", 9).alias("rank"))
     text = text.orderBy(F.desc("rank"), "doc_id").limit(50).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rank"), "doc_id")))  # 50 rows
     near = search.nearest(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "embedding", _QUERY, 50, "doc_id").select("doc_id", F.round("distance", 9).alias("dist"))
     near = near.withColumn("rank", F.row_number().over(Window.orderBy("dist", "doc_id")))

@@ -8,3 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table; columns and filters are pruned and pushed by the Parquet reader."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores (one small or unsplittable file) dealt over all cores; larger ones are left as they are.
+
+    Worth its shuffle only before costly work on each row, such as tokenising.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
