@@ -14,6 +14,8 @@ from polyquarry.llm.components import components
 SEED = 42
 #: Most fingerprints that meet in one comparison; larger buckets are compared tile by tile.
 TILE = 2048
+#: Places among which the members of one component are dealt.
+SALTS = 32
 
 
 # --- fingerprints
@@ -273,9 +275,12 @@ def near_groups(
     prints = cut(prints.withColumn("_id", ident))
     links = near_links(prints, names, radius, total_radius if total_radius is not None else radius, tile)
     roots = components(links, "_id", "_root")
-    rooted = cut(prints.select("_id", "_least").join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id")))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component"))
-    named = rooted.join(least, "_root").select("_id", "component")
+    rooted = cut(prints.select("_id", "_least").join(roots, "_id", "left"))
+    alone = rooted.where("_root IS NULL").select("_id", F.col("_least").alias("component"))
+    # a component may hold a large part of all fingerprints: its members meet its least key in SALTS places
+    linked = rooted.where("_root IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    least = linked.groupBy("_root").agg(F.min("_least").alias("component")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = alone.unionByName(linked.join(least, ["_root", "_salt"]).select("_id", "component"))
     return printed.withColumn("_id", ident).join(named, "_id").drop("_id")
 
 
