@@ -37,6 +37,47 @@ def test_near_duplicates(spark, odd):
     assert sorted(i for i in ids if i is not None) == [0, 3, 5, 6, 7, 8, 9, 90, 100] and ids.count(None) == 1
 
 
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def survivors(rows):
+    """Least ids of the components of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets, root = {i: shingles(t) for i, t, *_ in rows}, {i: i for i, *_ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("tile", [256, 8])
+def test_near_duplicates_are_those_of_the_shingles(spark, odd, monkeypatch, tile):
+    """Pairs around 0.8, short ones too, and one large group, against brute force."""
+    r, texts = random.Random(18), []
+    for n in range(240):
+        base = words(1000 + n, r.choice([8, 12, 30, 120, 300])).split()
+        changed, cut = list(base), max(1, round(len(base) * r.uniform(0.05, 0.3)))
+        if n % 2:  # a piece at the end is another
+            changed[-cut:] = words(5000 + n, cut).split()
+            changed = changed[: len(base) - r.randrange(cut)]
+        else:  # words here and there
+            for i in r.sample(range(len(base)), max(1, cut // 5)):
+                changed[i] = "x" * 9
+        texts += [" ".join(base), " ".join(changed)]
+    core = words(900, 100).split()
+    texts += [" ".join([*core[:k], f"new{k}", *core[k + 1 :]]) for k in range(60)]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    near = [5 * len(a & b) / len(a | b) for a, b in ((shingles(texts[i]), shingles(texts[i + 1])) for i in range(0, 480, 2))]
+    assert sum(3.5 <= x < 4 for x in near) > 15 and sum(4 <= x < 4.25 for x in near) > 15
+    whole = pipeline.minhash.least_of_groups
+    monkeypatch.setattr(pipeline.minhash, "least_of_groups", lambda *a, **k: whole(*a, tile=tile, **k))
+    out = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, odd.schema), "")
+    assert sorted(x.doc_id for x in out.collect()) == survivors(rows)
+
+
 def test_mix(spark, odd):
     out = pipeline.mix_sources(spark, odd, "")
     assert out.columns == COLUMNS
