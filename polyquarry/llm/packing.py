@@ -65,13 +65,18 @@ class WordIds:
             self.young[run] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _learn(self, runs: set) -> None:
-        """Letters followed by stops are the letters' ids and the stops' ids; ASCII capitals count like small letters."""
+        """Letters followed by stops are the letters' ids and the stops' ids; ASCII capitals count like small letters.
+
+        Letters that the tokeniser's NFC and lower-casing turn into a letter and a mark, which it joins with the stops, are tokenised with them.
+        """
+        from unicodedata import normalize
+
         fresh, made = set(), []
         for run in runs:
             if self._known(run) is not None:
                 continue
             core = run.rstrip(".,")
-            if core.isalpha():
+            if core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha()):
                 stops = run[len(core) :]
                 if core.isascii():
                     core = core.lower()

@@ -308,6 +308,19 @@ def test_word_ids_are_the_tokenisers():
         assert ids.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def test_word_ids_of_letters_that_become_marks():
+    """Every letter before stops, alone and in a word."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    ids = packing.WordIds(packing.vocabulary_path())
+    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha()]
+    texts = ["\u0130.", "ab\u0130, \u0130b.", "\u0915\u095d, \u0915\u095d.", "\ufb1f.,", *(" ".join(f"{c}. a{c}," for c in letters[i : i + 2000]) for i in range(0, len(letters), 2000))]
+    assert ids.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 def test_pack_rejects_long_pieces(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 9)], "id long, length long"), context=8)
