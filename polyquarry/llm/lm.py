@@ -174,7 +174,7 @@ def lm_scores(
 
     Tokens are told apart by 64-bit hashes. Counts move as packed arrays: for each slice of some MB of text, one array a
     segment of the hash range. Segments, slices and so tasks have bounded sizes whatever the corpus; frequent
-    tokens and pairs are counted in their slice first. All pairs of the training texts enter the filter, so its size
+    tokens and pairs are counted in their slice first. Slices are made and checkpointed once, since their numbers join them to the counts. All pairs of the training texts enter the filter, so its size
     follows the corpus; it is broadcast in passes of at most ``pass_bytes``, each over the segments of one part
     of the pairs, and the passes' partial scores are added. Repeated rows stay; empty tables give empty results.
     """
@@ -198,14 +198,40 @@ def lm_scores(
     def column(batch, name):
         return batch.column(batch.schema.get_field_index(name))
 
-    def one_counts(batches):
-        """Distinct tokens of each slice with their training counts, by segment."""
+    def sliced(batches):
+        """A slice as one row: its keys, its texts' lengths and parts in training, its tokens as places among its distinct hashes."""
         import numpy as np
         import pyarrow as pa
 
         for number, part in batches_of(batches):
             hashes, ids, lengths = _tokens(column(part, text).to_pylist())
-            train = np.repeat(~column(part, "held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
+            train = ~column(part, "held_out").to_numpy(zero_copy_only=False).astype(bool)
+            kept = part.drop_columns([text])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept.schema) as out:
+                out.write_batch(kept)
+            blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), ids.tobytes(), lengths.tobytes(), train.astype(np.uint8).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "keys", "hashes", "ids", "lengths", "train"])
+
+    # written once: batches and so slices may end elsewhere when the texts are read again with other columns
+    slices = cut(docs.mapInArrow(sliced, "slice long, keys binary, hashes binary, ids binary, lengths binary, train binary"))
+
+    def opened(batches):
+        """Number, hashes, ids, lengths and, for each token, whether it is in training."""
+        import numpy as np
+
+        kinds = {"hashes": np.uint64, "ids": np.int32, "lengths": np.int64, "train": np.uint8}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes, ids, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
+                yield column(batch, "slice")[i].as_py(), hashes, ids, lengths, np.repeat(train == 1, lengths)
+
+    def one_counts(batches):
+        """Distinct tokens of each slice with their training counts, by segment."""
+        import numpy as np
+        import pyarrow as pa
+
+        for number, hashes, ids, _, train in opened(batches):
             counts = np.bincount(ids[train], minlength=len(hashes)).astype("<u4")
             cuts = _cuts(hashes, one_bits)
             segs = [s for s in range(1 << one_bits) if cuts[s + 1] > cuts[s]]
@@ -237,7 +263,7 @@ def lm_scores(
             }
         )
 
-    answers = cut(docs.select("held_out", text).mapInArrow(one_counts, "slice long, seg int, hashes binary, counts binary").groupBy("seg").applyInArrow(one_answers, "slice long, seg int, counts binary, tokens long, types long"))
+    answers = cut(slices.select("slice", "hashes", "ids", "lengths", "train").mapInArrow(one_counts, "slice long, seg int, hashes binary, counts binary").groupBy("seg").applyInArrow(one_answers, "slice long, seg int, counts binary, tokens long, types long"))
     n_all, n_types = answers.where("slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
     def two_counts(batches):
@@ -245,8 +271,8 @@ def lm_scores(
         import numpy as np
         import pyarrow as pa
 
-        for _, part in batches_of(batches):
-            h, n = np.unique(_pairs(*_tokens(column(part, text).to_pylist())), return_counts=True)
+        for _, hashes, ids, lengths, train in opened(batches):
+            h, n = np.unique(_pairs(hashes, ids, lengths)[train], return_counts=True)
             cuts = _cuts(h, two_bits)
             segs = [s for s in range(1 << two_bits) if cuts[s + 1] > cuts[s]]
             small = n.astype("<u4")
@@ -265,7 +291,7 @@ def lm_scores(
         first = np.concatenate(([0], np.nonzero(h[1:] != h[:-1])[0] + 1))
         return pa.table({"seg": pa.array([t["seg"][0].as_py()], pa.int32()), "bits": pa.array([LogFrequencyFilter.build(h[first], np.add.reduceat(n, first))], pa.binary())})
 
-    learned = docs.where(~F.col("held_out")).select(text).mapInArrow(two_counts, "seg int, hashes binary, counts binary")
+    learned = slices.select("slice", "hashes", "ids", "lengths", "train").mapInArrow(two_counts, "seg int, hashes binary, counts binary")
     filters = cut(learned.groupBy("seg").applyInArrow(two_filter, "seg int, bits binary"))
     passes, now = [[]], 0
     for seg, n in sorted((r[0], r[1]) for r in filters.select("seg", F.octet_length("bits")).collect()):  # 2^two_bits rows at most
@@ -277,19 +303,6 @@ def lm_scores(
 
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 
-    def payload(batches):
-        """A slice as one row: its keys, its texts' lengths, its tokens as places among its distinct hashes."""
-        import pyarrow as pa
-
-        for number, part in batches_of(batches):
-            hashes, ids, lengths = _tokens(column(part, text).to_pylist())
-            kept = part.drop_columns([text])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, kept.schema) as out:
-                out.write_batch(kept)
-            blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), ids.tobytes(), lengths.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "keys", "hashes", "ids", "lengths"])
-
     def scorer(shared, first: bool):
         def score(_, part, replies):
             import numpy as np
@@ -330,7 +343,7 @@ def lm_scores(
         return score
 
     all_segs = [s for group in passes for s in group]
-    packed = docs.mapInArrow(payload, "slice long, keys binary, hashes binary, ids binary, lengths binary")
+    packed = slices.drop("train")
     replies = answers.where("slice >= 0").select("slice", "seg", "counts")
     schema = f"{key_schema}, pos long, n_tokens long, n_known long, base_score double, score double, slice long"
     out = None

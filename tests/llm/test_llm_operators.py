@@ -451,6 +451,24 @@ def test_lm_in_passes(spark, odd):
     assert np.allclose(one.score, many.score) and np.allclose(one.base_score, many.base_score)
 
 
+def test_lm_in_small_batches(spark):
+    """Arrow batches end by the bytes of all columns; counts are those of a row's own tokens wherever they end."""
+    rows = [(i, words(i % 97, 5 + i % 61)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "20000")
+        got = lm.lm_scores(docs, ["doc_id"], "text", "held").toPandas().sort_values("doc_id")
+    finally:
+        spark.conf.set(key, before)
+    tokens = [[*t.split(), "\n"] for _, t in rows]
+    count = Counter(w for (i, _), ws in zip(rows, tokens, strict=True) if i % 7 != 2 for w in ws)
+    n, v = sum(count.values()), len(count)
+    assert got.n_known.tolist() == [sum(count[w] > 0 for w in ws) for ws in tokens]
+    assert np.allclose(got.base_score, [sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws) for ws in tokens])
+
+
 def test_log_frequency_filter():
     r = np.random.default_rng(1)
     h = r.integers(0, 2**64, 5000, dtype=np.uint64)
