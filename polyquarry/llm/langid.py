@@ -101,11 +101,30 @@ class LanguageFilter:
         The counts of all languages are corrected for the filter's false positives. Ties go to the first
         language; a text without letters is ``und`` with score 0.
         """
+        found = self.explained(text)
+        if found is None:
+            return UNKNOWN, 0.0
+        true, _ = found
+        best = int(true.argmax())
+        whole = true.sum()
+        return self.languages[best], float(true[best] / whole) if whole > 0 else 0.0
+
+    def coverage(self, text: str | None) -> tuple[str, float]:
+        """The language of ``decide`` and the share of all n-grams of the text that it explains."""
+        found = self.explained(text)
+        if found is None:
+            return UNKNOWN, 0.0
+        true, n = found
+        best = int(true.argmax())
+        return self.languages[best], float(true[best] / n) if n else 0.0
+
+    def explained(self, text: str | None):
+        """How many n-grams each language explains, corrected for the filter's false positives, and of how many; None without letters."""
         import numpy as np
 
         codes = _letters(text) if text and self.languages else None
         if codes is None:
-            return UNKNOWN, 0.0
+            return None
         n, k = 0, len(self.languages)
         hits = np.zeros(k)
         for order in self.orders:
@@ -115,10 +134,7 @@ class LanguageFilter:
                 masks, times = np.unique(self.masks(h), return_counts=True)
                 hits += (((masks[:, None] >> np.arange(k, dtype=np.uint64)[None, :]) & np.uint64(1)) * times[:, None].astype(np.uint64)).sum(axis=0)
                 n += len(h)
-        true = np.maximum(0.0, (hits - n * self.fp) / np.maximum(1e-9, 1 - self.fp))
-        best = int(true.argmax())
-        whole = true.sum()
-        return self.languages[best], float(true[best] / whole) if whole > 0 else 0.0
+        return np.maximum(0.0, (hits - n * self.fp) / np.maximum(1e-9, 1 - self.fp)), n
 
 
 # --- learning
@@ -188,9 +204,39 @@ def fit(
     return LanguageFilter.build(languages, own, orders)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
+def usual_coverage(labelled: DataFrame, model: LanguageFilter, key: str, text: str = "text", lang: str = "lang", sample: int = 1000) -> dict[str, float]:
+    """Share of n-grams that each language explains in its own labelled texts, about ``sample`` of each (chosen by a hash of ``key``)."""
+    if not model.languages:
+        return {}
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    odds = labelled.sparkSession.createDataFrame([(x, sample / counts[x]) for x in model.languages], f"`{lang}` string, _odds double")
+    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(11)), 11) / F.lit(float(1 << 53))
+    chosen = rows.join(F.broadcast(odds), lang).where(u < F.col("_odds")).select(lang, text)  # odds: at most 64 rows
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def rate(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        for batch in batches:
+            names, held, whole = [], [], []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if (found := model.explained(value.as_py())) is not None:
+                    names.append(name)
+                    held.append(float(found[0][model.languages.index(name)]))
+                    whole.append(float(found[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.float64()), pa.array(whole, pa.float64())], names=["lang", "held", "whole"])
+
+    rates = chosen.mapInArrow(rate, "lang string, held double, whole double").groupBy("lang").agg(F.sum("held"), F.sum("whole")).collect()
+    return {name: held / whole for name, held, whole in rates if whole}
+
+
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = False, usual: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with the language and score of each whole text (see ``LanguageFilter.decide``).
 
+    With ``usual``, the score is instead the share of the text's n-grams that the language explains, over that usual for it.
+
     Only the text is used. Null and empty texts and those without letters are ``und`` with score 0. Columns called like
     the new ones are replaced; repeated rows stay; empty tables stay empty.
     """
@@ -199,12 +245,18 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_pre
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{lang_pred}` string", f"`{score}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x grams
 
+    def judge(model, value):
+        if usual is None:
+            return model.decide(value)
+        name, covered = model.coverage(value)
+        return name, covered / usual[name] if usual.get(name) else covered
+
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         for batch in batches:
-            out = [model.decide(v.as_py()) if model.languages else (UNKNOWN, 0.0) for v in batch.column(batch.schema.get_field_index(text))]
+            out = [judge(model, v.as_py()) if model.languages else (UNKNOWN, 0.0) for v in batch.column(batch.schema.get_field_index(text))]
             made = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *made], names=[*names, lang_pred, score])
 

@@ -26,6 +26,17 @@ def test_languages(spark, odd):
     assert not kept & {None, "", "   \n\t "} and words(1, 60) in kept
 
 
+def test_unlearned_languages(spark, odd):
+    """Texts of random letters, in no language that labels name, go; with few or many languages clean texts stay."""
+    r = random.Random(31)
+    for languages in (1, 3, 6):
+        stems = [words(300 + n, 40).split() for n in range(languages)]
+        clean = [(i, " ".join(r.choices(stems[i % languages], k=60)), f"l{i % languages}", "a", 1) for i in range(60 * languages)]
+        strange = [(10_000 + i, words(7000 + i, 60), None, "a", 1) for i in range(20)]
+        kept = pipeline.keep_known_languages(spark, spark.createDataFrame(clean + strange, odd.schema), "")
+        assert sorted(x.doc_id for x in kept.collect()) == [x[0] for x in clean]
+
+
 def test_near_duplicates(spark, odd):
     r = random.Random(8)
     base = words(77, 200).split()
