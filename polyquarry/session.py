@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,14 +30,14 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
     return spark
 
 
-def checkpoint(df):
-    """``df`` written once to the shared checkpoint folder (``spark.checkpoint.dir``), without lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local master may run without that setting; driver and executor are one process there.
+    Only a local master may run without that setting; driver and executor are one process there, and a temporary folder serves.
+    Checkpoints are removed when their tables are dropped if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as in ``DEFAULTS``.
     """
     import tempfile
 
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +46,13 @@ def checkpoint(df):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="polyquarry-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df):
+    """``df`` written once to the shared checkpoint folder, without lineage."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
     # a checkpointed table inherits its plan's constraints, which grow exponentially over rounds of a loop
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key)
