@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyquarry.session import checkpoint as cut
+from polyquarry.session import checkpoint_folder
+
+__all__ = ["WORD", "boxed", "checkpoint_folder", "cut", "partitions_of", "quoted", "table", "unlike", "with_positions", "word_count"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -14,34 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share.
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unlike(name: str, taken) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``taken``."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def boxed(df: DataFrame, box: str = "row", but: tuple[str, ...] = ()) -> Column:
+    """All columns of ``df`` but some as one struct, so that columns of an operator's own can't clash with them.
 
-    Only a local master may run without that setting; then a temporary folder serves, since driver and executor
-    are one process there.
+    ``select(f"{box}.*")`` takes them out again.
     """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="polyquarry-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, without lineage."""
-    checkpoint_folder(df.sparkSession)
-    # a checkpointed table inherits its plan's constraints, which grow exponentially over rounds of a loop
-    key = "spark.sql.constraintPropagation.enabled"
-    before = df.sparkSession.conf.get(key)
-    df.sparkSession.conf.set(key, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        df.sparkSession.conf.set(key, before)
+    return F.struct(*(F.col(quoted(c)) for c in df.columns if c not in but)).alias(box)
 
 
 def partitions_of(spark: SparkSession) -> int:
@@ -58,14 +50,19 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str], out: str, e
 
     A hot key is not ranked in one task: rows are dealt to ``salts`` sub-groups by a hash of ``order``,
     numbered there, and shifted by the sizes of the sub-groups before theirs. ``keys`` hold no nulls.
-    ``df`` is read twice, so give it checkpointed. ``extra`` (one row for each of ``keys``) adds columns.
+    ``df`` is read twice, so give it checkpointed. ``extra`` (one row for each of ``keys``) adds columns. A column called
+    ``out`` is replaced, others may have any names.
     """
     salts = salts or max(8, 2 * partitions_of(df.sparkSession))
-    salted = df.withColumn("_pos_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sub = [*keys, "_pos_salt"]
-    ranked = salted.withColumn("_pos_rank", F.row_number().over(Window.partitionBy(*sub).orderBy(F.xxhash64(*order), *order)) - 1)
-    before = Window.partitionBy(*keys).orderBy("_pos_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy(*sub).agg(F.count("*").alias("_pos_n")).withColumn("_pos_start", F.coalesce(F.sum("_pos_n").over(before), F.lit(0))).drop("_pos_n")
+    names, by = [f"k{i}" for i in range(len(keys))], [F.col(quoted(c)) for c in order]
+    own = [F.col(quoted(c)).alias(n) for c, n in zip(keys, names, strict=True)]
+    hashed = F.xxhash64(*by)
+    salted = df.select(boxed(df, but=(out,)), *own, hashed.alias("h"), F.struct(*by).alias("o"), F.pmod(hashed, F.lit(salts)).cast("int").alias("salt"))
+    ranked = salted.select("row", *names, "salt", (F.row_number().over(Window.partitionBy(*names, "salt").orderBy("h", "o")) - 1).alias("rank"))
+    before = Window.partitionBy(*names).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*names, "salt").agg(F.count("*").alias("n")).select(*names, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    added = []
     if extra is not None:
-        starts = starts.join(extra, keys)
-    return ranked.join(starts, sub).withColumn(out, (F.col("_pos_start") + F.col("_pos_rank")).cast("long")).drop("_pos_salt", "_pos_rank", "_pos_start")
+        further = extra.select(*(F.col(quoted(c)).alias(n) for c, n in zip(keys, names, strict=True)), boxed(extra, "extra", tuple(keys)))
+        starts, added = starts.join(further, names), ["extra.*"]
+    return ranked.join(starts, [*names, "salt"]).select("row.*", *added, (F.col("start") + F.col("rank")).cast("long").alias(out))

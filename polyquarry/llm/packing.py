@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import cut, table, with_positions
+from polyquarry.llm.common import cut, quoted, table, unlike, with_positions
 
 CONTEXT = 4096
 END = 1
@@ -14,171 +14,172 @@ VOCABULARY = "word_bpe_49k.json"
 
 # --- tokens
 
+#: Bytes of text that are tokenised at once.
+SLICE = 16 << 20
+#: ASCII signs that may follow a word's letters; an apostrophe may begin a token of its own, so it is not among them.
+SIGNS = r"[!-&(-@\[-`{-~]"
 
-class WordIds:
+
+def plain_letters() -> str:
+    """Letters that the normaliser maps one to one to letters and that never join with what follows: Latin up to U+024F."""
+    from unicodedata import normalize
+
+    latin = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha()]
+    return "".join(c for c in latin if normalize("NFC", c) == c and normalize("NFC", c.lower()) == c.lower())
+
+
+class TextIds:
     """Token ids of whole texts, tokenised once for each distinct run of characters between blanks.
 
-    The vocabulary's tokeniser never joins characters across white space, so the ids of a text are those of
-    its runs in order. Ids are kept as little-endian unsigned 32-bit bytes in two generations of about
-    ``most`` runs each; the older one is dropped when the younger is full, so memory is bounded.
+    The vocabulary's tokeniser never joins characters across white space, so the ids of a text are those of its runs in
+    order; and letters followed by ASCII signs are the ids of the letters, then those of the signs. Texts are split and
+    their runs told apart by Arrow, only distinct words meet the tokeniser, and ids are gathered by numpy. Nothing is kept
+    from one call to the next.
     """
 
-    BETWEEN = "<|endoftext|>"
-
-    def __init__(self, vocabulary: str, most: int = 500_000):
+    def __init__(self, vocabulary: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(vocabulary)
+        # words of plain letters come lower-cased and apart, so normalising and splitting them again is spared
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.parted = f"^([{plain_letters()}]*)({SIGNS}*)$"
+
+    def _encoded(self, encodings):
+        """Ids one after another, and how many each has."""
+        import numpy as np
 
-        self.tokenizer, self.most = Tokenizer.from_file(vocabulary), most
-        self.between = self.tokenizer.token_to_id(self.BETWEEN)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        parts = [np.array(e.ids, dtype="<u4") for e in encodings]
+        return np.concatenate([np.empty(0, dtype="<u4"), *parts]), np.array([len(p) for p in parts], dtype=np.int64)
 
-    def _known(self, run: str) -> bytes | None:
-        known = self.young.get(run)
-        if known is None and (known := self.old.get(run)) is not None:
-            self.young[run] = known
-        return known
+    def _whole(self, runs: list[str]):
+        return self._encoded(self.whole.encode_batch_fast(runs, add_special_tokens=False))
 
-    def _tokenise(self, runs: list[str]) -> None:
+    def _words(self, words: list[str]):
+        """Ids of words of plain letters, some words a call; their ends are told by the ids."""
         import numpy as np
 
-        if self.between is None:
-            plain, odd = [], runs
-        else:
-            odd = [run for run in runs if "<|" in run]  # may hold special tokens themselves
-            plain = [run for run in runs if "<|" not in run] if odd else runs
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            # one call for many runs, told apart by a special token
-            ids = np.array(self.tokenizer.encode_batch_fast([self.BETWEEN.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*(4 * np.nonzero(ids == self.between)[0]).tolist(), 4 * len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("the separating token was not kept apart")
-            data, start = ids.tobytes(), 0
-            for run, end in zip(part, ends, strict=True):
-                self.young[run] = data[start:end]
-                start = end + 4
-        for run, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.young[run] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, runs: set) -> None:
-        """Letters followed by stops are the letters' ids and the stops' ids; ASCII capitals count like small letters.
-
-        Letters that the tokeniser's NFC and lower-casing turn into a letter and a mark, which it joins with the stops, are tokenised with them.
-        """
-        from unicodedata import normalize
-
-        fresh, made = set(), []
-        for run in runs:
-            if self._known(run) is not None:
-                continue
-            core = run.rstrip(".,")
-            if core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha()):
-                stops = run[len(core) :]
-                if core.isascii():
-                    core = core.lower()
-                if core != run:
-                    made.append((run, core, stops))
-                    if stops and self._known(stops) is None:
-                        fresh.add(stops)
-                if self._known(core) is None:
-                    fresh.add(core)
-            else:
-                fresh.add(run)
-        self._tokenise(list(fresh))
-        for run, core, stops in made:
-            self.young[run] = self.young[core] + (self.young[stops] if stops else b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(self.young.get, runs)) for runs in split]
-        gaps = [[i for i, ids in enumerate(parts) if ids is None] if None in parts else [] for parts in found]
-        self._learn({runs[i] for runs, at in zip(split, gaps, strict=True) for i in at})
-        for runs, parts, at in zip(split, found, gaps, strict=True):
-            for i in at:
-                parts[i] = self.young[runs[i]]
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        return [b"".join(parts) for parts in found]
-
-
-class _Held:
-    """The worker's ``WordIds``: kept for its next task, dropped if none begins within ``seconds``.
-
-    Knowing the frequent runs already saves a quarter of the tokenising; other stages need the memory.
-    """
-
-    @staticmethod
-    def take(vocabulary: str) -> WordIds:
-        import sys
-        import types
-
-        held = sys.modules.setdefault("_polyquarry_held", types.ModuleType("_polyquarry_held"))
-        if getattr(held, "timer", None) is not None:
-            held.timer.cancel()
-        words = getattr(held, "words", None)
-        held.words = None
-        return words[1] if words is not None and words[0] == vocabulary else WordIds(vocabulary)
+        joined = [" ".join(words[i : i + 16]) for i in range(0, len(words), 16)]
+        ids, _ = self._encoded(self.words.encode_batch_fast(joined, add_special_tokens=False))
+        ends = np.nonzero(self.last[ids])[0] + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokeniser's words don't end in ids of their own")
+        return ids, np.diff(ends, prepend=0)
 
-    @staticmethod
-    def put(vocabulary: str, words: WordIds, seconds: float = 4.0) -> None:
-        import sys
-        import threading
+    def _of_runs(self, runs):
+        """Ids of distinct runs: all ids, and of each run where its ids start and how many they are."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # "<|" may begin a special token, which is taken out before anything else
+        parts = pc.extract_regex(runs, self.parted.replace("^(", "^(?P<core>").replace(")(", ")(?P<signs>"))
+        odd = pc.or_(pc.is_null(parts), pc.match_substring(runs, "<|"))
+        plain = pc.invert(odd)
+        core = pc.utf8_lower(pc.struct_field(parts, "core").filter(plain)).dictionary_encode()
+        signs = pc.struct_field(parts, "signs").filter(plain).dictionary_encode()
+        words = core.dictionary.to_pylist()
+        if "" in words:  # a run of signs
+            words[words.index("")] = "a"
+            blank = core.dictionary.index("").as_py()
+        else:
+            blank = -1
+        word_ids, word_n = self._words(words)
+        sign_ids, sign_n = self._whole(signs.dictionary.to_pylist())
+        odd_ids, odd_n = self._whole(runs.filter(odd).to_pylist())
+        pool = np.concatenate([word_ids, sign_ids, odd_ids])
+        starts = [np.cumsum(n) - n + base for n, base in ((word_n, 0), (sign_n, len(word_ids)), (odd_n, len(word_ids) + len(sign_ids)))]
+        word_n = np.where(np.arange(len(word_n)) == blank, 0, word_n)
+        at, tail = core.indices.to_numpy(), signs.indices.to_numpy()
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        first, n_first, second, n_second = (np.zeros(len(runs), dtype=np.int64) for _ in range(4))
+        first[~is_odd], n_first[~is_odd] = starts[0][at], word_n[at]
+        second[~is_odd], n_second[~is_odd] = starts[1][tail], sign_n[tail]
+        first[is_odd], n_first[is_odd] = starts[2], odd_n
+        both = gathered(pool, np.stack([first, second], axis=1).ravel(), np.stack([n_first, n_second], axis=1).ravel())
+        n = n_first + n_second
+        return both, np.cumsum(n) - n, n
+
+    def encode(self, texts, end: int | None = None):
+        """Ids of an array of texts (null: empty) one after another, ``end`` behind each, and how many each text has."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        runs = split.flatten().dictionary_encode()
+        pool, start, n = self._of_runs(runs.dictionary)
+        at, many = runs.indices.to_numpy(), pc.list_value_length(split).to_numpy()
+        if end is not None:  # one more run a text
+            pool, start, n = np.append(pool, np.uint32(end)), np.append(start, len(pool)), np.append(n, 1)
+            at = np.insert(at, np.cumsum(many), len(n) - 1)
+            many = many + 1
+        whole = np.concatenate(([0], np.cumsum(n[at])))
+        edges = np.concatenate(([0], np.cumsum(many)))
+        return gathered(pool, start[at], n[at]), np.diff(whole[edges])
+
+
+def gathered(pool, starts, sizes):
+    """``pool[start : start + size]`` of all ranges, one after another."""
+    import numpy as np
 
-        held = sys.modules["_polyquarry_held"]
-        held.words = (vocabulary, words)
-        held.timer = threading.Timer(seconds, lambda: setattr(held, "words", None))
-        held.timer.daemon = True
-        held.timer.start()
+    before = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 def token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, end: int = END, context: int = CONTEXT) -> DataFrame:
     """``key``, piece, start, length and ids (little-endian unsigned 32-bit) of each document's pieces.
 
     A document is the ids of its text (null: empty) and ``end``. Only a document of over ``context`` ids is cut,
-    into pieces of ``context``, the last shorter. ``vocabulary`` is a path that workers can open. Empty tables give no
-    pieces, repeated rows give theirs again.
+    into pieces of ``context``, the last shorter. ``vocabulary`` is a path that workers can open. Null keys are kept, empty
+    tables give no pieces, repeated rows give theirs again; other columns of ``docs`` are left out. A key called like
+    a new column keeps its name, the new column gets an underscore behind its own.
     """
     kind = docs.schema[key].dataType.simpleString()
+    made_names = [unlike(n, [key]) for n in ("piece", "start", "length", "ids")]
 
-    def encoded(words, texts):
-        """Texts are tokenised some hundred thousand characters at a time."""
-        held, size, first = [], 0, 0
-        for i, value in enumerate(texts):
-            held.append(value.as_py() or "")
-            size += len(held[-1])
-            if size > 1 << 19 or i + 1 == len(texts):
-                yield from enumerate(words.encode(held), first)
-                held, size, first = [], 0, i + 1
-
-    def table_of(keys, rows):
-        import pyarrow as pa
+    def slices(texts):
+        """Ranges of rows with about SLICE bytes of text, one row at least."""
+        import numpy as np
+        import pyarrow.compute as pc
 
-        at, piece, start, length, ids = zip(*rows, strict=True) if rows else ((),) * 5
-        columns = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *columns], names=[key, "piece", "start", "length", "ids"])
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(size) - size) // SLICE
+        edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(size)]
+        return zip(edges, edges[1:], strict=False)
 
     def run(batches):
-        words = _Held.take(vocabulary)
-        tail = int(end).to_bytes(4, "little")
-        step = 4 * context
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            rows, held = [], 0
-            for i, made in encoded(words, texts):
-                made += tail
-                rows += [(i, k, a // 4, len(part := made[a : a + step]) // 4, part) for k, a in enumerate(range(0, len(made), step))]
-                held += len(made)
-                if held > 4 << 20:  # some MB of ids at a time
-                    yield table_of(keys, rows)
-                    rows, held = [], 0
-            yield table_of(keys, rows)
-        _Held.put(vocabulary, words)
+        import numpy as np
+        import pyarrow as pa
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids binary")
+        tokens = TextIds(vocabulary)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for a, b in slices(batch.column(1)):
+                ids, sizes = tokens.encode(batch.column(1).slice(a, b - a), end)
+                many = -(-sizes // context)  # one at least: the end
+                doc = np.repeat(np.arange(len(sizes)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * context
+                length = np.minimum(context, sizes[doc] - start)
+                edges = np.concatenate(([0], np.cumsum(length)))
+                for x in range(0, len(doc), 4096):  # some MB of ids at a time
+                    part, inner = slice(x, x + 4096), edges[x : x + 4097] - edges[x]
+                    data = ids[edges[x] : edges[x] + inner[-1]].astype("<u4").tobytes()
+                    blobs = pa.Array.from_buffers(pa.binary(), len(inner) - 1, [None, pa.py_buffer((4 * inner).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                    columns = [batch.column(0).take(pa.array(doc[part] + a)), pa.array(piece[part].astype(np.int32)), pa.array(start[part]), pa.array(length[part]), blobs]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, *made_names])
+
+    kinds = ("int", "long", "long", "binary")
+    return docs.select(key, text).mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"`{n}` {k}" for n, k in zip(made_names, kinds, strict=True))]))
 
 
 # --- packing
@@ -264,21 +265,23 @@ def best_fit_plan(counts: dict[int, int], context: int) -> list[tuple[int, int,
 def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = None, context: int = CONTEXT) -> DataFrame:
     """``pieces`` with sequence_id and offset, best fit decreasing into sequences of ``context``.
 
-    ``pieces`` is checkpointed and holds lengths 1..context (others raise). The driver sees the histogram of lengths and
-    the plan, both bounded by ``context``; pieces learn their place from their rank among equal lengths. ``order``
-    fixes the ranks. Empty tables give empty results.
+    ``pieces`` is checkpointed and holds lengths 1..context (others, null too, raise). The driver sees the histogram of lengths
+    and the plan, both bounded by ``context``; pieces learn their place from their rank among equal lengths. ``order``
+    (all other columns if not given) fixes the ranks; rows equal in it may swap places. Repeated rows are placed each, empty
+    tables give empty results, columns called sequence_id or offset are replaced.
     """
     import numpy as np
 
-    counts = {r[0]: r[1] for r in pieces.groupBy(F.col(length).cast("int")).count().collect()}
+    counts = {r[0]: r[1] for r in pieces.groupBy(F.col(quoted(length)).cast("int")).count().collect()}
     if any(n is None or not 1 <= n <= context for n in counts):
         raise ValueError(f"lengths must be 1 to {context}")
     runs = sorted(best_fit_plan(counts, context))
     plan = np.array(runs, dtype=np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(((plan[:, 0] << 48) | plan[:, 1], plan))
-    ranked = with_positions(pieces, [length], order or [c for c in pieces.columns if c != length], "_rank")
-    kept = pieces.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long", "offset long"])
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rank = unlike("rank", [*pieces.columns, "sequence_id", "offset"])
+    ranked = with_positions(pieces, [length], order or [c for c in pieces.columns if c != length], rank)
+    schema = ", ".join([*(f"{quoted(c)} {pieces.schema[c].dataType.simpleString()}" for c in kept), "sequence_id long", "offset long"])
 
     def place(batches):
         import numpy as np
@@ -286,13 +289,13 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
 
         starts, plan = shared.value
         for batch in batches:
-            size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (length, "_rank"))
-            run = plan[np.searchsorted(starts, (size.astype(np.int64) << 48) | rank, side="right") - 1]
-            nth, each = rank - run[:, 1], run[:, 2]
+            size, at = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (length, rank))
+            run = plan[np.searchsorted(starts, (size.astype(np.int64) << 48) | at, side="right") - 1]
+            nth, each = at - run[:, 1], run[:, 2]
             made = [pa.array(run[:, 3] + nth // each), pa.array(run[:, 4] + (nth % each) * size)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.select(*kept, "_rank").mapInArrow(place, schema)
+    return ranked.select(*map(quoted, kept), quoted(rank)).mapInArrow(place, schema)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

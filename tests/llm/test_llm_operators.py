@@ -298,27 +298,60 @@ def test_best_fit_plan_is_best_fit_decreasing():
         assert len(fill) == bins and sorted(top - v for v in fill.values() if v < top) == rest
 
 
-def test_word_ids_are_the_tokenisers():
+def ids_by_hand(tok, texts):
+    return [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def split_ids(ids, sizes):
+    return [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_ids_are_the_tokenisers():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.vocabulary_path())
-    ids = packing.WordIds(packing.vocabulary_path(), most=50)
-    texts = ["", "a<|endoftext|>b <|x", "é́ ﬁ İ ΑΣ x y\x1cz don't 12ab３", "a​ ' 's x's ́ ́a", "日本語 text", "\x0b\x0c a\x85b", "Word, WORD. word.,", words(1, 300)]
-    for _ in range(2):
-        assert ids.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    ids = packing.TextIds(packing.vocabulary_path())
+    texts = ["", None, "  \n", "a<|endoftext|>b <|x", "<|endoftext|>.", "é́ ﬁ İ ΑΣ x y\x1cz don't 12ab３", "a​ ' 's x's ́ ́a a.́ a., ́", "日本語 text", "\x0b\x0c a\x85b \xa0c", "Word, WORD. word.,|~ ... A1 1A #x# x_y", words(1, 300)]
+    assert split_ids(*ids.encode(pa.array(texts), 1)) == ids_by_hand(tok, texts)
+    none, sizes = ids.encode(pa.array([], pa.string()), 1)
+    assert len(none) == len(sizes) == 0
 
 
-def test_word_ids_of_letters_that_become_marks():
-    """Every letter before stops, alone and in a word."""
+def test_ids_of_every_letter():
+    """Every letter before signs, alone and in a word; every plain one is lower-cased as the tokeniser does."""
     import sys
 
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.vocabulary_path())
-    ids = packing.WordIds(packing.vocabulary_path())
-    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha()]
-    texts = ["\u0130.", "ab\u0130, \u0130b.", "\u0915\u095d, \u0915\u095d.", "\ufb1f.,", *(" ".join(f"{c}. a{c}," for c in letters[i : i + 2000]) for i in range(0, len(letters), 2000))]
-    assert ids.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    ids = packing.TextIds(packing.vocabulary_path())
+    letters = [c for c in map(chr, range(65, sys.maxunicode + 1)) if c.isalpha()]
+    texts = ["\u0130.", "ab\u0130, \u0130b.", "\u0915\u095d, \u0915\u095d.", "\ufb1f.,", *(" ".join(f"{c}. a{c}, {c}{c}" for c in letters[i : i + 2000]) for i in range(0, len(letters), 2000))]
+    signs = "".join(map(chr, range(33, 127)))
+    texts += [" ".join(f"ab{a}{b} {a}{b}ab" for a in signs for b in signs)]
+    assert split_ids(*ids.encode(pa.array(texts), 1)) == ids_by_hand(tok, texts)
+
+
+def test_pieces_of_sliced_batches(spark, monkeypatch):
+    """Pieces don't depend on how much text is tokenised at once; keys may be called like new columns."""
+    rows = [(i, words(i, 3 + 1500 * (i % 5))) for i in range(30)] + [(30, None), (30, None)]
+    docs = spark.createDataFrame(rows, "piece long, text string").coalesce(1)
+    whole = packing.token_pieces(docs, "piece", "text", packing.vocabulary_path(), context=512).collect()
+    monkeypatch.setattr(packing, "SLICE", 9000)
+    parts = packing.token_pieces(docs, "piece", "text", packing.vocabulary_path(), context=512).collect()
+    assert whole == parts and whole[0].asDict().keys() == {"piece", "piece_", "start", "length", "ids"}
+    assert Counter(r.piece for r in whole)[30] == 2 and all(len(r.ids) == 4 * r.length for r in whole)
+
+
+def test_pack_clashing_columns(spark):
+    rows = [(i, 1 + i % 7, "x", -1, i, i, i) for i in range(60)] + [(5, 6, "x", -1, 5, 5, 5)]
+    df = spark.createDataFrame(rows, "rank long, length long, offset string, salt long, h long, row long, g long")
+    out = packing.pack(df, context=8).toPandas()
+    assert len(out) == 61 and sorted(out["rank"]) == sorted(r[0] for r in rows) and (out["salt"] == -1).all() and (out["h"] == out["g"]).all()
+    for _, part in out.groupby("sequence_id"):
+        assert sorted(part.offset) == [0, *part.sort_values("offset").length.cumsum()[:-1]]
 
 
 def test_pack_rejects_long_pieces(spark):
