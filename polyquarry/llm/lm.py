@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import cut, table
+from polyquarry.llm.common import cut, quoted, table, unlike
 from polyquarry.llm.langid import held_out
 
 END = b"\n"  # no word holds it
 START_HASH = 0x2545F4914F6CDD1D
 #: Bytes of text that are tokenised at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: n-grams of one segment that a task looks up; a segment that is asked for more is copied to several tasks.
+ASKED = 4 << 20
+#: Entries that a task counts before it sends them on.
+HELD = 8 << 20
 
 
 # --- tokens
 
 
-def _slices(batch, text: str):
-    """Row ranges of a record batch that hold about SLICE bytes of text each, one row at least."""
-    lengths = [len(v.as_py() or "") for v in batch.column(batch.schema.get_field_index(text))]
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        if held and held + n > SLICE:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if lengths:
-        yield start, len(lengths)
+def _slices(texts):
+    """Row ranges of a batch that hold about SLICE bytes of text each, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.nonzero(np.diff((np.cumsum(size) - size) // SLICE))[0] + 1).tolist(), len(size)]
+    return zip(edges, edges[1:], strict=False) if len(size) else ()
 
 
 def _tokens(texts):
-    """Sorted hashes of the distinct tokens, each token's place among them, tokens of each text (words, then one end)."""
+    """Of the distinct tokens, sorted, two hashes each; each token's place among them; tokens of each text (words, then one end).
+
+    Tokens are told apart by both hashes (128 bits); they are sorted by the first.
+    """
     import numpy as np
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_128_digest
 
     flat, lengths = [], []
     for text in texts:
@@ -42,13 +48,13 @@ def _tokens(texts):
         flat.append(END)
         lengths.append(len(words) + 1)
     distinct = list(dict.fromkeys(flat))
-    hashes = np.fromiter((xxh64_intdigest(w, 42) for w in distinct), dtype=np.uint64, count=len(distinct))
-    order = np.argsort(hashes, kind="stable")
+    both = np.frombuffer(b"".join(map(xxh3_128_digest, distinct)), dtype="<u8").reshape(-1, 2)
+    order = np.argsort(both[:, 0], kind="stable")
     place = np.empty(len(distinct), dtype=np.int32)
     place[order] = np.arange(len(distinct), dtype=np.int32)
     number = dict(zip(distinct, place.tolist(), strict=True))
     ids = np.fromiter(map(number.__getitem__, flat), dtype=np.int32, count=len(flat))
-    return hashes[order], ids, np.array(lengths, dtype=np.int64)
+    return both[order, 0], both[order, 1], ids, np.array(lengths, dtype=np.int64)
 
 
 def _pairs(hashes, ids, lengths):
@@ -65,61 +71,91 @@ def _pairs(hashes, ids, lengths):
 
 
 def _cuts(sorted_hashes, bits: int):
-    """Where each of the 2^bits segments (by highest bits) starts in sorted hashes, and the end."""
+    """Segments (by highest bits) that sorted hashes have entries in, where each starts, and the end."""
+    import numpy as np
+
+    seg = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.nonzero(np.diff(seg, prepend=-1))[0]
+    return seg[starts], np.append(starts, len(seg))
+
+
+def _places(known, check, asked, asked_check):
+    """Where each asked token stands among the known ones, which hold all of them; both sorted by their first hash."""
+    import numpy as np
+
+    at = np.searchsorted(known, asked)
+    off = np.nonzero(check[at] != asked_check)[0]
+    for i in off.tolist():  # the first hash is shared by several tokens
+        while check[at[i]] != asked_check[i]:
+            at[i] += 1
+    return at
+
+
+def _merged(hashes, check, counts):
+    """Distinct tokens sorted by both hashes, with their counts added up. ``check`` may be None."""
     import numpy as np
 
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]))
+    order = np.argsort(hashes, kind="stable") if check is None else np.lexsort((check, hashes))
+    h = hashes[order]
+    new = h[1:] != h[:-1]
+    if check is not None:
+        check = check[order]
+        new |= check[1:] != check[:-1]
+    first = np.concatenate(([0], np.nonzero(new)[0] + 1)) if len(h) else np.empty(0, dtype=np.int64)
+    total = np.add.reduceat(counts[order], first) if len(h) else counts
+    return h[first], None if check is None else check[first], total
 
 
 # --- the filter
 
 
 class LogFrequencyFilter:
-    """Quantised counts in Bloom filters, one for each segment of the hash range.
+    """Quantised counts of one segment's n-grams in a Bloom filter.
 
-    A count c has level 1 + floor(log_base c); an n-gram is entered once for each level up to its own. A query probes levels from 1
-    until one fails; what it passed is the count's level, never too low, too high only by false positives.
+    Level k holds the counts from the k-th step on; steps grow by ``base``, by 1 at least, so small counts are exact. An n-gram is
+    entered once for each level up to its count's. A query probes levels from 1 until one fails; what it passed is the
+    count's level, never too low, too high only by false positives.
     """
 
-    base, probes, bits_per_entry = 1.5, 3, 8
+    base, probes, bits_per_entry = 1.25, 5, 16
 
-    def __init__(self, bits: int, parts: dict[int, bytes]):
+    def __init__(self, bits: bytes):
         import numpy as np
 
-        self.bits = bits
-        self.sizes = np.zeros(1 << bits, dtype=np.uint64)  # in bits; 0: not held here
-        self.starts = np.zeros(1 << bits, dtype=np.int64)
-        for s, blob in sorted(parts.items()):
-            self.sizes[s] = 8 * len(blob)
-        self.starts[1:] = np.cumsum(self.sizes[:-1].astype(np.int64)) // 8
-        self.data = np.frombuffer(b"".join(blob for _, blob in sorted(parts.items())), dtype=np.uint8)
+        self.bits = np.frombuffer(bits, dtype=np.uint8)
 
     @staticmethod
-    def spots(h, level: int, probe: int, sizes):
+    def spots(h, level: int, probe: int, size: int):
         import numpy as np
 
         x = (h ^ np.uint64((level * 8 + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(29))) % sizes
+        return (x ^ (x >> np.uint64(29))) % np.uint64(size)
+
+    @classmethod
+    def steps(cls):
+        import numpy as np
+
+        made = [1]
+        while len(made) < 126:
+            made.append(max(made[-1] + 1, math.ceil(made[-1] * cls.base)))
+        return np.array(made)
 
     @classmethod
     def levels(cls, counts):
         import numpy as np
 
-        return 1 + np.floor(np.log(counts) / np.log(cls.base) + 1e-9).astype(np.int64)
+        return np.searchsorted(cls.steps(), counts, side="right")
 
     @classmethod
     def value(cls, levels):
         """The middle of a level's counts; of level 0, 0."""
         import numpy as np
 
-        low = np.ceil(cls.base ** (levels - 1.0) - 1e-9)
-        high = np.maximum(low, np.ceil(cls.base ** (levels * 1.0) - 1e-9) - 1)
-        return np.where(levels > 0, (low + high) / 2, 0.0)
+        edges = np.concatenate(([0, 1], cls.steps()[1:], [cls.steps()[-1] + 1]))
+        return ((edges[:-1] + edges[1:] - 1) / 2)[levels] * (levels > 0)
 
     @classmethod
     def build(cls, h, counts) -> bytes:
-        """One segment's filter."""
         import numpy as np
 
         levels = cls.levels(counts)
@@ -128,42 +164,27 @@ class LogFrequencyFilter:
         for level in range(1, int(levels.max(initial=0)) + 1):
             part = h[levels >= level]
             for probe in range(cls.probes):
-                on[cls.spots(part, level, probe, np.uint64(size))] = True
+                on[cls.spots(part, level, probe, size)] = True
         return np.packbits(on, bitorder="little").tobytes()
 
-    def holds(self, h):
-        import numpy as np
-
-        return self.sizes[(h >> np.uint64(64 - self.bits)).astype(np.int64)] > 0
-
-    def count(self, h):
-        """Quantised counts of n-grams whose segments are held here."""
+    def levels_of(self, h):
+        """The level that each n-gram seems to have."""
         import numpy as np
 
-        seg = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        sizes, starts = self.sizes[seg], self.starts[seg]
-        levels, live, level = np.zeros(len(h), dtype=np.int64), np.arange(len(h)), 0
-        while len(live) and level < 64:
+        levels, live, level = np.zeros(len(h), dtype=np.uint8), np.arange(len(h)), 0
+        while len(live) and level < 126:
             level += 1
             for probe in range(self.probes):
-                at = self.spots(h[live], level, probe, sizes[live]).astype(np.int64)
-                hit = (self.data[starts[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1
-                live = live[hit == 1]
+                at = self.spots(h[live], level, probe, 8 * len(self.bits)).astype(np.int64)
+                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             levels[live] = level
-        return self.value(levels)
+        return levels
 
 
 # --- the operator
 
 
-def lm_scores(
-    docs: DataFrame,
-    keys: list[str],
-    text: str,
-    held: str,
-    kappa: float = 4.0,
-    pass_bytes: int = 128 << 20,
-) -> DataFrame:
+def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: float = 4.0, segment: int = 8 << 20) -> DataFrame:
     """``keys``, held_out, n_tokens, n_known, train_tokens, base_score and score of each row's whole text.
 
     The model is learned from rows whose boolean ``held`` is false (null counts as false). Tokens are the blank-separated words of the
@@ -172,190 +193,211 @@ def lm_scores(
     token before (of texts, at the start), c' the pair's count, read from a log-frequency Bloom filter
     and cut to what n and c allow.
 
-    Tokens are told apart by 64-bit hashes. Counts move as packed arrays: for each slice of some MB of text, one array a
-    segment of the hash range. Segments, slices and so tasks have bounded sizes whatever the corpus; frequent
-    tokens and pairs are counted in their slice first. Slices are made and checkpointed once, since their numbers join them to the counts. All pairs of the training texts enter the filter, so its size
-    follows the corpus; it is broadcast in passes of at most ``pass_bytes``, each over the segments of one part
-    of the pairs, and the passes' partial scores are added. Repeated rows stay; empty tables give empty results.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(*keys, F.coalesce(F.col(held), F.lit(False)).alias("held_out"), text)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    # a token takes about 6 bytes; segments of about a million entries
-    one_bits = max(5, (size // (48 << 20)).bit_length())
-    two_bits = max(5, (size // (8 << 20)).bit_length())
-
-    def batches_of(batches):
-        from pyspark import TaskContext
+    Texts are tokenised once, into checkpointed slices of some MB: packed arrays under a number that all later joins use. Counts are
+    kept in segments of the hash range, one for about each ``segment`` bytes of text, so that their sizes don't follow the corpus:
+    tables of tokens (told apart by 128 bits) and a Bloom filter for pairs. Tasks add up what they count before they send it,
+    so a frequent n-gram reaches its segment once a task. Slices then ask the segments for their distinct n-grams;
+    a segment that many ask is copied to several tasks. No broadcast and no work of the driver grows with the corpus
+    but the list of segments that are copied (at most 12 bytes for each ASKED n-grams asked).
 
-        context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 24
-        for batch in batches:
-            for a, b in _slices(batch, text):
-                yield number, batch.slice(a, b - a)
-                number += 1
+    Repeated rows stay; null keys are kept; empty tables give empty results. A key called like a new column keeps its name, the new
+    column gets an underscore behind its own.
+    """
+    new = {n: unlike(n, keys) for n in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
+    docs = docs.select(F.struct(*(F.col(quoted(k)) for k in keys)).alias("row"), F.coalesce(F.col(quoted(held)), F.lit(False)).alias("held"), F.col(quoted(text)).alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(4, (size // segment).bit_length())
 
     def column(batch, name):
         return batch.column(batch.schema.get_field_index(name))
 
     def sliced(batches):
-        """A slice as one row: its keys, its texts' lengths and parts in training, its tokens as places among its distinct hashes."""
+        """A slice as one row: its keys, its texts' lengths and parts in training, its tokens as places among its distinct ones."""
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        for number, part in batches_of(batches):
-            hashes, ids, lengths = _tokens(column(part, text).to_pylist())
-            train = ~column(part, "held_out").to_numpy(zero_copy_only=False).astype(bool)
-            kept = part.drop_columns([text])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, kept.schema) as out:
-                out.write_batch(kept)
-            blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), ids.tobytes(), lengths.tobytes(), train.astype(np.uint8).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "keys", "hashes", "ids", "lengths", "train"])
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 24
+        for batch in batches:
+            for a, b in _slices(column(batch, "text")):
+                part = batch.slice(a, b - a)
+                hashes, check, ids, lengths = _tokens(column(part, "text").to_pylist())
+                train = ~column(part, "held").to_numpy(zero_copy_only=False).astype(bool)
+                kept = pa.RecordBatch.from_arrays([column(part, "row"), column(part, "held")], names=["row", "held"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept.schema) as out:
+                    out.write_batch(kept)
+                blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), check.tobytes(), ids.tobytes(), lengths.tobytes(), train.astype(np.uint8).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "keys", "hashes", "check", "ids", "lengths", "train"])
+                number += 1
 
-    # written once: batches and so slices may end elsewhere when the texts are read again with other columns
-    slices = cut(docs.mapInArrow(sliced, "slice long, keys binary, hashes binary, ids binary, lengths binary, train binary"))
+    # written once: batches and so slices may end elsewhere when the texts are read again
+    slices = cut(docs.mapInArrow(sliced, "slice long, keys binary, hashes binary, check binary, ids binary, lengths binary, train binary"))
 
     def opened(batches):
-        """Number, hashes, ids, lengths and, for each token, whether it is in training."""
+        """Number, hashes, second hashes, ids, lengths and, for each token, whether it is in training."""
         import numpy as np
 
-        kinds = {"hashes": np.uint64, "ids": np.int32, "lengths": np.int64, "train": np.uint8}
+        kinds = {"hashes": np.uint64, "check": np.uint64, "ids": np.int32, "lengths": np.int64, "train": np.uint8}
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes, ids, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
-                yield column(batch, "slice")[i].as_py(), hashes, ids, lengths, np.repeat(train == 1, lengths)
+                hashes, check, ids, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
+                yield column(batch, "slice")[i].as_py(), hashes, check, ids, lengths, np.repeat(train == 1, lengths)
 
-    def one_counts(batches):
-        """Distinct tokens of each slice with their training counts, by segment."""
-        import numpy as np
-        import pyarrow as pa
+    def of_slice(kind):
+        """Distinct tokens or pairs of a slice, sorted, with their training counts."""
 
-        for number, hashes, ids, _, train in opened(batches):
-            counts = np.bincount(ids[train], minlength=len(hashes)).astype("<u4")
-            cuts = _cuts(hashes, one_bits)
-            segs = [s for s in range(1 << one_bits) if cuts[s + 1] > cuts[s]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(segs), pa.int64()), pa.array(segs, pa.int32())]
-                + [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in segs], pa.binary()) for x in (hashes, counts)],
-                names=["slice", "seg", "hashes", "counts"],
-            )
-
-    def one_answers(t):
-        """Whole counts for each slice of a segment; the slice -1 has the segment's tokens and distinct tokens."""
-        import numpy as np
-        import pyarrow as pa
+        def one(hashes, check, ids, lengths, train):
+            import numpy as np
 
-        asked = [np.frombuffer(b, dtype=np.uint64) for b in t["hashes"].to_pylist()]
-        given = np.concatenate([np.frombuffer(b, dtype="<u4") for b in t["counts"].to_pylist()]).astype(np.int64)
-        known, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.zeros(len(known), dtype=np.int64)
-        np.add.at(total, inverse, given)
-        answers = np.split(total[inverse], np.cumsum([len(x) for x in asked])[:-1])
-        seg, slices = t["seg"][0].as_py(), t["slice"].to_pylist()
-        return pa.table(
-            {
-                "slice": pa.array([*slices, -1], pa.int64()),
-                "seg": pa.array([seg] * (len(slices) + 1), pa.int32()),
-                "counts": pa.array([*(a.astype("<i8").tobytes() for a in answers), b""], pa.binary()),
-                "tokens": pa.array([0] * len(slices) + [int(total.sum())], pa.int64()),
-                "types": pa.array([0] * len(slices) + [int((total > 0).sum())], pa.int64()),
-            }
-        )
-
-    answers = cut(slices.select("slice", "hashes", "ids", "lengths", "train").mapInArrow(one_counts, "slice long, seg int, hashes binary, counts binary").groupBy("seg").applyInArrow(one_answers, "slice long, seg int, counts binary, tokens long, types long"))
-    n_all, n_types = answers.where("slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-
-    def two_counts(batches):
-        """Distinct pairs of each slice's training texts with their counts, by segment."""
-        import numpy as np
-        import pyarrow as pa
+            return hashes, check, np.bincount(ids[train], minlength=len(hashes))
+
+        def two(hashes, check, ids, lengths, train):
+            import numpy as np
 
-        for _, hashes, ids, lengths, train in opened(batches):
-            h, n = np.unique(_pairs(hashes, ids, lengths)[train], return_counts=True)
-            cuts = _cuts(h, two_bits)
-            segs = [s for s in range(1 << two_bits) if cuts[s + 1] > cuts[s]]
-            small = n.astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segs, pa.int32())] + [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in segs], pa.binary()) for x in (h, small)], names=["seg", "hashes", "counts"]
-            )
+            h = _pairs(hashes, ids, lengths)
+            known, inverse = np.unique(h, return_inverse=True)
+            return known, None, np.bincount(inverse[train], minlength=len(known))
 
-    def two_filter(t):
-        import numpy as np
-        import pyarrow as pa
+        return one if kind == 1 else two
 
-        h = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in t["hashes"].to_pylist()])
-        n = np.concatenate([np.frombuffer(b, dtype="<u4") for b in t["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        first = np.concatenate(([0], np.nonzero(h[1:] != h[:-1])[0] + 1))
-        return pa.table({"seg": pa.array([t["seg"][0].as_py()], pa.int32()), "bits": pa.array([LogFrequencyFilter.build(h[first], np.add.reduceat(n, first))], pa.binary())})
-
-    learned = slices.select("slice", "hashes", "ids", "lengths", "train").mapInArrow(two_counts, "seg int, hashes binary, counts binary")
-    filters = cut(learned.groupBy("seg").applyInArrow(two_filter, "seg int, bits binary"))
-    passes, now = [[]], 0
-    for seg, n in sorted((r[0], r[1]) for r in filters.select("seg", F.octet_length("bits")).collect()):  # 2^two_bits rows at most
-        if passes[-1] and now + n > pass_bytes:
-            passes.append([])
-            now = 0
-        passes[-1].append(seg)
-        now += n
-
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-
-    def scorer(shared, first: bool):
-        def score(_, part, replies):
+    def counted(kind):
+        """Training counts by segment, added up over a task's slices; and how many n-grams its slices will ask for."""
+        found = of_slice(kind)
+
+        def run(batches):
             import numpy as np
             import pyarrow as pa
 
-            model = shared.value
-            table_ = pa.ipc.open_stream(part["keys"][0].as_py()).read_all()
-            hashes, ids, lengths = (np.frombuffer(part[c][0].as_py(), dtype=k) for c, k in (("hashes", np.uint64), ("ids", np.int32), ("lengths", np.int64)))
-            by_seg = sorted(zip(replies["seg"].to_pylist(), replies["counts"].to_pylist(), strict=True))
-            counts = np.frombuffer(b"".join(b for _, b in by_seg), dtype="<i8")
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            end_count = counts[ids[-1]]  # each text ends once: the number of training texts
-            c = counts[ids]
-            n = np.empty_like(c)
-            n[1:] = c[:-1]
-            n[starts] = end_count
-            base = (c + 1) / (n_all + n_types + 1)
-            h = _pairs(hashes, ids, lengths)
-            mine = np.nonzero(model.holds(h) if len(model.sizes) else np.zeros(len(h), dtype=bool))[0]
-            others = first and ~(np.isin((h >> np.uint64(64 - two_bits)).astype(np.int64), all_segs)) if first else np.zeros(len(h), dtype=bool)
-            seen = np.zeros(len(h))
-            ask = mine[(c[mine] > 0) & (n[mine] > 0)]
-            seen[ask] = np.minimum(model.count(h[ask]), np.minimum(c[ask], n[ask]))
-            log = np.log10((seen + kappa * base) / (n + kappa))
-            use = np.asarray(others).copy()
-            use[mine] = True
-            made = {
-                "pos": pa.array(np.arange(len(lengths))),
-                "n_tokens": pa.array(lengths),
-                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
-                "base_score": pa.array(np.add.reduceat(np.log10(base), starts)),
-                "score": pa.array(np.add.reduceat(np.where(use, log, 0.0), starts)),
-            }
-            for name, values in made.items():
-                table_ = table_.append_column(name, values)
-            return table_.append_column("slice", pa.array([part["slice"][0].as_py()] * len(lengths), pa.int64()))
-
-        return score
-
-    all_segs = [s for group in passes for s in group]
-    packed = slices.drop("train")
-    replies = answers.where("slice >= 0").select("slice", "seg", "counts")
-    schema = f"{key_schema}, pos long, n_tokens long, n_known long, base_score double, score double, slice long"
-    out = None
-    for number, segs in enumerate(passes):
-        parts = {r.seg: bytes(r.bits) for r in filters.where(F.col("seg").isin(segs)).toLocalIterator()} if segs else {}
-        shared = spark.sparkContext.broadcast(LogFrequencyFilter(two_bits, parts))
-        scored = packed.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(scorer(shared, number == 0), schema)
-        out = scored if out is None else out.unionByName(scored)
-    if len(passes) > 1:
-        rest = [c for c in out.columns if c not in ("slice", "pos", "score")]
-        out = out.groupBy("slice", "pos").agg(*(F.first(c).alias(c) for c in rest), F.sum("score").alias("score"))
-    return out.select(*keys, "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
+            def send(parts):
+                hashes, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
+                check = None if kind == 2 else np.concatenate([p[1] for p in parts])
+                asked = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64))
+                h, check, n = _merged(hashes, check, counts.astype(np.int64))
+                segs, cuts = _cuts(h, bits)
+                blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if x is not None else [None] * len(segs) for x in (h, check, n.astype("<i8" if n.max() >> 32 else "<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(asked[segs], pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["seg", "asked", "hashes", "check", "counts"])
+
+            parts = []
+            for _, *of in opened(batches):
+                parts.append(found(*of))
+                if sum(len(p[0]) for p in parts) > HELD:
+                    yield from send(parts)
+                    parts = []
+            if parts:
+                yield from send(parts)
+
+        return run
+
+    def asks(kind):
+        """Distinct n-grams of each slice, by segment."""
+        found = of_slice(kind)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for number, *of in opened(batches):
+                h, check, _ = found(*of)
+                segs, cuts = _cuts(h, bits)
+                blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if x is not None else [None] * len(segs) for x in (h, check)]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(segs), pa.int64()), pa.array(segs, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["slice", "seg", "hashes", "check"])
+
+        return run
+
+    def built(kind):
+        """A segment's table of tokens or filter of pairs."""
+
+        def run(t):
+            import numpy as np
+            import pyarrow as pa
+
+            def all_of(name):
+                return np.concatenate([np.frombuffer(b, dtype="<u8") for b in t[name].to_pylist()])
+
+            n = [np.frombuffer(c, dtype="<u4" if 2 * len(c) == len(h) else "<i8") for h, c in zip(t["hashes"].to_pylist(), t["counts"].to_pylist(), strict=True)]
+            h, check, n = _merged(all_of("hashes"), all_of("check") if kind == 1 else None, np.concatenate(n).astype(np.int64))
+            blob = b"".join(x.tobytes() for x in (h, check, n)) if kind == 1 else LogFrequencyFilter.build(h[n > 0], n[n > 0])
+            made = [t["seg"][0].as_py(), sum(t["asked"].to_pylist()), blob, int(n.sum()), int((n > 0).sum())]
+            return pa.table({c: pa.array([v], k) for c, v, k in zip(("seg", "asked", "held", "tokens", "types"), made, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
+
+        return run
+
+    def answered(kind):
+        """What a segment holds of each slice's n-grams: counts of tokens, levels of pairs."""
+
+        def run(asked, tables):
+            import numpy as np
+            import pyarrow as pa
+
+            out = []
+            if asked.num_rows:
+                blob = tables["held"][0].as_buffer()
+                if kind == 2:
+                    model = LogFrequencyFilter(blob)
+                else:
+                    known, check, total = np.frombuffer(blob, dtype="<u8").reshape(3, -1)
+                for h, c in zip(asked["hashes"].to_pylist(), asked["check"].to_pylist(), strict=True):
+                    h = np.frombuffer(h, dtype="<u8")
+                    if kind == 2:
+                        out.append(model.levels_of(h).tobytes())
+                    else:
+                        n = total[_places(known, check, h, np.frombuffer(c, dtype="<u8"))]
+                        out.append(n.astype("<u4" if n.max() < 1 << 32 else "<u8").tobytes())
+            return pa.table({"slice": asked["slice"], "kind": pa.array([kind] * len(out), pa.int32()), "seg": asked["seg"], "many": pa.array([len(h) // 8 for h in asked["hashes"].to_pylist()], pa.int64()), "answer": pa.array(out, pa.binary())})
+
+        return run
+
+    def exchange(kind):
+        """The segments, and what they answer each slice."""
+        narrow = slices.drop("keys") if kind == 1 else slices.drop("keys", "check").withColumn("check", F.lit(b""))
+        narrow = narrow.select("slice", "hashes", "check", "ids", "lengths", "train")
+        segments = cut(narrow.mapInArrow(counted(kind), "seg long, asked long, hashes binary, check binary, counts binary").groupBy("seg").applyInArrow(built(kind), "seg long, asked long, held binary, tokens long, types long"))
+        copies = segments.select("seg", F.ceil(F.col("asked") / F.lit(ASKED)).cast("int").alias("copies"))
+        hot = copies.where("copies > 1")  # one row for each ASKED n-grams asked, at most
+        copy = F.pmod(F.xxhash64("slice"), F.coalesce("copies", F.lit(1))).alias("copy")
+        asked = narrow.mapInArrow(asks(kind), "slice long, seg long, hashes binary, check binary").join(F.broadcast(hot), "seg", "left").select("slice", "seg", copy, "hashes", "check")
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("asked") / F.lit(ASKED)), F.lit(1)).cast("long") - 1)).alias("copy")
+        tables = segments.select("seg", spread, "held")
+        answers = asked.withColumn("copy", F.col("copy").cast("long")).groupBy("seg", "copy").cogroup(tables.groupBy("seg", "copy"))
+        return segments, answers.applyInArrow(answered(kind), "slice long, kind int, seg long, many long, answer binary")
+
+    ones, counts = exchange(1)
+    n_all, n_types = ones.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    _, levels = exchange(2)
+
+    def score(part, replies):
+        import numpy as np
+        import pyarrow as pa
+
+        made = pa.ipc.open_stream(part["keys"][0].as_py()).read_all()
+        hashes, ids, lengths = (np.frombuffer(part[c][0].as_py(), dtype=k) for c, k in (("hashes", np.uint64), ("ids", np.int32), ("lengths", np.int64)))
+        by_seg = sorted(zip(*(replies[c].to_pylist() for c in ("kind", "seg", "many", "answer")), strict=True))
+        counts = np.concatenate([np.frombuffer(b, dtype=f"<u{len(b) // n}").astype(np.int64) for k, _, n, b in by_seg if k == 1])
+        seems = LogFrequencyFilter.value(np.arange(127))[np.frombuffer(b"".join(b for k, _, _, b in by_seg if k == 2), dtype=np.uint8)]
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        c = counts[ids]
+        n = np.empty_like(c)
+        n[1:] = c[:-1]
+        n[starts] = counts[ids[-1]]  # each text ends once: the number of training texts
+        base = (c + 1) / (n_all + n_types + 1)
+        _, pair = np.unique(_pairs(hashes, ids, lengths), return_inverse=True)
+        seen = np.minimum(seems[pair], np.minimum(c, n))
+        values = {
+            "n_tokens": pa.array(lengths),
+            "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
+            "base_score": pa.array(np.add.reduceat(np.log10(base), starts)),
+            "score": pa.array(np.add.reduceat(np.log10((seen + kappa * base) / (n + kappa)), starts)),
+        }
+        for name, value in values.items():
+            made = made.append_column(name, value)
+        return made
+
+    packed = slices.select("slice", "keys", "hashes", "ids", "lengths")
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, held boolean, n_tokens long, n_known long, base_score double, score double"
+    out = packed.groupBy("slice").cogroup(counts.unionByName(levels).groupBy("slice")).applyInArrow(score, schema)
+    out = out.withColumn("train_tokens", F.lit(int(n_all)).cast("long")).withColumnRenamed("held", "held_out")
+    return out.select("row.*", *(F.col(c).alias(n) for c, n in new.items()))
 
 
 def op9_log_frequency_scores(spark, sf_dir):
