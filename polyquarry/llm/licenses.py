@@ -6,11 +6,13 @@ Main path in DataFrame functions only.
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import cut, table
+from polyquarry.llm.common import cut, quoted, table, unlike
+from polyquarry.llm.license_texts import TEXTS
 
 #: Word characters: digits, Latin letters, everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -24,98 +26,95 @@ BASE = [
     ("mit", "mit license"),
 ]
 
-#: label, template text, mandatory key phrase (a part of the text). Wording of the public licences' own notices.
-TEMPLATES = [
-    ("agpl", "gnu affero general public license", "affero general public license"),
-    ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "used to endorse or promote products"),
-    ("cc-by", "licensed under a creative commons attribution international license", "creative commons attribution"),
-    ("cc0", "creative commons zero public domain dedication", "creative commons zero"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-]
-
-
 def words_of(text: Column) -> Column:
     """The words, A-Z lower-cased; null: none."""
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), 1)
 
 
-def _templates(templates, base) -> list[tuple]:
+def _split(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def _templates(texts, base) -> list[tuple]:
     """(label, words, key start, key length, is base): base phrases are templates that are all key phrase."""
-    made = [(label, phrase.split(), 0, len(phrase.split()), True) for label, phrase in base]
-    for label, text, phrase in templates:
-        words, key = text.split(), phrase.split()
-        start = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    made = [(label, words, 0, len(words), True) for label, phrase in base for words in [_split(phrase)]]
+    for label, phrase, text in texts:
+        words, key = _split(text), _split(phrase)
+        start = next((i for i in range(len(words)) if words[i : i + len(key)] == key), None)
+        if start is None or not key:
+            raise ValueError(f"the text of {label} doesn't hold its key phrase")
         made.append((label, words, start, len(key), False))
     return made
 
 
-def scan_licenses(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLATES, base=BASE, rare: int = 2) -> DataFrame:
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as SQL VALUES; ``rows`` hold plain words and numbers."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds, strict=True))} FROM VALUES {values} AS t({', '.join(names)})")
+
+
+def scan_licenses(docs: DataFrame, key: list[str], text: str = "text", templates=TEXTS, base=BASE, rare: int = 2) -> DataFrame:
     """``key`` columns, n_words, places (label, start, length, is_base of every verified phrase), base_labels, labels, score.
 
-    The index lists each template's words with their positions. A word's weight is its inverse document frequency,
-    counted over all of ``docs``; of a document only words of the templates are kept, with positions. Of each template's
-    key phrase the ``rare`` highest-weighted words are looked up in every document. A word's position there less
-    its position in the phrase is where the phrase would start; the words' starts are intersected, and what is left is
-    verified against all other words of the phrase. Each occurrence of a phrase holds its rarest words, so none is
-    lost. score: the largest share of a template's weight that stands in place around its first verified phrase, 0
-    without one. Lists of labels are distinct and sorted. Null and empty texts have no words; repeated rows stay; empty tables
-    stay empty. Work on a row grows with its length and the number of templates; nothing but the counts is shuffled.
+    Of a file only words of the templates are kept, with positions; a word's weight is its inverse document frequency over all
+    of ``docs``. The index is a table of postings (word, template, position):
+
+    1. Of each template's key phrase the ``rare`` highest-weighted words are its anchors. A file looks up those of its words
+       that are anchors; a word's position less its posting's is where the phrase would start. Starts that all anchors of a
+       template name are candidates. Every occurrence of a phrase holds its anchors, so none is lost.
+    2. Candidates look for all other words of their template in place, by a join on (file, position, word). Those with the whole
+       key phrase are verified.
+
+    score: the largest share of a template's weight that stands in place around a verified phrase of it; a base phrase that
+    only stands alone counts 0.5; without any, 0. Lists of labels are distinct and sorted. Null and empty texts have no
+    words; repeated rows stay; empty tables stay empty. A key called like a new column keeps its name, the new column gets an
+    underscore behind its own. Postings are broadcast: as many as the templates have words, whatever ``docs`` holds.
     """
+    spark = docs.sparkSession
+    new = {n: unlike(n, key) for n in ("n_words", "places", "base_labels", "labels", "score")}
     known = _templates(templates, base)
     vocabulary = sorted({w for t in known for w in t[1]})
-    read = docs.select(*key, words_of(F.col(text)).alias("_words"))
-    at = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
-    kept = cut(read.select(*key, F.size("_words").cast("long").alias("n_words"), at.alias("_at")))
+    read = docs.select(F.struct(*(F.col(quoted(k)) for k in key)).alias("row"), words_of(F.col(quoted(text))).alias("words"))
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
+    kept = cut(read.select(F.monotonically_increasing_id().alias("id"), "row", F.size("words").cast("long").alias("n_words"), at.alias("at")))
 
-    words_in = F.array_distinct(F.transform("_at", lambda x: x["w"]))
+    words_in = F.array_distinct(F.transform("at", lambda x: x["w"]))
     df = {r[0]: r[1] for r in kept.select(F.explode(words_in).alias("w")).groupBy("w").count().collect()}  # at most the vocabulary
     total = kept.count()
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
 
-    def spots(word: str, position: int) -> Column:
-        """Where a phrase that holds ``word`` at ``position`` would start."""
-        return F.transform(F.filter("_at", lambda x: x["w"] == word), lambda x: x["i"] - F.lit(position))
-
-    def as_place(label: str, length: int, is_base: bool):
-        return lambda s: F.struct(F.lit(label).alias("label"), s.alias("start"), F.lit(length).alias("length"), F.lit(is_base).alias("is_base"))
-
-    none = F.array().cast("array<int>")
-    places, shares = [], []
-    for label, words, start, length, is_base in known:
-        phrase = words[start : start + length]
-        order = sorted(range(length), key=lambda i: (-idf[phrase[i]], i))
-        found = spots(phrase[order[0]], order[0])
-        for i in order[1:rare]:
-            found = F.array_intersect(found, spots(phrase[i], i))
-        verified = found
-        for i in order[rare:]:
-            verified = F.array_intersect(verified, spots(phrase[i], i))
-        # candidates first; the other words only where there are any
-        starts = F.when(F.size(found) > 0, verified).otherwise(none) if length > rare else found
-        places.append(F.transform(starts, as_place(label, length, is_base)))
-        if is_base:
-            shares.append(F.when(F.size(starts) > 0, 1.0).otherwise(0.0))
-        else:
-            whole = sum(idf[w] for w in words)
-            first = F.array_min(starts) - F.lit(start)
-            in_place = sum((F.when(F.array_contains(spots(w, j), first), idf[w] / whole).otherwise(0.0) for j, w in enumerate(words)), F.lit(0.0))
-            shares.append(F.when(F.size(starts) > 0, F.least(in_place, F.lit(1.0))).otherwise(0.0))
-    rarest = sorted({max(words[start : start + length], key=lambda w: idf[w]) for _, words, start, length, _ in known})
-    some = F.exists("_at", lambda x: x["w"].isin(rarest))
-    empty = F.array().cast("array<struct<label:string,start:int,length:int,is_base:boolean>>")
-    placed = kept.withColumn("places", F.when(some, F.concat(*places)).otherwise(empty)).withColumn("score", F.when(some, F.greatest(*shares)).otherwise(0.0))
+    anchors, parts, about = [], [], []
+    for t, (label, words, first, length, is_base) in enumerate(known):
+        order = sorted(range(length), key=lambda i: (-idf[words[first + i]], i))[:rare]
+        anchors += [(words[first + i], t, i, len(order)) for i in order]
+        whole = sum(idf[w] for w in words)
+        parts += [(t, i - first, w, idf[w] / whole, int(first <= i < first + length)) for i, w in enumerate(words)]
+        about.append((t, label, length, is_base))
+    postings = F.broadcast(_values(spark, anchors, "w string, t int, p int, need int"))
+    parts = F.broadcast(_values(spark, parts, "t int, p int, w string, weight double, keyed int"))
+    about = F.broadcast(_values(spark, about, "t int, label string, length int, is_base boolean"))
+
+    rarest = sorted({a[0] for a in anchors})
+    met = kept.where(F.exists("at", lambda x: x["w"].isin(rarest)))  # other files have no phrase
+    looked = met.select("id", F.explode(F.filter("at", lambda x: x["w"].isin(rarest))).alias("x")).select("id", "x.w", "x.i").join(postings, "w")
+    starts = looked.groupBy("id", "t", (F.col("i") - F.col("p")).alias("start")).agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
+    wanted = starts.join(parts, "t").select("id", "t", "start", (F.col("start") + F.col("p")).alias("i"), "w", "weight", "keyed")
+    present = met.select("id", F.explode("at").alias("x")).select("id", "x.w", "x.i")
+    standing = wanted.join(present, ["id", "i", "w"]).groupBy("id", "t", "start").agg(F.sum("keyed").alias("keyed"), F.sum("weight").alias("share"))
+    verified = standing.join(about, "t").where("keyed = length")
+    place = F.struct("label", "start", "length", "is_base")
+    share = F.when(F.col("is_base"), 0.5).otherwise(F.least("share", F.lit(1.0)))
+    by_file = verified.groupBy("id").agg(F.array_sort(F.collect_list(place)).alias("places"), F.max(share).alias("score"))
 
     def labels(rows: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda x: x["label"]))), ",")
 
-    return placed.select(*key, "n_words", "places", labels(F.filter("places", lambda x: x["is_base"])).alias("base_labels"), labels(F.col("places")).alias("labels"), "score")
+    found = kept.select("id", "row", "n_words").join(by_file, "id", "left")
+    found = found.withColumn("places", F.coalesce("places", F.array().cast("array<struct<label:string,start:int,length:int,is_base:boolean>>")))
+    made = {"n_words": F.col("n_words"), "places": F.col("places"), "base_labels": labels(F.filter("places", lambda x: x["is_base"])), "labels": labels(F.col("places")), "score": F.coalesce("score", F.lit(0.0))}
+    return found.select("row.*", *(c.alias(new[n]) for n, c in made.items()))
 
 
 def op10_license_index(spark, sf_dir):
