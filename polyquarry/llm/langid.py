@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import table
+from polyquarry.llm.common import cut, table
 
 UNKNOWN = "und"
-#: Most languages a filter's 64-bit words tell apart.
-MAX_LANGUAGES = 64
+#: Most languages that may be learned; the driver holds their filters.
+MAX_LANGUAGES = 4096
 #: n-grams of a text that are probed at once.
 CHUNK = 1 << 18
 
@@ -56,7 +56,7 @@ def _hashes(codes, orders: tuple[int, ...]):
 
 
 class LanguageFilter:
-    """Bloom filters of all languages in one array: bit l of a slot belongs to language l.
+    """Bloom filters of all languages in one array: bit l % 64 of a slot's word l // 64 belongs to language l.
 
     An n-gram sets its languages' bits in ``probes`` slots; ANDing these slots returns the mask of all languages that hold
     it. ``fp[l]`` is the chance that a strange n-gram seems to be in l.
@@ -66,9 +66,13 @@ class LanguageFilter:
         import numpy as np
 
         self.languages, self.slots, self.probes, self.orders = languages, slots, probes, orders
-        fill = [np.count_nonzero(slots & np.uint64(1 << l)) / len(slots) for l in range(len(languages))]
+        fill = [np.count_nonzero(slots[:, l // 64] & np.uint64(1 << l % 64)) / len(slots) for l in range(len(languages))]
         self.fp = np.array(fill) ** probes
 
+    def state(self) -> dict:
+        """Plain arrays: workers make the filter anew from them, so they need no package."""
+        return {"languages": self.languages, "slots": self.slots, "probes": self.probes, "orders": self.orders}
+
     @staticmethod
     def places(h, size: int, probes: int):
         import numpy as np
@@ -81,17 +85,17 @@ class LanguageFilter:
         import numpy as np
 
         size = max(64, bits_per_gram * max([1, *map(len, grams)])) | 1
-        slots = np.zeros(size, dtype=np.uint64)
+        slots = np.zeros((size, max(1, -(-len(languages) // 64))), dtype=np.uint64)
         for number, own in enumerate(grams):
             for at in cls.places(np.asarray(own, dtype=np.uint64), size, probes):
-                np.bitwise_or.at(slots, at, np.uint64(1 << number))
+                slots[at, number // 64] |= np.uint64(1 << number % 64)
         return cls(list(languages), slots, probes, tuple(orders))
 
     def masks(self, h):
-        import numpy as np
-
-        mask = np.full(len(h), ~np.uint64(0))
-        for at in self.places(h, len(self.slots), self.probes):
+        """A row of words for each n-gram."""
+        first, *others = self.places(h, len(self.slots), self.probes)
+        mask = self.slots[first]
+        for at in others:
             mask &= self.slots[at]
         return mask
 
@@ -130,9 +134,12 @@ class LanguageFilter:
         for order in self.orders:
             for at in range(0, max(1, len(codes) - order + 1), CHUNK):  # long texts piece by piece, none left out
                 h = _hashes(codes[at : at + CHUNK + order - 1], (order,))
-                # counts of equal masks first: few differ
-                masks, times = np.unique(self.masks(h), return_counts=True)
-                hits += (((masks[:, None] >> np.arange(k, dtype=np.uint64)[None, :]) & np.uint64(1)) * times[:, None].astype(np.uint64)).sum(axis=0)
+                found = self.masks(h)
+                for word in range(found.shape[1]):
+                    # counts of equal masks first: few differ
+                    masks, times = np.unique(found[:, word], return_counts=True)
+                    own = np.arange(min(64, k - 64 * word), dtype=np.uint64)
+                    hits[64 * word : 64 * word + len(own)] += (((masks[:, None] >> own[None, :]) & np.uint64(1)) * times[:, None].astype(np.uint64)).sum(axis=0)
                 n += len(h)
         return np.maximum(0.0, (hits - n * self.fp) / np.maximum(1e-9, 1 - self.fp)), n
 
@@ -154,22 +161,15 @@ def fit(
 
     Learns from about ``sample`` texts of each language at most (chosen by a hash of ``key``): this bound keeps
     learning cheap at any size. An n-gram enters a language's filter if its rate there is at least ``share`` of its
-    highest rate in any language; the ``grams`` most frequent of these are kept for each. More than 64
-    languages raise. Without labelled texts the filter knows no language, and every text is ``und``.
+    highest rate in any language; the ``grams`` most frequent of these are kept for each. More than
+    ``MAX_LANGUAGES`` languages raise. Without labelled texts the filter knows no language, and every text is ``und``. Repeated
+    rows count as often as they come.
     """
     import numpy as np
 
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(lang).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(counts)
+    chosen, languages = labelled_sample(labelled, key, text, lang, sample)
     if not languages:
-        return LanguageFilter([], np.zeros(64, dtype=np.uint64), 1, orders)
-    spark = labelled.sparkSession
-    odds = spark.createDataFrame([(x, sample / counts[x]) for x in languages], f"`{lang}` string, _odds double")
-    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(11)), 11) / F.lit(float(1 << 53))
-    chosen = rows.join(F.broadcast(odds), lang).where(u < F.col("_odds")).select(lang, text)  # odds: at most 64 rows
+        return LanguageFilter([], np.zeros((64, 1), dtype=np.uint64), 1, orders)
 
     def count(batches):
         import pyarrow as pa
@@ -193,10 +193,9 @@ def fit(
             yield from send(found)
 
     # n-grams that a part holds once are sent too, so counts are whole over the sample
-    tallied = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    totals = {r[0]: r[1] for r in tallied.groupBy("lang").agg(F.sum("n")).collect()}
-    whole = F.coalesce(*(F.when(F.col("lang") == x, F.lit(float(totals.get(x, 1)))) for x in languages))
-    rated = tallied.where("n > 1").withColumn("rate", F.col("n") / whole)
+    tallied = cut(chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    totals = tallied.groupBy("lang").agg(F.sum("n").alias("whole"))  # at most MAX_LANGUAGES rows
+    rated = tallied.where("n > 1").join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("whole"))
     rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= share * F.col("top"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = rated.withColumn("nth", nth).where(F.col("nth") <= grams).select("lang", "gram").toPandas()  # languages x grams rows at most
@@ -204,27 +203,35 @@ def fit(
     return LanguageFilter.build(languages, own, orders)
 
 
+def labelled_sample(labelled: DataFrame, key: str, text: str, lang: str, sample: int) -> tuple[DataFrame, list[str]]:
+    """Columns lang and text of about ``sample`` texts of each language, chosen by a hash of ``key``; and all languages, sorted."""
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, F.lit(11)).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    odds = labelled.sparkSession.createDataFrame([(x, sample / n) for x, n in counts.items()], "lang string, odds double")
+    u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    return rows.join(F.broadcast(odds), "lang").where(u < F.col("odds")).select("lang", "text"), sorted(counts)  # odds: at most MAX_LANGUAGES rows
+
+
 def usual_coverage(labelled: DataFrame, model: LanguageFilter, key: str, text: str = "text", lang: str = "lang", sample: int = 1000) -> dict[str, float]:
     """Share of n-grams that each language explains in its own labelled texts, about ``sample`` of each (chosen by a hash of ``key``)."""
     if not model.languages:
         return {}
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    odds = labelled.sparkSession.createDataFrame([(x, sample / counts[x]) for x in model.languages], f"`{lang}` string, _odds double")
-    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(11)), 11) / F.lit(float(1 << 53))
-    chosen = rows.join(F.broadcast(odds), lang).where(u < F.col("_odds")).select(lang, text)  # odds: at most 64 rows
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    chosen, _ = labelled_sample(labelled, key, text, lang, sample)
+    shared = labelled.sparkSession.sparkContext.broadcast(model.state())
 
     def rate(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = LanguageFilter(**shared.value)
+        number = {name: i for i, name in enumerate(model.languages)}
         for batch in batches:
             names, held, whole = [], [], []
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if (found := model.explained(value.as_py())) is not None:
+                if name in number and (found := model.explained(value.as_py())) is not None:
                     names.append(name)
-                    held.append(float(found[0][model.languages.index(name)]))
+                    held.append(float(found[0][number[name]]))
                     whole.append(float(found[1]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.float64()), pa.array(whole, pa.float64())], names=["lang", "held", "whole"])
 
@@ -243,7 +250,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_pre
     kept = [f for f in docs.schema if f.name not in (lang_pred, score) and (keep_text or f.name != text)]
     names = [f.name for f in kept]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{lang_pred}` string", f"`{score}` double"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x grams
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())  # bounded by languages x grams
 
     def judge(model, value):
         if usual is None:
@@ -254,7 +261,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_pre
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = LanguageFilter(**shared.value)
         for batch in batches:
             out = [judge(model, v.as_py()) if model.languages else (UNKNOWN, 0.0) for v in batch.column(batch.schema.get_field_index(text))]
             made = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
