@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import cut, table, with_positions, word_count
+from polyquarry.llm.common import boxed, cut, quoted, table, with_positions, word_count
 
 #: The most sources whose totals the driver may hold.
 MAX_SOURCES = 100_000
@@ -32,21 +32,22 @@ def targets_by_weight(totals: Sequence[int], weights: Sequence[float], share: fl
     return [float(x) for x in out]
 
 
-def balance(cells: DataFrame, totals: dict[int, tuple[int, float]], cap: float, rounds: int = 60, tolerance: float = 1e-7) -> dict[int, float]:
+def balance(cells: DataFrame, totals: dict[int, tuple[int, float]], cap: float, tolerance: float = 1e-7) -> dict[int, float]:
     """The dual's solution: one tilt for each source.
 
     Rates minimise the sum of r ln r - r + 1 over documents, with 0 <= r <= cap and the rates times the sizes of each
     source adding up to its target. The dual is convex, its solution r = min(cap, exp(tilt * size / mean size)).
     Each Newton round is one distributed aggregate (``cells``: sid, size, n) that gives the gradient and the
-    diagonal Hessian; steps that leave the bracket found so far are halved into it.
+    diagonal Hessian. Steps that leave the bracket found so far, and every third one that has not halved it since, go to its
+    middle; so rounds end, when each source meets its target or its bracket is as narrow as doubles can be.
     """
     spark = cells.sparkSession
     tilt = {s: 0.0 for s in totals}
     low, high = {s: -700.0 for s in totals}, {s: 700.0 for s in totals}
+    width, turn = {s: 1400.0 for s in totals}, 0
     busy = set(totals)
-    for _ in range(rounds):
-        if not busy:
-            break
+    while busy:
+        turn += 1
         at = spark.createDataFrame([(s, tilt[s], float(totals[s][1])) for s in sorted(busy)], "sid int, tilt double, mean double")
         x = F.col("size") / F.col("mean")
         free = F.exp(F.least(F.col("tilt") * x, F.lit(700.0)))
@@ -67,8 +68,14 @@ def balance(cells: DataFrame, totals: dict[int, tuple[int, float]], cap: float,
                 high[s] = tilt[s]
             else:
                 low[s] = tilt[s]
-            step = tilt[s] - miss / r.h if r.h > 0 else low[s] - 1
-            tilt[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+            middle = (low[s] + high[s]) / 2
+            step = tilt[s] - miss / r.h if r.h > 0 else middle
+            if turn % 3 == 0:
+                step = middle if high[s] - low[s] > width[s] / 2 else step
+                width[s] = high[s] - low[s]
+            tilt[s] = step if low[s] < step < high[s] else middle
+            if not low[s] < tilt[s] < high[s]:
+                busy.discard(s)
     return tilt
 
 
@@ -108,30 +115,38 @@ def mix_to_targets(
 
     Sources in code point order, null last, weigh ``weights``, repeating. Documents get whole copies, at most
     ``cap``; a source's taken tokens miss its target by less than about half its smallest documents' sizes. Documents
-    of size 0 stay once. Equal inputs give equal results: which of the documents of one size get the further
-    copy is decided by a hash of ``key``. Empty tables give empty results. Columns called like the new ones
-    are replaced. The driver holds one row for each source, at most ``max_sources``.
+    of size 0 (null, negative too) stay once. Equal inputs give equal results: which of the documents of one size get the further
+    copy is decided by a hash of ``key``; among rows of equal keys it may be any. Repeated rows count each. Empty tables give
+    empty results. Columns called like the new ones are replaced, others may have any names. The driver holds one row for
+    each source, at most ``max_sources`` (more raise).
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("source_size", "target", "copies", "taken", "sid")]
-    docs = docs.select(*kept)
-    sized = cut(docs.select("*", F.coalesce(F.col(source).isNull(), F.lit(False)).alias("_none"), F.coalesce(source, F.lit("")).alias("_source")))
-    by_source = sized.groupBy("_none", "_source").agg(F.sum(size).alias("total"), F.count("*").alias("docs")).orderBy("_none", "_source").limit(max_sources + 1).collect()
+    new = ("source_size", "target", "copies", "taken")
+    sized = cut(
+        docs.select(
+            boxed(docs, but=new),
+            F.col(quoted(key)).alias("key"),
+            F.greatest(F.coalesce(F.col(quoted(size)).cast("long"), F.lit(0)), F.lit(0)).alias("size"),
+            F.col(quoted(source)).isNull().alias("none"),
+            F.coalesce(F.col(quoted(source)).cast("string"), F.lit("")).alias("source"),
+        )
+    )
+    by_source = sized.groupBy("none", "source").agg(F.sum("size").alias("total"), F.count("*").alias("docs")).orderBy("none", "source").limit(max_sources + 1).collect()
     if len(by_source) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     totals = [int(r.total or 0) for r in by_source]
     targets = targets_by_weight(totals, [weights[i % len(weights)] for i in range(len(totals))], share, cap)
-    rows = [(i, r._none, r._source, totals[i], targets[i], max(totals[i] / r.docs, 1.0)) for i, r in enumerate(by_source)]
-    known = F.broadcast(spark.createDataFrame(rows, "sid int, _none boolean, _source string, source_size long, target double, mean double"))
-    dealt = sized.join(known, ["_none", "_source"]).drop("_none", "_source")
-    cells = cut(dealt.groupBy("sid", F.col(size).alias("size")).agg(F.count("*").alias("n")))
+    rows = [(i, r.none, r.source, totals[i], targets[i], max(totals[i] / r.docs, 1.0)) for i, r in enumerate(by_source)]
+    known = F.broadcast(spark.createDataFrame(rows, "sid int, none boolean, source string, source_size long, target double, mean double"))
+    dealt = sized.join(known, ["none", "source"]).drop("none", "source")
+    cells = cut(dealt.groupBy("sid", "size").agg(F.count("*").alias("n")))
     tilt = balance(cells, {i: (targets[i], rows[i][5]) for i in range(len(rows)) if totals[i]}, cap)
     at = F.broadcast(spark.createDataFrame([(r[0], float(tilt.get(r[0], 0.0)), r[5]) for r in rows], "sid int, tilt double, mean double"))
-    copies = cells.join(at, "sid").groupBy("sid").applyInPandas(_copies_by_cell(cap), "sid int, size long, base long, more long")
-    copies = cut(copies.withColumnRenamed("size", "_size"))
-    placed = with_positions(dealt.withColumn("_size", F.col(size)), ["sid", "_size"], [key], "_at", copies)
-    placed = placed.withColumn("copies", F.col("base") + (F.col("_at") < F.col("more")).cast("long"))
-    return placed.select(*kept, "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    # a source's cells are as many as its documents have different sizes
+    copies = cut(cells.join(at, "sid").groupBy("sid").applyInPandas(_copies_by_cell(cap), "sid int, size long, base long, more long"))
+    placed = with_positions(dealt, ["sid", "size"], ["key"], "at", copies)
+    placed = placed.withColumn("copies", F.col("base") + (F.col("at") < F.col("more")).cast("long"))
+    return placed.select("row.*", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_entropy_mix(spark, sf_dir):
