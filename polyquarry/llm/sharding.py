@@ -35,7 +35,7 @@ def shard_rows(df: DataFrame, keys: Sequence[str], weights: Sequence[float], ord
     ``order`` names the columns that fix the slots; rows equal in all of them may swap slots. An empty table
     stays empty, repeated rows take a slot each. Columns of ``df`` called like the new ones are replaced.
     """
-    dealt = cut(df.withColumn(shard, rendezvous(keys, weights)))
+    dealt = cut(df.withColumn(shard, rendezvous(list(keys), weights)))
     return with_positions(dealt, [shard], list(order), slot)
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import cut, table
+from polyquarry.llm.common import boxed, cut, quoted, table
 from polyquarry.llm.components import components
 
 SEED = 42
@@ -265,11 +265,13 @@ def near_groups(
 
     Documents link if their fingerprints do (``near_links``), equal ones always; equal fingerprints are compared once. Null,
     empty and blank texts share fingerprint zero and link to each other. Null keys never name a component
-    unless all keys in it are null. Empty tables give empty results, repeated rows stay.
+    unless all keys in it are null. Empty tables give empty results, repeated rows stay. Columns called like the new ones are
+    replaced, others may have any names.
     """
     names = [f"fp{i}" for i in range(words)]
-    printed = cut(fingerprints(docs, text, shingle, words, first_on_tie, repeats))
-    prints = printed.groupBy(*names).agg(F.min(key).alias("_least"))
+    docs = docs.select(boxed(docs, but=(text, "component", *names)), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    printed = cut(fingerprints(docs, "text", shingle, words, first_on_tie, repeats))
+    prints = printed.groupBy(*names).agg(F.min("key").alias("_least"))
     # a single word is its own id; several are named by a hash of them, whose order doesn't matter
     ident = F.col("fp0") if words == 1 else F.xxhash64(*names)
     prints = cut(prints.withColumn("_id", ident))
@@ -281,7 +283,7 @@ def near_groups(
     linked = rooted.where("_root IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
     least = linked.groupBy("_root").agg(F.min("_least").alias("component")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     named = alone.unionByName(linked.join(least, ["_root", "_salt"]).select("_id", "component"))
-    return printed.withColumn("_id", ident).join(named, "_id").drop("_id")
+    return printed.withColumn("_id", ident).join(named, "_id").select("row.*", *names, "component")
 
 
 def op5_simhash_groups(spark, sf_dir):
