@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polyquarry.llm.common import cut, quoted, table, unlike
 from polyquarry.llm.langid import held_out
@@ -394,7 +395,9 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         return made
 
     packed = slices.select("slice", "keys", "hashes", "ids", "lengths")
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, held boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = T.StructType([docs.schema["row"], docs.schema["held"]])
+    for name, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())):
+        schema = schema.add(name, kind)
     out = packed.groupBy("slice").cogroup(counts.unionByName(levels).groupBy("slice")).applyInArrow(score, schema)
     out = out.withColumn("train_tokens", F.lit(int(n_all)).cast("long")).withColumnRenamed("held", "held_out")
     return out.select("row.*", *(F.col(c).alias(n) for c, n in new.items()))
