@@ -53,11 +53,17 @@ def checkpoint(df):
     """``df`` written once to the shared checkpoint folder, without lineage."""
     spark = df.sparkSession
     checkpoint_folder(spark)
-    # a checkpointed table inherits its plan's constraints, which grow exponentially over rounds of a loop
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    # a checkpointed table inherits its plan's constraints, which grow exponentially over rounds of a loop; and what was
+    # shuffled to make it is of no more use once it is written
+    own = {"spark.sql.constraintPropagation.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {key: spark.conf.get(key, None) for key in own}
     try:
-        return df.checkpoint()
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        return df.select("*").checkpoint()  # a new plan, made under these settings
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
