@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +18,19 @@ TABLE, MOST_BITS = 4096, 12
 # --- LZW
 
 
-@lru_cache
+#: Schedules made so far: plain arrays, which travel to workers with the functions that use them.
+_SCHEDULES: dict = {}
+
+
 def _schedule(root: int):
     """Bit offset of the n-th code after a clear, and the widths: the n-th code finds root + 2 + max(0, n - 1) codes known."""
     import numpy as np
 
-    known = (1 << root) + 2 + np.maximum(np.arange(TABLE + 1) - 1, 0)
-    width = np.minimum(np.maximum(np.ceil(np.log2(known + 1)), root + 1), MOST_BITS).astype(np.int64)
-    return np.concatenate(([0], np.cumsum(width))), width
+    if root not in _SCHEDULES:
+        known = (1 << root) + 2 + np.maximum(np.arange(TABLE + 1) - 1, 0)
+        width = np.minimum(np.maximum(np.ceil(np.log2(known + 1)), root + 1), MOST_BITS).astype(np.int64)
+        _SCHEDULES[root] = np.concatenate(([0], np.cumsum(width))), width
+    return _SCHEDULES[root]
 
 
 def _pack(codes, widths) -> bytes:
@@ -271,7 +275,10 @@ def colour_histogram(frame: Frame, bins: int = 4) -> list[int]:
 
 
 def encode_column(df: DataFrame, payload: str, content: str = "content", width: int = WIDTH, rows: int = ROWS) -> DataFrame:
-    """``df`` with ``payload`` (binary, a positive multiple of ``width`` long) replaced by a GIF file ``content``; null stays null."""
+    """``df`` with ``payload`` (binary, a positive multiple of ``width`` long) replaced by a GIF file ``content``; null stays null.
+
+    Repeated rows stay, an empty table stays empty; a column called ``content`` is replaced.
+    """
     kept = [f for f in df.schema if f.name not in (payload, content)]
     names = [f.name for f in kept]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{content}` binary"])
@@ -324,7 +331,8 @@ def frames(df: DataFrame, content: str = "content", bins: int = 4) -> DataFrame:
 def digests(df: DataFrame, content: str = "content", bins: int = 4) -> DataFrame:
     """``df`` with what a decoder sees of each grey GIF: payload (all frames' samples in order), n_frames, duration_ms, histogram.
 
-    The payload is read back from the composed frames. Null content gives nulls.
+    The payload is read back from the composed frames. Null content gives nulls, content that is no GIF raises. Repeated rows stay,
+    an empty table stays empty; columns called like the new ones are replaced.
     """
     kept = [f for f in df.schema if f.name not in ("payload", "n_frames", "duration_ms", "histogram")]
     names = [f.name for f in kept]
