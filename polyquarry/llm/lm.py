@@ -107,6 +107,35 @@ def _merged(hashes, check, counts):
     return h[first], None if check is None else check[first], total
 
 
+def _narrow(values) -> bytes:
+    """Numbers of 0 and more in the narrowest unsigned type that holds them all."""
+    import numpy as np
+
+    return values.astype(f"<u{next(w for w in (1, 2, 4, 8) if w == 8 or not int(values.max(initial=0)) >> 8 * w)}").tobytes()
+
+
+def _widened(data: bytes, many: int):
+    import numpy as np
+
+    return np.frombuffer(data, dtype=f"<u{len(data) // many}").astype(np.int64)
+
+
+def _packed(ids) -> bytes:
+    """32-bit numbers, compressed byte by byte."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data, many: int):
+    import numpy as np
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * many, codec="zstd"), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 # --- the filter
 
 
@@ -229,7 +258,7 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, kept.schema) as out:
                     out.write_batch(kept)
-                blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), check.tobytes(), ids.tobytes(), lengths.tobytes(), train.astype(np.uint8).tobytes()]
+                blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), check.tobytes(), _packed(ids), lengths.tobytes(), train.astype(np.uint8).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "keys", "hashes", "check", "ids", "lengths", "train"])
                 number += 1
 
@@ -240,10 +269,11 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         """Number, hashes, second hashes, ids, lengths and, for each token, whether it is in training."""
         import numpy as np
 
-        kinds = {"hashes": np.uint64, "check": np.uint64, "ids": np.int32, "lengths": np.int64, "train": np.uint8}
+        kinds = {"hashes": np.uint64, "check": np.uint64, "lengths": np.int64, "train": np.uint8}
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes, check, ids, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
+                hashes, check, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
+                ids = _unpacked(column(batch, "ids")[i].as_buffer(), int(lengths.sum()))
                 yield column(batch, "slice")[i].as_py(), hashes, check, ids, lengths, np.repeat(train == 1, lengths)
 
     def of_slice(kind):
@@ -277,8 +307,9 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
                 asked = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64))
                 h, check, n = _merged(hashes, check, counts.astype(np.int64))
                 segs, cuts = _cuts(h, bits)
-                blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if x is not None else [None] * len(segs) for x in (h, check, n.astype("<i8" if n.max() >> 32 else "<u4"))]
-                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(asked[segs], pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["seg", "asked", "hashes", "check", "counts"])
+                blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if x is not None else [None] * len(segs) for x in (h, check)]
+                many = [_narrow(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(asked[segs], pa.int64()), *(pa.array(b, pa.binary()) for b in (*blobs, many))], names=["seg", "asked", "hashes", "check", "counts"])
 
             parts = []
             for _, *of in opened(batches):
@@ -316,8 +347,8 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
             def all_of(name):
                 return np.concatenate([np.frombuffer(b, dtype="<u8") for b in t[name].to_pylist()])
 
-            n = [np.frombuffer(c, dtype="<u4" if 2 * len(c) == len(h) else "<i8") for h, c in zip(t["hashes"].to_pylist(), t["counts"].to_pylist(), strict=True)]
-            h, check, n = _merged(all_of("hashes"), all_of("check") if kind == 1 else None, np.concatenate(n).astype(np.int64))
+            n = [_widened(c, len(h) // 8) for h, c in zip(t["hashes"].to_pylist(), t["counts"].to_pylist(), strict=True)]
+            h, check, n = _merged(all_of("hashes"), all_of("check") if kind == 1 else None, np.concatenate(n))
             blob = b"".join(x.tobytes() for x in (h, check, n)) if kind == 1 else LogFrequencyFilter.build(h[n > 0], n[n > 0])
             made = [t["seg"][0].as_py(), sum(t["asked"].to_pylist()), blob, int(n.sum()), int((n > 0).sum())]
             return pa.table({c: pa.array([v], k) for c, v, k in zip(("seg", "asked", "held", "tokens", "types"), made, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
@@ -343,8 +374,7 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
                     if kind == 2:
                         out.append(model.levels_of(h).tobytes())
                     else:
-                        n = total[_places(known, check, h, np.frombuffer(c, dtype="<u8"))]
-                        out.append(n.astype("<u4" if n.max() < 1 << 32 else "<u8").tobytes())
+                        out.append(_narrow(total[_places(known, check, h, np.frombuffer(c, dtype="<u8"))]))
             return pa.table({"slice": asked["slice"], "kind": pa.array([kind] * len(out), pa.int32()), "seg": asked["seg"], "many": pa.array([len(h) // 8 for h in asked["hashes"].to_pylist()], pa.int64()), "answer": pa.array(out, pa.binary())})
 
         return run
@@ -361,7 +391,7 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         spread = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("asked") / F.lit(ASKED)), F.lit(1)).cast("long") - 1)).alias("copy")
         tables = segments.select("seg", spread, "held")
         answers = asked.withColumn("copy", F.col("copy").cast("long")).groupBy("seg", "copy").cogroup(tables.groupBy("seg", "copy"))
-        return segments, answers.applyInArrow(answered(kind), "slice long, kind int, seg long, many long, answer binary")
+        return segments, cut(answers.applyInArrow(answered(kind), "slice long, kind int, seg long, many long, answer binary"))
 
     ones, counts = exchange(1)
     n_all, n_types = ones.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
@@ -372,9 +402,10 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         import pyarrow as pa
 
         made = pa.ipc.open_stream(part["keys"][0].as_py()).read_all()
-        hashes, ids, lengths = (np.frombuffer(part[c][0].as_py(), dtype=k) for c, k in (("hashes", np.uint64), ("ids", np.int32), ("lengths", np.int64)))
+        hashes, lengths = (np.frombuffer(part[c][0].as_py(), dtype=k) for c, k in (("hashes", np.uint64), ("lengths", np.int64)))
+        ids = _unpacked(part["ids"][0].as_buffer(), int(lengths.sum()))
         by_seg = sorted(zip(*(replies[c].to_pylist() for c in ("kind", "seg", "many", "answer")), strict=True))
-        counts = np.concatenate([np.frombuffer(b, dtype=f"<u{len(b) // n}").astype(np.int64) for k, _, n, b in by_seg if k == 1])
+        counts = np.concatenate([_widened(b, n) for k, _, n, b in by_seg if k == 1])
         seems = LogFrequencyFilter.value(np.arange(127))[np.frombuffer(b"".join(b for k, _, _, b in by_seg if k == 2), dtype=np.uint8)]
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         c = counts[ids]
