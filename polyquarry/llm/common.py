@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyquarry.session import checkpoint as cut
 from polyquarry.session import checkpoint_folder
 
-__all__ = ["WORD", "boxed", "checkpoint_folder", "cut", "partitions_of", "quoted", "table", "unlike", "with_positions", "word_count"]
+__all__ = ["WORD", "boxed", "checkpoint_folder", "cut", "partitions_of", "quoted", "remove", "table", "unlike", "with_positions", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder wherever Spark keeps it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -110,3 +110,53 @@ def test_entry_registers_all(spark):
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_users_columns_keep_their_values(spark, odd):
+    """Columns called like those that the stages need for themselves."""
+    names = ["row", "id", "key", "content", "copies", "copy", "words", "lang_pred", "score", "_key", "_id", "_n", "size", "rank", "salt", "at", "mean", "base", "more", "total", "sid", "_metadata_"]
+    docs = odd.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+
+
+def test_rows_of_files_are_numbered_alike(spark, odd, tmp_path):
+    """Repeated rows in files have ids of their own, the same whatever else is read."""
+    odd.union(odd).repartition(3).write.parquet(f"{tmp_path}/d")
+    keyed = pipeline._numbered(spark.read.parquet(f"{tmp_path}/d"))
+    one, two = keyed.select("id").collect(), keyed.select("id", "row").where("text IS NOT NULL").select("id").collect()
+    assert len(set(one)) == len(one) == 2 * len(ODD) and set(two) < set(one)
+
+
+def test_workers_without_the_package(folder, tmp_path):
+    """Workers that start in another folder, without a path to the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(pipeline.__file__).resolve().parent)
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+from polyquarry.session import local_session
+spark = local_session(2, "2g")
+spark.sparkContext.environment.pop("PYTHONPATH", None)
+q = entry.queries()
+for name in q:
+    if name == "pipeline" or name.startswith("op") and name.split("_")[0][2:] in ("2", "5", "6", "7", "8", "9"):
+        print(name, q[name](spark, {folder!r}).count())
+def found(batches):
+    import importlib.util
+    for b in batches:
+        yield b.assign(id=int(importlib.util.find_spec("polyquarry") is not None))
+assert spark.range(1).mapInPandas(found, "id long").first()[0] == 0
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.stdout.strip().endswith("done"), done.stderr[-3000:]
