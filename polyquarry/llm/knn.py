@@ -9,13 +9,15 @@ from polyquarry.llm.common import cut, table
 
 #: Rows of one side that a task compares at once.
 BLOCK = 8192
+#: Number of the group into which groups are merged that need most rows.
+MERGED = -1
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: float = 256.0) -> DataFrame:
     """``key``, dim and packed: floor(scale * x) of each component as 64-bit little-endian integers.
 
-    Rows whose vector is null or holds null or non-finite components are left out, empty vectors too. Components
-    must lie within 2^52 after scaling; larger ones raise.
+    Rows whose vector is null or holds null or non-finite components are left out. Components must lie within 2^52 after
+    scaling; larger ones raise. Null keys and repeated rows stay, empty tables stay empty, other columns are left out.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -28,13 +30,13 @@ def quantised(df: DataFrame, key: str, vector: str, scale: float = 256.0) -> Dat
             keys, vectors = batch.column(0), batch.column(1)
             kept, dims, packed = [], [], []
             for i, v in enumerate(vectors):
-                if not v.is_valid or not len(v.values) or v.values.null_count:
+                if not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(x).all():
                     continue
                 q = np.floor(x * scale)
-                if np.abs(q).max() > 2**52:
+                if np.abs(q).max(initial=0) > 2**52:
                     raise ValueError("vector components are too large to score exactly")
                 kept.append(i)
                 dims.append(len(q))
@@ -47,7 +49,7 @@ def quantised(df: DataFrame, key: str, vector: str, scale: float = 256.0) -> Dat
 def _matrix(column, dim: int):
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8").reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8").reshape(len(column), dim)
 
 
 def scores(q, x):
@@ -57,7 +59,7 @@ def scores(q, x):
     """
     import numpy as np
 
-    if not len(q) or not len(x):
+    if not q.size or not x.size:
         return np.zeros((len(q), len(x)), dtype=np.int64)
     bound = int(np.abs(q).max()) * int(np.abs(x).max()) * q.shape[1]
     if bound < 2**53:
@@ -81,16 +83,18 @@ def _best(ids, values, k: int):
 def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products over all data but its own id.
 
-    ``queries`` and ``data`` hold vec_id, dim, packed (see ``quantised``), checkpointed; ids are not null. Vectors of other
-    dimensions than the query's take no part. Fewer than k: all. Ties go to the smaller vec_id. Repeated ids count
-    as rows of their own.
+    ``queries`` and ``data`` hold vec_id, row, dim, packed (see ``quantised``), checkpointed; ids are not null; ``row`` is another number
+    for each row, and the same for a query and its own row in the data. Vectors of other dimensions than the query's take no
+    part. Fewer than k: all. Ties go to the smaller vec_id. A repeated id is a row of its own: a candidate for its like, and as a
+    query it has results of its own. Empty tables give empty results.
 
     1. Pivots (a bounded sample of the queries of each dimension) cut the space into Voronoi groups; each query
        joins its nearest pivot. Summaries of a group: size, and radius, its queries' largest distance to the pivot.
     2. For q in a group, q.x lies within pivot.x -/+ radius * |x|. One pass over the data keeps, for each group, the
        k + 1 highest lower bounds: any query of the group has k others that score at least the last of these.
     3. A data row goes only to groups where its upper bound reaches that bound, as (group, block) with blocks of
-       bounded size, so neither large groups nor copies of one vector meet in one task.
+       bounded size, so neither large groups nor copies of one vector meet in one task. Groups that need over half of the rows
+       of their dimension are merged into one, which gets a row once instead of nearly as often as there are groups.
     4. Tasks solve their blocks; the k best of each query are merged.
 
     The driver holds ``pivots`` vectors and ``pivots`` * (k + 1) bounds for each dimension.
@@ -98,11 +102,11 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
     spark = queries.sparkSession
     import numpy as np
 
+    some = queries.select("dim", "packed").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("packed"), "packed"))).where(F.col("nth") <= pivots)
     picked = {}
-    dims = [r[0] for r in queries.select("dim").distinct().collect()]
-    for dim in dims:
-        rows = queries.where(F.col("dim") == dim).select("packed").distinct().orderBy(F.xxhash64("packed"), "packed").limit(pivots).collect()
-        picked[dim] = np.frombuffer(b"".join(bytes(r[0]) for r in rows), dtype="<i8").reshape(-1, dim).astype(np.float64)
+    for r in some.orderBy("dim", "nth").collect():
+        picked.setdefault(r.dim, []).append(np.frombuffer(bytes(r.packed), dtype="<i8").astype(np.float64))
+    picked = {dim: np.stack(rows) for dim, rows in picked.items()}
     centres = spark.sparkContext.broadcast(picked)
 
     def nearest(batches):
@@ -120,7 +124,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
                 far = np.sqrt(((v - c[best]) ** 2).sum(1))
                 yield from part.append_column("grp", pa.array(best, pa.int32())).append_column("far", pa.array(far)).to_batches()
 
-    grouped = cut(queries.mapInArrow(nearest, "vec_id long, dim int, packed binary, grp int, far double"))
+    grouped = cut(queries.select("vec_id", "row", "dim", "packed").mapInArrow(nearest, "vec_id long, row long, dim int, packed binary, grp int, far double"))
     summary = {(r.dim, r.grp): (r.n, r.radius) for r in grouped.groupBy("dim", "grp").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
     held = spark.sparkContext.broadcast(summary)
 
@@ -145,22 +149,15 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
                 if not groups:
                     continue
                 part = t.filter(pa.compute.equal(t["dim"], dim))
-                ids = part["vec_id"].to_numpy()
                 low, _ = bounds(_matrix(part["packed"], dim).astype(np.float64), dim, groups)
                 for i, g in enumerate(groups):
-                    old_low, old_ids = best.get((dim, g), (np.empty(0), np.empty(0, dtype=np.int64)))
-                    all_low, all_ids = np.concatenate([old_low, low[i]]), np.concatenate([old_ids, ids])
-                    order = np.argsort(-all_low, kind="stable")
-                    _, first = np.unique(all_ids[order], return_index=True)  # an id's highest bound
-                    order = order[np.sort(first)[: k + 1]]
-                    best[dim, g] = all_low[order], all_ids[order]
-        rows = [(d, g, float(x), int(i)) for (d, g), (xs, ids) in best.items() for x, i in zip(xs, ids, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["dim", "grp", "low", "id"])
-
-    by_id = data.mapInArrow(lower, "dim int, grp int, low double, id long").groupBy("dim", "grp", "id").agg(F.max("low").alias("low"))
-    nth = F.row_number().over(Window.partitionBy("dim", "grp").orderBy(F.desc("low"), "id"))
-    at_last = by_id.withColumn("nth", nth).where(F.col("nth") <= k + 1).where(F.col("nth") == k + 1)
-    lows = {(r.dim, r.grp): r.low for r in at_last.collect()}  # a number for each group; none where ids are too few
+                    best[dim, g] = np.sort(np.concatenate([best.get((dim, g), np.empty(0)), low[i]]))[-k - 1 :]
+        rows = [(d, g, float(x)) for (d, g), xs in best.items() for x in xs]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["dim", "grp", "low"])
+
+    nth = F.row_number().over(Window.partitionBy("dim", "grp").orderBy(F.desc("low")))
+    at_last = data.select("dim", "packed").mapInArrow(lower, "dim int, grp int, low double").withColumn("nth", nth).where(F.col("nth") <= k + 1).where(F.col("nth") == k + 1)
+    lows = {(r.dim, r.grp): r.low for r in at_last.collect()}  # a number for each group; none where rows are too few
     floors = spark.sparkContext.broadcast(lows)
 
     def route(batches):
@@ -182,57 +179,67 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = 48, blo
                 lists = [[groups[i] for i in np.nonzero(need[:, r])[0]] for r in rows]
                 yield from part.take(pa.array(rows)).append_column("grps", pa.array(lists, pa.list_(pa.int32()))).to_batches()
 
-    routed = cut(data.mapInArrow(route, "vec_id long, dim int, packed binary, grps array<int>"))
-    spread = routed.select("vec_id", "dim", "packed", F.explode("grps").alias("grp"))
-    sizes = {(r.dim, r.grp): r.n for r in spread.groupBy("dim", "grp").agg(F.count("*").alias("n")).collect()}
-    shape = [(d, g, -(-summary[d, g][0] // block), -(-n // block)) for (d, g), n in sizes.items()]
-    blocks = F.broadcast(spark.createDataFrame(shape, "dim int, grp int, qblocks int, dblocks int"))  # at most pivots rows for each dimension
+    routed = cut(data.select("vec_id", "row", "dim", "packed").mapInArrow(route, "vec_id long, row long, dim int, packed binary, grps array<int>"))
+    whole = {r[0]: r[1] for r in data.groupBy("dim").count().collect()}
+    needs = {(r.dim, r.grp): r.n for r in routed.select("dim", F.explode("grps").alias("grp")).groupBy("dim", "grp").agg(F.count("*").alias("n")).collect()}
+    merged = {(d, g): MERGED if 2 * n > whole[d] else g for (d, g), n in needs.items()}
+    to = F.broadcast(spark.createDataFrame([(d, g, m) for (d, g), m in merged.items()], "dim int, grp int, to int"))  # at most pivots rows for each dimension
+    wide = {d: sorted(g for (e, g), m in merged.items() if e == d and m == MERGED) for d in whole}
+    any_wide = F.lit(False)
+    for d, groups in wide.items():
+        if groups:
+            any_wide |= (F.col("dim") == d) & F.arrays_overlap("grps", F.array(*map(F.lit, groups)))
+    narrow = F.filter("grps", lambda g: ~F.concat_ws(":", F.col("dim").cast("string"), g.cast("string")).isin([f"{d}:{g}" for d, groups in wide.items() for g in groups]))
+    spread = routed.select("vec_id", "row", "dim", "packed", F.explode(F.concat(F.when(any_wide, F.array(F.lit(MERGED))).otherwise(F.array().cast("array<int>")), narrow)).alias("grp"))
+    grouped = grouped.join(to, ["dim", "grp"]).select("vec_id", "row", "dim", "packed", F.col("to").alias("grp"))
+    asked, sizes = ({(r.dim, r.grp): r.n for r in t.groupBy("dim", "grp").agg(F.count("*").alias("n")).collect()} for t in (grouped, spread))
+    shape = [(d, g, -(-asked[d, g] // block), -(-n // block)) for (d, g), n in sizes.items()]
+    blocks = F.broadcast(spark.createDataFrame(shape, "dim int, grp int, qblocks int, dblocks int"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = grouped.join(blocks, ["dim", "grp"]).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int")).withColumn("db", span("dblocks"))
-    right = spread.join(blocks, ["dim", "grp"]).withColumn("db", F.pmod(F.xxhash64("vec_id"), F.col("dblocks")).cast("int")).withColumn("qb", span("qblocks"))
+    left = grouped.join(blocks, ["dim", "grp"]).withColumn("qb", F.pmod(F.xxhash64("row"), F.col("qblocks")).cast("int")).withColumn("db", span("dblocks"))
+    right = spread.join(blocks, ["dim", "grp"]).withColumn("db", F.pmod(F.xxhash64("row"), F.col("dblocks")).cast("int")).withColumn("qb", span("qblocks"))
 
     def solve(key, qs, xs):
         import pyarrow as pa
         import pyarrow.compute
 
-        dim, out = key[0].as_py(), ([], [], [])
+        dim, out = key[0].as_py(), ([], [], [], [])
         if qs.num_rows and xs.num_rows:
-            qid, xid = qs["vec_id"].to_numpy(), xs["vec_id"].to_numpy()
-            order = np.argsort(xid, kind="stable")
-            xid, x, q = xid[order], _matrix(xs["packed"], dim)[order], _matrix(qs["packed"], dim)
+            qid, qrow, xid, xrow = qs["vec_id"].to_numpy(), qs["row"].to_numpy(), xs["vec_id"].to_numpy(), xs["row"].to_numpy()
+            x, q = _matrix(xs["packed"], dim), _matrix(qs["packed"], dim)
             for at in range(0, len(q), 256):
                 s = scores(q[at : at + 256], x)
                 for i in range(len(s)):
-                    own = np.searchsorted(xid, qid[at + i], "left"), np.searchsorted(xid, qid[at + i], "right")
-                    ids = np.delete(xid, slice(*own)) if own[1] > own[0] else xid
-                    got = np.delete(s[i], slice(*own)) if own[1] > own[0] else s[i]
-                    best = _best(ids, got, k) if len(got) else []
+                    best = _best(xid, s[i], k + 1)
+                    best = best[xrow[best] != qrow[at + i]][:k]  # but its own row
                     out[0].extend([qid[at + i]] * len(best))
-                    out[1].extend(ids[best])
-                    out[2].extend(got[best])
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                    out[1].extend([qrow[at + i]] * len(best))
+                    out[2].extend(xid[best])
+                    out[3].extend(s[i][best])
+        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "row", "vec_id", "score"), out, strict=True)})
 
     keys = ["dim", "grp", "qb", "db"]
-    found = left.select(*keys, "vec_id", "packed").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "packed").groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
+    found = left.select(*keys, "vec_id", "row", "packed").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "row", "packed").groupBy(*keys)).applyInArrow(solve, "query_id long, row long, vec_id long, score long")
     found = cut(found)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_voronoi_top5(spark, sf_dir):
     """Queries: every vec_id divisible by 50; candidates: every row but the query's own."""
-    rows = cut(quantised(table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull()), "vec_id", "embedding"))
+    rows = quantised(table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull()), "vec_id", "embedding")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     return top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
 
 
 _ORACLE = """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+    SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 QUERIES = {"op4_voronoi_top5": op4_voronoi_top5}
