@@ -56,7 +56,7 @@ def _hashes(codes, orders: tuple[int, ...]):
 
 
 class LanguageFilter:
-    """Bloom filters of all languages in one array: bit l % 64 of a slot's word l // 64 belongs to language l.
+    """Bloom filters of all languages in one array: bit l % 64 of word l // 64 belongs to language l, a row of slots for each word.
 
     An n-gram sets its languages' bits in ``probes`` slots; ANDing these slots returns the mask of all languages that hold
     it. ``fp[l]`` is the chance that a strange n-gram seems to be in l.
@@ -66,7 +66,7 @@ class LanguageFilter:
         import numpy as np
 
         self.languages, self.slots, self.probes, self.orders = languages, slots, probes, orders
-        fill = [np.count_nonzero(slots[:, l // 64] & np.uint64(1 << l % 64)) / len(slots) for l in range(len(languages))]
+        fill = [np.count_nonzero(slots[l // 64] & np.uint64(1 << l % 64)) / slots.shape[1] for l in range(len(languages))]
         self.fp = np.array(fill) ** probes
 
     def state(self) -> dict:
@@ -85,19 +85,20 @@ class LanguageFilter:
         import numpy as np
 
         size = max(64, bits_per_gram * max([1, *map(len, grams)])) | 1
-        slots = np.zeros((size, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+        slots = np.zeros((max(1, -(-len(languages) // 64)), size), dtype=np.uint64)
         for number, own in enumerate(grams):
             for at in cls.places(np.asarray(own, dtype=np.uint64), size, probes):
-                slots[at, number // 64] |= np.uint64(1 << number % 64)
+                slots[number // 64, at] |= np.uint64(1 << number % 64)
         return cls(list(languages), slots, probes, tuple(orders))
 
     def masks(self, h):
-        """A row of words for each n-gram."""
-        first, *others = self.places(h, len(self.slots), self.probes)
-        mask = self.slots[first]
-        for at in others:
-            mask &= self.slots[at]
-        return mask
+        """A word of each n-gram's mask after another."""
+        places = self.places(h, self.slots.shape[1], self.probes)
+        for word in self.slots:
+            mask = word[places[0]]
+            for at in places[1:]:
+                mask &= word[at]
+            yield mask
 
     def decide(self, text: str | None) -> tuple[str, float]:
         """The language and a score of 0 to 1: the share of its n-grams among those that all languages explain.
@@ -134,10 +135,9 @@ class LanguageFilter:
         for order in self.orders:
             for at in range(0, max(1, len(codes) - order + 1), CHUNK):  # long texts piece by piece, none left out
                 h = _hashes(codes[at : at + CHUNK + order - 1], (order,))
-                found = self.masks(h)
-                for word in range(found.shape[1]):
+                for word, found in enumerate(self.masks(h)):
                     # counts of equal masks first: few differ
-                    masks, times = np.unique(found[:, word], return_counts=True)
+                    masks, times = np.unique(found, return_counts=True)
                     own = np.arange(min(64, k - 64 * word), dtype=np.uint64)
                     hits[64 * word : 64 * word + len(own)] += (((masks[:, None] >> own[None, :]) & np.uint64(1)) * times[:, None].astype(np.uint64)).sum(axis=0)
                 n += len(h)
@@ -169,7 +169,7 @@ def fit(
 
     chosen, languages = labelled_sample(labelled, key, text, lang, sample)
     if not languages:
-        return LanguageFilter([], np.zeros((64, 1), dtype=np.uint64), 1, orders)
+        return LanguageFilter([], np.zeros((1, 64), dtype=np.uint64), 1, orders)
 
     def count(batches):
         import pyarrow as pa
