@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyquarry.session import checkpoint as cut
 from polyquarry.session import checkpoint_folder
 
-__all__ = ["WORD", "boxed", "checkpoint_folder", "cut", "partitions_of", "quoted", "remove", "table", "unlike", "with_positions", "word_count"]
+__all__ = ["WORD", "boxed", "checkpoint_folder", "cut", "partitions_of", "quoted", "remove", "table", "unlike", "values", "with_positions", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +35,14 @@ def unlike(name: str, taken) -> str:
     return name
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as SQL VALUES; ``rows`` hold plain words and numbers."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds, strict=True))} FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def boxed(df: DataFrame, box: str = "row", but: tuple[str, ...] = ()) -> Column:
     """All columns of ``df`` but some as one struct, so that columns of an operator's own can't clash with them.
 

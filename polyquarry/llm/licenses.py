@@ -8,10 +8,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import cut, quoted, table, unlike
+from polyquarry.llm.common import cut, quoted, table, unlike, values
 from polyquarry.llm.license_texts import TEXTS
 
 #: Word characters: digits, Latin letters, everything beyond ASCII.
@@ -47,14 +47,6 @@ def _templates(texts, base) -> list[tuple]:
     return made
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table as SQL VALUES; ``rows`` hold plain words and numbers."""
-    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
-    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
-    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
-    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds, strict=True))} FROM VALUES {values} AS t({', '.join(names)})")
-
-
 def scan_licenses(docs: DataFrame, key: list[str], text: str = "text", templates=TEXTS, base=BASE, rare: int = 2) -> DataFrame:
     """``key`` columns, n_words, places (label, start, length, is_base of every verified phrase), base_labels, labels, score.
 
@@ -92,9 +84,9 @@ def scan_licenses(docs: DataFrame, key: list[str], text: str = "text", templates
         whole = sum(idf[w] for w in words)
         parts += [(t, i - first, w, idf[w] / whole, int(first <= i < first + length)) for i, w in enumerate(words)]
         about.append((t, label, length, is_base))
-    postings = F.broadcast(_values(spark, anchors, "w string, t int, p int, need int"))
-    parts = F.broadcast(_values(spark, parts, "t int, p int, w string, weight double, keyed int"))
-    about = F.broadcast(_values(spark, about, "t int, label string, length int, is_base boolean"))
+    postings = F.broadcast(values(spark, anchors, "w string, t int, p int, need int"))
+    parts = F.broadcast(values(spark, parts, "t int, p int, w string, weight double, keyed int"))
+    about = F.broadcast(values(spark, about, "t int, label string, length int, is_base boolean"))
 
     rarest = sorted({a[0] for a in anchors})
     met = kept.where(F.exists("at", lambda x: x["w"].isin(rarest)))  # other files have no phrase

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.llm.common import table
+from polyquarry.llm.common import boxed, cut, quoted, table, values
 
 #: host, path, verdict. Fixed values of the registered query.
 RULES = [
@@ -41,8 +41,9 @@ def path_of(url: Column) -> Column:
 class BlockedBloom:
     """A Bloom filter whose bits for one key all lie in one 64-bit block.
 
-    ``blocks`` is bounded by ``max_blocks`` (8 bytes each), whatever the list's length: a longer list only
-    makes more false positives, which the exact join removes.
+    It grows with the list up to ``max_blocks`` (8 bytes each, 2 MB): 16 bits a key up to a million keys, 8 up to two. A longer
+    list makes more false positives, which the exact join removes; with many millions of keys nearly all candidates pass, and what
+    is left is the shuffled exact join, since a filter too large for one worker would have to be met by such a shuffle too.
     """
 
     def __init__(self, words: dict[int, int], blocks: int, probes: int):
@@ -61,8 +62,7 @@ class BlockedBloom:
         return mask
 
     @classmethod
-    def build(cls, keys: DataFrame, column: str, bits_per_key: int = 16, probes: int = 6, max_blocks: int = 1 << 16) -> BlockedBloom:
-        count = keys.count()
+    def build(cls, keys: DataFrame, column: str, count: int, bits_per_key: int = 16, probes: int = 6, max_blocks: int = 1 << 18) -> BlockedBloom:
         blocks = max(1, min(max_blocks, -(-count * bits_per_key // 64)))
         words = keys.groupBy(cls._block(F.col(column), blocks).alias("block")).agg(F.bit_or(cls._mask(F.col(column), probes)).alias("word")).collect()
         return cls({r.block: r.word for r in words}, blocks, probes)
@@ -87,43 +87,47 @@ def judge_urls(
     rule's. Each URL offers (suffix of its host) + (prefix of its path), prefixes only of lengths that some
     rule has; the Bloom filter drops nearly all of these, the rest meets the rules in an exact hash join.
     Nothing listed: rule null and verdict ``default``. Among equally long rules the least (host + path,
-    verdict) wins. Null URLs have empty host and path, which only a rule with an empty host and path fits;
-    repeated rows stay; columns called host, path, rule or verdict are replaced.
+    verdict) wins. Null URLs have empty host and path, which only a rule with an empty host and path fits; rules with nulls
+    fit nothing. Repeated rows stay; columns called host, path, rule or verdict are replaced, others may have any names; empty
+    tables, of rules too, are fine.
 
-    Rules of over ``broadcast_rules`` rows are joined by a shuffle, whose hot keys adaptive execution splits.
+    Pages are scanned twice, so that only those with possible hits are shuffled. Rules of over ``broadcast_rules`` rows are
+    joined by a shuffle, whose hot keys adaptive execution splits.
     """
-    listed = rules.select(F.concat("host", F.lit("\n"), "path").alias("_key"), F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.length("path").alias("_length"))
-    listed = listed.withColumn("_first", F.row_number().over(Window.partitionBy("_key").orderBy("_verdict"))).where("_first = 1").drop("_first")
+    usable = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
+    keyed = usable.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.concat("host", "path").alias("listed"), F.length("path").alias("length"), F.col("verdict").alias("says"))
+    listed = cut(keyed.groupBy("key", "listed", "length").agg(F.min("says").alias("says")))
     # lengths of rules' paths: at most as many as the longest path has characters
-    lengths = sorted(r[0] for r in listed.select("_length").distinct().collect())
-    bloom = BlockedBloom.build(listed, "_key")
+    lengths = sorted(r[0] for r in listed.select("length").distinct().collect())
     n_rules = listed.count()
+    bloom = BlockedBloom.build(listed, "key", n_rules)
 
-    parted = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    address = F.col(quoted(url))
+    parted = pages.select(boxed(pages, but=("host", "path", "rule", "verdict")), host_of(address).alias("host"), path_of(address).alias("path"))
     labels = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda p: p.isNotNull())
+    known = F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>") if lengths else F.array().cast("array<int>")
+    prefixes = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
-    probed = parted.withColumn("_hits", F.filter(keys, bloom.may_hold)).withColumn("_row", F.monotonically_increasing_id())
+    probed = parted.withColumn("hits", F.filter(keys, bloom.may_hold)).withColumn("id", F.monotonically_increasing_id())
 
-    columns = [c for c in parted.columns if c not in ("rule", "verdict")]
-    hits = probed.where(F.size("_hits") > 0).select(*columns, "_row", F.explode("_hits").alias("_key"))
+    hits = probed.where(F.size("hits") > 0).select("row", "host", "path", "id", F.explode("hits").alias("key"))
     exact = F.broadcast(listed) if n_rules <= broadcast_rules else listed
-    best = F.max_by(F.struct("_rule", "_verdict"), F.when(F.col("_rule").isNotNull(), F.struct(F.length("_rule"), F.xxhash64("_rule"))))
+    best = F.min_by(F.struct("listed", "says"), F.when(F.col("listed").isNotNull(), F.struct(-F.length("listed"), "listed", "says")))
     judged = (
-        hits.join(exact, "_key", "left")
-        .groupBy("_row")
-        .agg(F.first(F.struct(*columns)).alias("_page"), best.alias("_best"))
-        .select("_page.*", F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+        hits.join(exact, "key", "left")
+        .groupBy("id")
+        .agg(F.first(F.struct("row", "host", "path")).alias("page"), best.alias("best"))
+        .select("page.*", F.col("best.listed").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict"))
     )
-    unlisted = probed.where(F.size("_hits") == 0).select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    return judged.unionByName(unlisted)
+    unlisted = probed.where(F.size("hits") == 0).select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.unionByName(unlisted).select("row.*", "host", "path", "rule", "verdict")
 
 
 def op3_url_rules(spark, sf_dir):
     """Every page's URL against the five rules; unlisted URLs are allowed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = values(spark, RULES, "host string, path string, verdict string")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
