@@ -145,6 +145,28 @@ def test_urls_without_broadcast_and_full_bloom(spark):
     assert spark.range(3).where(full.may_hold(F.col("id").cast("string"))).count() == 3
 
 
+def test_urls_against_a_million_rules(spark):
+    """A long list: the filter still drops nearly all that isn't listed, the shuffled join finds what is."""
+    rules = spark.range(1_000_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/a/").alias("path"), F.lit("block").alias("verdict"))
+    bloom = urlfilter.BlockedBloom.build(rules.select(F.concat("host", F.lit("\n"), "path").alias("key")), "key", 1_000_000)
+    strange = spark.range(50_000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("key"))
+    assert strange.where(bloom.may_hold(F.col("key"))).count() < 1000
+    pages = spark.range(0, 2_000_000, 997).select("id", F.concat(F.lit("http://X.H"), F.col("id").cast("string"), F.lit(".com/a/b")).alias("u"), F.lit("mine").alias("key"))
+    got = urlfilter.judge_urls(pages, rules, url="u").collect()
+    assert len(got) == len(range(0, 2_000_000, 997)) and all(r.key == "mine" for r in got)
+    assert all((r.verdict, r.rule) == (("block", f"h{r.id}.com/a/") if r.id < 1_000_000 else ("allow", None)) for r in got)
+
+
+def test_urls_odd_rules(spark):
+    """Ties, repeated and null rules, very long URLs, no rules."""
+    schema = "host string, path string, verdict string"
+    pages = spark.createDataFrame([(1, "http://ab/c"), (2, "http://a/bc" + "x" * 200_000), (3, None), (3, None)], "id long, url string")
+    rules = spark.createDataFrame([("ab", "/c", "block"), ("ab", "/c", "allow"), (None, "/", "block"), ("", "", "block"), ("a", "/b", "block"), ("a", "/b", "block")], schema)
+    got = sorted((r.id, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, rules).collect())
+    assert got == [(1, "ab/c", "allow"), (2, "a/b", "block"), (3, "", "block"), (3, "", "block")]
+    assert {r.verdict for r in urlfilter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
 # --- 4
 
 
@@ -152,24 +174,35 @@ def test_knn(spark, tmp_path):
     r = random.Random(3)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)], 0) for i in range(300)]
     rows += [(1000 + i, rows[7][1], 0) for i in range(40)]  # copies of one vector
+    rows += [(50, rows[50][1], 0), (50, rows[8][1], 0), (2400, [], 0), (2401, [], 0)]  # repeated ids and rows, empty vectors
     rows += [(2000, None, 0), (2050, [1.0, None] + [0.0] * 6, 0), (2100, [float("nan")] * 8, 0), (2150, [float("inf")] + [0.0] * 7, 0), (2200, [1.0, 2.0], 0), (2250, [0.5, -3.0], 0), (None, rows[0][1], 0), (2300, [], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = run(spark, "op4_voronoi_top5", str(tmp_path))
-    fine = {}
-    for i, v, _ in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            fine[i] = [math.floor(256 * float(np.float32(x))) for x in v]
+    fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in fine if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(fine[q], x, strict=True)), i) for i, x in fine.items() if i != q and len(x) == len(fine[q]))
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    for n, (q, v) in enumerate(fine):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for m, (i, x) in enumerate(fine) if m != n and len(x) == len(v))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
     assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].values.tolist())) == sorted(want)
 
 
+def test_knn_prunes_clusters(spark):
+    """Far clusters: rows go to few groups only, and results stay exact."""
+    r = random.Random(6)
+    rows = [(i, [(40.0 if i % 4 == j else 0.0) + r.gauss(0, 1) for j in range(4)]) for i in range(800)]
+    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v").withColumn("row", F.col("vec_id"))
+    got = knn.top_k(data.where("vec_id % 10 = 0"), data, k=3, pivots=12, block=50).toPandas()
+    q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
+    for i in range(0, 800, 10):
+        best = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:3]
+        assert got[got.query_id == i].sort_values("rank").vec_id.tolist() == [j for _, j in best]
+
+
 def test_knn_small_blocks(spark):
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(500)]
-    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v")
+    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v").withColumn("row", F.col("vec_id"))
     got = knn.top_k(data.where("vec_id % 10 = 0"), data, k=3, pivots=6, block=37).toPandas()
     q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
     for i in range(0, 500, 10):
@@ -450,7 +483,7 @@ def test_languages_are_told_apart(spark):
 def test_filter_returns_all_languages():
     grams = [np.array([1, 2, 3], dtype=np.uint64), np.array([3, 4], dtype=np.uint64)]
     f = langid.LanguageFilter.build(["a", "b"], grams, (2,), bits_per_gram=64)
-    assert f.masks(np.array([1, 2, 3, 4], dtype=np.uint64)).tolist() == [[1], [1], [3], [2]]
+    assert next(f.masks(np.array([1, 2, 3, 4], dtype=np.uint64))).tolist() == [1, 1, 3, 2]
 
 
 def decide_by_hand(model_grams, text):
