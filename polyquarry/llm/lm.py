@@ -18,7 +18,7 @@ SLICE = 4 << 20
 #: n-grams of one segment that a task looks up; a segment that is asked for more is copied to several tasks.
 ASKED = 4 << 20
 #: Entries that a task counts before it sends them on.
-HELD = 8 << 20
+HELD = 2 << 20
 
 
 # --- tokens
@@ -96,15 +96,16 @@ def _merged(hashes, check, counts):
     """Distinct tokens sorted by both hashes, with their counts added up. ``check`` may be None."""
     import numpy as np
 
-    order = np.argsort(hashes, kind="stable") if check is None else np.lexsort((check, hashes))
+    order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     new = h[1:] != h[:-1]
-    if check is not None:
-        check = check[order]
-        new |= check[1:] != check[:-1]
+    if check is not None and ((check[order[1:]] != check[order[:-1]]) & ~new).any():  # a first hash shared by several tokens
+        order = np.lexsort((check, hashes))
+        h = hashes[order]
+        new = (h[1:] != h[:-1]) | (check[order[1:]] != check[order[:-1]])
     first = np.concatenate(([0], np.nonzero(new)[0] + 1)) if len(h) else np.empty(0, dtype=np.int64)
     total = np.add.reduceat(counts[order], first) if len(h) else counts
-    return h[first], None if check is None else check[first], total
+    return h[first], None if check is None else check[order[first]], total
 
 
 def _narrow(values) -> bytes:
