@@ -122,6 +122,21 @@ def remove_path(tree, keys: list[str]):
     return tree
 
 
+def refers_to(tree, target: str) -> bool:
+    """Whether a tree holds, at any depth, an object with the workspace and the path of ``workspace:/path``."""
+    workspace, _, path = target.partition(":")
+    live = [tree]
+    while live:
+        x = live.pop()
+        if isinstance(x, dict):
+            if x.get("workspace") == workspace and x.get("path") == path:
+                return True
+            live.extend(x.values())
+        elif isinstance(x, list):
+            live.extend(x)
+    return False
+
+
 def _per_row(function, kind: str):
     """A pandas UDF over JSON text; null or broken JSON gives null."""
 

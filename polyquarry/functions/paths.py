@@ -59,8 +59,14 @@ def descendant_of(path, prefix: str, most: int | None = None) -> Column:
 
 
 def references(properties, target: str) -> Column:
-    """Whether JSON ``properties`` hold, at any depth, an object with the workspace and the path of ``workspace:/path``."""
-    workspace, _, path = target.partition(":")
-    quote = lambda s: "".join("\\" + c if c in r"\.[]{}()*+?^$|" else c for c in s)
-    both = r"\{(?=[^{}]*\"workspace\"\s*:\s*\"%s\")(?=[^{}]*\"path\"\s*:\s*\"%s\")" % (quote(workspace), quote(path))
-    return F.coalesce(_c(properties).rlike(both), F.lit(False))
+    """Whether JSON ``properties`` hold, at any depth, an object with the workspace and the path of ``workspace:/path``.
+
+    Only documents that hold the workspace's name at all are parsed.
+    """
+    import json
+
+    from polyquarry.functions.jsonops import _per_row, refers_to
+
+    named = F.contains(_c(properties), F.lit(target.partition(":")[0]))
+    found = _per_row(lambda d: refers_to(json.loads(d), target), "boolean")(F.when(named, _c(properties)))
+    return F.coalesce(found, F.lit(False))

@@ -1,37 +1,25 @@
 """SQL front end: constructs that Spark's parser lacks are rewritten, the rest goes to ``spark.sql`` and Catalyst.
 
-Path, JSON and vector functions are SQL functions that Catalyst inlines; table functions become views; a branch or revision in
-the WHERE clause picks a state of the log; data changes replace the table's snapshot.
+Path, JSON, text and vector functions and operators are written out as native expressions (``sqltext``); table functions become views;
+a branch or revision in the WHERE clause picks a state of the log; data changes replace the table's snapshot or are appended to its log.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquarry.functions import geo, jsonops
 from polyquarry.operators import dml, search, versioning
-from polyquarry.plans import match, statements
-from polyquarry.plans.expressions import closing, outside_strings, split_top
-
-#: name -> (parameters, result, body); inlined by Catalyst, so predicates on them are optimised like hand-written ones.
-SQL_FUNCTIONS = {
-    "DEPTH": ("p STRING", "INT", "size(filter(split(p, '/'), x -> x <> ''))"),
-    "PARENT": ("p STRING", "STRING", "CASE WHEN p IS NULL THEN NULL WHEN size(filter(split(p, '/'), x -> x <> '')) < 1 THEN '' ELSE concat('/', array_join(slice(filter(split(p, '/'), x -> x <> ''), 1, greatest(size(filter(split(p, '/'), x -> x <> '')) - 1, 0)), '/')) END"),
-    "ANCESTOR": ("p STRING, d INT", "STRING", "CASE WHEN p IS NULL THEN NULL WHEN d <= 0 OR size(filter(split(p, '/'), x -> x <> '')) < d THEN '' ELSE concat('/', array_join(slice(filter(split(p, '/'), x -> x <> ''), 1, greatest(d, 1)), '/')) END"),
-    "PATH_STARTS_WITH": ("p STRING, q STRING", "BOOLEAN", "startswith(p, q)"),
-    "JSON_GET_TEXT": ("j STRING, k STRING", "STRING", "try_variant_get(try_parse_json(j), concat('$.', k), 'string')"),
-    "JSON_VALUE": ("j STRING, p STRING", "STRING", "get_json_object(j, p)"),
-    "VECTOR_L2_DISTANCE": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"),
-    "VECTOR_COSINE_DISTANCE": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "1D - aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
-    "VECTOR_INNER_PRODUCT": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "-aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
-}
+from polyquarry.plans import match, sqltext, statements
+from polyquarry.plans.expressions import closing, split_top
+from polyquarry.session import checkpoint
 
-OPERAND = r"((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*|\))"
+TABLE_FUNCTIONS = ("GRAPH_TABLE", "CYPHER", "NEIGHBORS", "KNN", "FULLTEXT_SEARCH", "HYBRID_SEARCH")
 
 
 class Engine:
@@ -42,19 +30,26 @@ class Engine:
         self.branch, self.types, self.translations = "main", {}, {}
         self.text: dict[str, tuple[str, str]] = {}
         self.vectors: dict[str, tuple[str, str]] = {}
-        for name, (params, kind, body) in SQL_FUNCTIONS.items():
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
+        self.json_columns = set(sqltext.JSON_COLUMNS)
+        self.embed: Callable[[str], list[float]] | None = None
+        self.saved: dict | None = None
         if udfs:
-            spark.udf.register("json_contains", F.pandas_udf(_contains, "boolean"))
-            spark.udf.register("jsonb_set", F.pandas_udf(_set, "string"))
+            for name, (function, kind) in JSON_UDFS.items():
+                spark.udf.register(name, F.pandas_udf(function, kind))
             for name, (function, kind) in geo.FUNCTIONS.items():
                 if name not in ("st_srid",):
                     spark.udf.register(name, _geo_udf(function, kind, name == "st_geomfromgeojson"))
 
-    def register(self, name: str, df: DataFrame) -> None:
+    def register(self, name: str, df: DataFrame, json_columns: Sequence[str] = ()) -> None:
+        """``json_columns``: columns of JSON text, besides those called properties, translations or relations."""
         self.tables[name] = df
+        self.json_columns |= set(json_columns)
         df.createOrReplaceTempView(name)
 
+    def register_embedding(self, function: Callable[[str], list[float]]) -> None:
+        """What EMBEDDING('text') calls, once for each literal of a statement."""
+        self.embed = function
+
     def register_graph(self, graph: match.Graph, name: str = "NODES_GRAPH") -> None:
         self.graphs[name] = graph
 
@@ -85,6 +80,11 @@ class Engine:
             return made
         if head in ("INSERT", "UPSERT", "UPDATE", "DELETE") and (made := self._change(head, text)) is not None:
             return made
+        if head == "EXPLAIN":
+            m = re.match(r"EXPLAIN\s+(VERBOSE\s+|ANALYZE\s+)?", text, re.I)
+            shown = self.sql(text[m.end() :])._jdf.queryExecution()
+            lines = (shown.toString() if m[1] else shown.simpleString()).splitlines()
+            return self.spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line int, plan string")
         if head == "SHOW" and text.upper().split()[1:2] == ["TABLES"]:
             return self.spark.createDataFrame([(n,) for n in sorted(self.tables)], "name string")
         query = self.rewrite(text)
@@ -99,10 +99,19 @@ class Engine:
         text = self._versions(text)
         text = self._table_functions(text)
         text = self._distinct_on(text)
-        text = json_operators(text)
-        text = path_predicates(text)
-        text = re.sub(r"::\s*jsonb?\b", "", text, flags=re.I)
-        return re.sub(r"::\s*(path|uuid)\b", "::string", text, flags=re.I)
+        return sqltext.Rewriter(self.json_columns, CALLS | {"embedding": self._embedding, "fulltext_match": self._fulltext_match}).rewrite(text)
+
+    def _embedding(self, args):
+        if self.embed is None:
+            raise ValueError("EMBEDDING needs a function: register_embedding")
+        return sqltext.Operand("array(" + ", ".join(f"{float(x)!r}D" for x in self.embed(sqltext._plain(args[0]))) + ")")
+
+    def _fulltext_match(self, args):
+        """FULLTEXT_MATCH(query, language) on the registered text column; FULLTEXT_MATCH(column, query, language) on any."""
+        if len(args) == 3:
+            return sqltext.Operand(sqltext.text_test(args[0].sql, sqltext._plain(args[1])))
+        _, (_, column) = next(iter(self.text.items()))
+        return sqltext.Operand(sqltext.text_test(f"`{column}`", sqltext._plain(args[0])))
 
     def _view(self, df: DataFrame) -> str:
         name = f"_view_{len(self.functions)}"
@@ -111,29 +120,42 @@ class Engine:
         return name
 
     def _versions(self, text: str) -> str:
-        for name, (log, branches) in self.logs.items():
-            if not re.search(rf"\bFROM\s+{name}\b", text, re.I):
+        """Each use of a log becomes its state; ``alias.__branch = 'x'`` and ``alias.__revision <= n`` mean that use, without an alias all."""
+        uses = sqltext.table_uses(text, self.logs)
+        if not uses:
+            return text
+        chosen, cuts = {}, []
+        found = sqltext.spans(text)
+        for (kind, name, start, _), (_, op, _, _), (right, value, _, end) in zip(found, found[1:], found[2:], strict=False):
+            alias, _, column = name.rpartition(".")
+            if kind == "name" and column == "__branch" and op == "=" and right == "string":
+                chosen[alias, column] = sqltext.literal(value)
+            elif kind == "name" and column == "__revision" and op in ("=", "<=") and right == "number":
+                chosen[alias, column] = int(value)
+            else:
                 continue
-            branch, revision = self.branch, None
-            if m := re.search(r"\b__branch\s*=\s*'([^']*)'", text):
-                branch, text = m[1], text[: m.start()] + "TRUE" + text[m.end() :]
-            if m := re.search(r"\b__revision\s*(?:<=|=)\s*(\d+)", text):
-                revision, text = int(m[1]), text[: m.start()] + "TRUE" + text[m.end() :]
-            view = self._view(versioning.branch_state(log, branches, branch, revision))
-            text = re.sub(rf"\bFROM\s+{name}\b", f"FROM {view} AS {name}", text, flags=re.I)
+            cuts.append((start, end, "TRUE"))
+        for name, alias, start, end in uses:
+            log, branches = self.logs[name]
+            branch, revision = (chosen.get((alias, c), chosen.get(("", c))) for c in ("__branch", "__revision"))
+            view = self._view(versioning.branch_state(log, branches, branch or self.branch, revision))
+            cuts.append((start, end, f"{view} AS {name}" if alias == name else view))
+        for start, end, new in sorted(cuts, reverse=True):
+            text = text[:start] + new + text[end:]
         return text
 
     def _table_functions(self, text: str) -> str:
-        while m := re.search(r"\b(GRAPH_TABLE|CYPHER|NEIGHBORS|KNN|FULLTEXT_SEARCH|HYBRID_SEARCH)\s*\(", text, re.I):
-            end = closing(text, m.end() - 1)
-            inner, kind = text[m.end() : end], m[1].upper()
+        while call := sqltext.find_call(text, TABLE_FUNCTIONS):
+            kind, start, begin, end = call
+            inner = text[begin:end]
             if kind == "GRAPH_TABLE":
                 name = re.match(r"\s*(\w+)\s+MATCH\b", inner, re.I)
                 made = match.graph_table(self.graphs[name[1] if name and name[1].upper() != "MATCH" else "NODES_GRAPH"], inner)
             else:
-                args = [_literal(a) for a in split_top(inner)]
-                made = getattr(self, f"_{kind.lower()}")(*args)
-            text = f"{text[: m.start()]}{self._view(made)}{text[end + 1 :]}"
+                named = [re.fullmatch(r"(\w+)\s*=>\s*(.*)", a, re.S) for a in split_top(inner)]
+                args = [_literal(a, self.embed) for a, n in zip(split_top(inner), named, strict=True) if not n]
+                made = getattr(self, f"_{kind.lower()}")(*args, **{n[1].lower(): _literal(n[2], self.embed) for n in named if n})
+            text = f"{text[:start]}{self._view(made)}{text[end + 1 :]}"
         return text
 
     def _cypher(self, query, *_):
@@ -142,24 +164,35 @@ class Engine:
     def _neighbors(self, node, direction="OUT", relation=None):
         return match.neighbors(self.graphs["NODES_GRAPH"], node, direction, relation)
 
-    def _knn(self, vector, k, metric="l2"):
-        name, (key, column) = next(iter(self.vectors.items()))
-        return search.nearest(self.tables[name], column, vector, int(k), key, metric)
-
-    def _fulltext_search(self, query, language=None):
-        name, (key, column) = next(iter(self.text.items()))
+    @staticmethod
+    def _chosen(known: dict, name: str | None, what: str):
+        """A registered table by name; without a name the only one."""
+        if name is None and len(known) != 1:
+            raise ValueError(f"{what} needs table => one of {sorted(known)}")
+        return name or next(iter(known)), known[name or next(iter(known))]
+
+    def _knn(self, vector, k, condition=None, metric="l2", table=None):
+        """KNN(vector, k [, condition] [, metric => 'cosine'] [, table => 'name']): the k nearest of the rows that meet the condition, with distance and node_id."""
+        name, (key, column) = self._chosen(self.vectors, table, "KNN")
+        rows = self.tables[name] if condition is None else self.tables[name].where(F.expr(self.rewrite(condition)))
+        return search.nearest(rows, column, vector, int(k), key, metric).withColumn("node_id", F.col(key))
+
+    def _fulltext_search(self, query, language=None, limit=1000, table=None):
+        name, (key, column) = self._chosen(self.text, table, "FULLTEXT_SEARCH")
         rows = self.tables[name]
         if language is not None and "lang" in rows.columns:
             rows = rows.where(F.col("lang") == language)
-        return search.fulltext_search(rows, key, column, query)
-
-    def _hybrid_search(self, query, k, vector=None):
-        """Text ranking, fused with a vector ranking of the same keys where a query vector is given."""
-        name, (key, column) = next(iter(self.text.items()))
-        ranked = [_ranked(search.fulltext_search(self.tables[name], key, column, query), F.desc("rank"), key)]
+        return search.fulltext_search(rows, key, column, query, int(limit))
+
+    def _hybrid_search(self, query, k, vector=None, candidates=None, table=None, vectors=None):
+        """Text ranking, fused with a vector ranking of the same keys where a query vector is given; each list holds
+        ``candidates`` rows, by default 20 times k and 1000 at least."""
+        depth = int(candidates or max(1000, 20 * int(k)))
+        name, (key, column) = self._chosen(self.text, table, "HYBRID_SEARCH")
+        ranked = [_ranked(search.fulltext_search(self.tables[name], key, column, query, depth), F.desc("rank"), key)]
         if vector is not None:
-            vname, (vkey, vcolumn) = next(iter(self.vectors.items()))
-            near = search.nearest(self.tables[vname], vcolumn, vector, 1000, vkey)
+            vname, (vkey, vcolumn) = self._chosen(self.vectors, vectors, "HYBRID_SEARCH")
+            near = search.nearest(self.tables[vname], vcolumn, vector, depth, vkey)
             ranked.append(_ranked(near.withColumnRenamed(vkey, key), F.col("distance"), key))
         return search.reciprocal_rank_fusion(ranked, key, limit=int(k))
 
@@ -197,12 +230,56 @@ class Engine:
             if not m or m[1] not in self.tables:
                 return None
             new = dml.delete(self.tables[m[1]], F.expr(self.rewrite(m[2] or "TRUE")))
+        if m[1] in self.logs:
+            return self._written(m[1], new)
         self.register(m[1], new)
         return new
 
-
-def _literal(text: str):
+    def _written(self, name: str, new: DataFrame) -> DataFrame:
+        """Rows that a statement added, changed or removed, appended to the log as one revision of the current branch."""
+        log, branches = self.logs[name]
+        columns = [c for c in log.columns if c not in ("id", "revision", "branch", "deleted")]
+        side = lambda df, n: df.select("id", F.struct(*columns).alias(n))
+        both = side(self.tables[name], "o").join(side(new, "n"), "id", "full").where(~F.col("o").eqNullSafe(F.col("n")))
+        at = (log.agg(F.max("revision")).first()[0] or 0) + 1
+        made = {"revision": F.lit(at).cast("long"), "branch": F.lit(self.branch), "deleted": F.col("n").isNull(), "id": F.col("id")}
+        made |= {c: F.coalesce(F.col("n"), F.col("o"))[c] for c in columns}
+        rows = both.select(*(made[c].alias(c) for c in log.columns))
+        self.logs[name] = (checkpoint(log.unionByName(rows)), branches)
+        self.register(name, versioning.branch_state(*self.logs[name], self.branch))
+        return self.tables[name]
+
+    # --- transactions: tables are snapshots, so what was is only remembered
+
+    def begin(self) -> None:
+        if self.saved is not None:
+            raise ValueError("a transaction is open")
+        graphs = {n: (g, g.nodes, g.edges) for n, g in self.graphs.items()}
+        self.saved = {"tables": dict(self.tables), "logs": dict(self.logs), "graphs": graphs, "branch": self.branch, "types": dict(self.types), "translations": dict(self.translations)}
+
+    def end(self, keep: bool) -> None:
+        if self.saved is None:
+            raise ValueError("no transaction is open")
+        saved, self.saved = self.saved, None
+        if keep:
+            return
+        for name in set(self.tables) - set(saved["tables"]):
+            self.spark.catalog.dropTempView(name)
+        self.tables, self.logs, self.branch, self.types, self.translations = (saved[k] for k in ("tables", "logs", "branch", "types", "translations"))
+        for name, df in self.tables.items():
+            df.createOrReplaceTempView(name)
+        self.graphs = {n: g for n, (g, _, _) in saved["graphs"].items()}
+        for g, nodes, edges in saved["graphs"].values():
+            g.nodes, g.edges = nodes, edges
+
+
+def _literal(text: str, embed: Callable | None = None):
     text = text.strip()
+    if m := re.fullmatch(r"EMBEDDING\s*\(\s*('(?:[^']|'')*')\s*\)", text, re.I):
+        if embed is None:
+            raise ValueError("EMBEDDING needs a function: register_embedding")
+        return embed(sqltext.literal(m[1]))
+    text = re.sub(r"^ARRAY\s*(?=\[)|::\s*vector(\(\d+\))?$", "", text, flags=re.I)
     if text.startswith("'"):
         return text[1:-1].replace("''", "'")
     if text.upper() == "NULL":
@@ -217,15 +294,53 @@ def _ranked(df: DataFrame, order, key: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(order, key)))
 
 
-def _contains(doc, pattern):
-    return doc.combine(pattern, lambda d, p: None if d is None or p is None else jsonops.contains_tree(json.loads(d), json.loads(p)))
+def _over_rows(function):
+    """Over rows of columns; null in any gives null, broken JSON too."""
+
+    def run(*columns):
+        import pandas as pd
+
+        out = []
+        for row in zip(*columns, strict=True):
+            try:
+                out.append(None if any(v is None for v in row) else function(*row))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype="object")
+
+    return run
+
+
+def _keys(path: str) -> list[str]:
+    return [k.strip().strip('"') for k in path.strip().strip("{}").split(",") if k.strip()]
 
 
-def _set(doc, path, new):
-    import pandas as pd
+def _dump(tree) -> str:
+    return json.dumps(tree, separators=(",", ":"), ensure_ascii=False)
 
-    keys = [p.strip("{}").split(",") for p in path]
-    return pd.Series([None if d is None else json.dumps(jsonops.set_path(json.loads(d), k, json.loads(v)), separators=(",", ":")) for d, k, v in zip(doc, keys, new, strict=True)], dtype="object")
+
+def _remove_key(doc: str, key: str) -> str:
+    tree = json.loads(doc)
+    return _dump([x for x in tree if x != key] if isinstance(tree, list) else jsonops.remove_path(tree, [key]))
+
+
+def _merge(left: str, right: str) -> str:
+    a, b = json.loads(left), json.loads(right)
+    if isinstance(a, dict) and isinstance(b, dict):
+        return _dump({**a, **b})
+    listed = lambda x: x if isinstance(x, list) else [x]
+    return _dump(listed(a) + listed(b))
+
+
+#: Functions over JSON trees, Arrow-batched, for what native expressions can't say.
+JSON_UDFS = {
+    "json_contains": (_over_rows(lambda d, p: jsonops.contains_tree(json.loads(d), json.loads(p))), "boolean"),
+    "jsonb_set": (_over_rows(lambda d, p, v, create=True: _dump(jsonops.set_path(json.loads(d), _keys(p), json.loads(v), bool(create)))), "string"),
+    "json_remove_key": (_over_rows(_remove_key), "string"),
+    "json_remove_path": (_over_rows(lambda d, p: _dump(jsonops.remove_path(json.loads(d), _keys(p)))), "string"),
+    "json_merge": (_over_rows(_merge), "string"),
+    "json_references": (_over_rows(lambda d, t: jsonops.refers_to(json.loads(d), t)), "boolean"),
+}
 
 
 def _geo_udf(function, kind, text_in):
@@ -240,45 +355,24 @@ def _geo_udf(function, kind, text_in):
     return F.udf(call, "string" if kind == "geometry" else kind, useArrow=True)
 
 
-def json_operators(text: str) -> str:
-    """-> ->> #> #>> @> ? ?| ?& on columns, as functions."""
-
-    def arrows(m):
-        keys = [a or b for a, b in re.findall(r"->>?\s*(?:'([^']*)'|(\d+))", m[2])]
-        path = jsonops.dollar(*(int(k) if k.isdigit() else k for k in keys)).replace("'", "''")
-        last = re.findall(r"->>?", m[2])[-1]
-        return f"get_json_object({m[1]}, '{path}')" if last == "->>" else f"to_json(try_variant_get(try_parse_json({m[1]}), '{path}', 'variant'))"
+def _below(deeper: bool):
+    """CHILD_OF(['path column',] '/a') and DESCENDANT_OF(['path column',] '/a' [, n]) as prefix tests, which reach the scan, and a depth."""
 
-    column = r"((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*)"
-    text = re.sub(column + r"((?:\s*->>?\s*(?:'[^']*'|\d+))+)", arrows, text)
-
-    def hashes(m):
-        path = jsonops.dollar(*(int(k) if k.strip().isdigit() else k.strip() for k in m[3].split(",")))
-        return f"get_json_object({m[1]}, '{path}')" if m[2] == "#>>" else f"to_json(try_variant_get(try_parse_json({m[1]}), '{path}', 'variant'))"
-
-    text = re.sub(column + r"\s*(#>>?)\s*'\{([^}]*)\}'", hashes, text)
-    text = re.sub(column + r"\s*@>\s*('(?:[^']|'')*')", r"json_contains(\1, \2)", text)
-    text = re.sub(column + r"\s*\?\|\s*array\s*\[([^\]]*)\]", r"arrays_overlap(json_object_keys(\1), array(\2))", text, flags=re.I)
-    text = re.sub(column + r"\s*\?&\s*array\s*\[([^\]]*)\]", r"(size(array_except(array(\2), json_object_keys(\1))) = 0)", text, flags=re.I)
-    return re.sub(column + r"\s*\?\s*('[^']*')", r"array_contains(json_object_keys(\1), \2)", text)
-
-
-def path_predicates(text: str) -> str:
-    """CHILD_OF('/a') and DESCENDANT_OF('/a'[, n]) as prefix tests, which reach the scan, and a depth."""
-
-    def child(m):
-        prefix = m[1]
+    def call(args):
+        column = "path" if args[0].text is not None else args[0].sql
+        prefix = sqltext._plain(args[0] if column == "path" and args[0].text is not None else args[1])
+        rest = args[1:] if args[0].text is not None else args[2:]
         level = len([s for s in prefix.split("/") if s])
-        return f"(startswith(path, '{prefix.rstrip('/')}/') AND DEPTH(path) = {level + 1})"
+        inside = f"startswith({column}, {sqltext.quote(prefix.rstrip('/') + '/')})"
+        depth = sqltext._depth([sqltext.Operand(column)]).sql
+        if not deeper:
+            return sqltext.Operand(f"({inside} AND {depth} = {level + 1})")
+        most = f" AND {depth} <= {level + int(rest[0].sql)}" if rest else ""
+        return sqltext.Operand(f"({inside} AND {depth} > {level}{most})")
 
-    def below(m):
-        prefix = m[1]
-        level = len([s for s in prefix.split("/") if s])
-        most = f" AND DEPTH(path) <= {level + int(m[2])}" if m[2] else ""
-        return f"(startswith(path, '{prefix.rstrip('/')}/') AND DEPTH(path) > {level}{most})"
+    return call
 
-    text = re.sub(r"\bCHILD_OF\s*\(\s*'([^']*)'\s*\)", child, text, flags=re.I)
-    return re.sub(r"\bDESCENDANT_OF\s*\(\s*'([^']*)'\s*(?:,\s*(\d+)\s*)?\)", below, text, flags=re.I)
 
+CALLS = {"child_of": _below(False), "descendant_of": _below(True)}
 
-__all__ = ["Engine", "json_operators", "outside_strings", "path_predicates"]
+__all__ = ["Engine"]

@@ -174,6 +174,16 @@ def _types(engine) -> DataFrame:
     return engine.spark.createDataFrame(rows, "node_type string, property string, kind string, required boolean")
 
 
+def _transaction(engine, m) -> DataFrame:
+    """BEGIN remembers the tables, ROLLBACK brings them back."""
+    word = m[1].upper()
+    if word in ("BEGIN", "START"):
+        engine.begin()
+    else:
+        engine.end(word == "COMMIT")
+    return engine.spark.createDataFrame([(word,)], "done string")
+
+
 #: pattern of a whole statement -> what it does
 STATEMENTS = [
     (rf"(MOVE|COPY|ORDER)(\s+TREE)?\s+(\w+){BRANCH}\s+SET\s+{REFERENCE}\s+(TO|ABOVE|BELOW)\s+{REFERENCE}(?:\s+AS\s+'([^']*)')?", _tree),
@@ -190,7 +200,7 @@ STATEMENTS = [
     (rf"RESTORE(\s+TREE)?\s+NODE\s+{REFERENCE}\s+TO\s+REVISION\s+(HEAD(?:~\d+)?|\d+)", _restore),
     (r"CREATE\s+NODETYPE\s+'?(\w+)'?\s*\((.*)\)", _node_type),
     (r"DROP\s+NODETYPE\s+'?(\w+)'?", _drop_type),
-    (r"(?:BEGIN|COMMIT)", lambda e, m: e.spark.createDataFrame([], "done string")),
+    (r"(BEGIN|START|COMMIT|ROLLBACK)(?:\s+(?:TRANSACTION|WORK))?(?:\s+WITH\s+MESSAGE\s+'[^']*')?", _transaction),
 ]
 
 

@@ -231,3 +231,65 @@ def test_branch_statements(spark):
     assert engine.sql("DESCRIBE BRANCH 'old'").count() == 1
     engine.sql("DROP BRANCH 'old'")
     assert engine.sql("SHOW BRANCHES").count() == 1
+
+
+def test_sql_text_rewriting():
+    from polyquarry.plans.sqltext import Rewriter, table_uses
+
+    r = Rewriter().rewrite
+    assert r("SELECT 'properties->>''k''' AS x -- properties->>'a'") == "SELECT 'properties->>\\'k\\'' AS x"
+    assert r("SELECT properties->'a'->>'b' FROM t") == "SELECT get_json_object(properties, '$.a.b') FROM t"
+    assert r("SELECT transform(xs, x -> x + 1), a - 'k', a || 'b', count(*) FROM t") == "SELECT transform(xs, x -> x + 1), a - 'k', a || 'b', count(*) FROM t"
+    assert r("SELECT a <=> ARRAY[1, 2] FROM t") == "SELECT (1D - aggregate(zip_with(a, array(1, 2), (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)) FROM t"
+    assert r("SELECT t.properties - 'k' || '{\"b\":1}'::jsonb") == "SELECT json_merge(json_remove_key(t.properties, 'k'), '{\"b\":1}')"
+    assert r('SELECT "a b", x::int8, -1 FROM t') == "SELECT `a b`, CAST(x AS bigint), - 1 FROM t"
+    assert [u[:2] for u in table_uses("SELECT * FROM docs d JOIN docs AS e ON d.id = e.id WHERE x IN (SELECT id FROM docs) AND docs.y = 'FROM docs'", ["docs"])] == [("docs", "d"), ("docs", "e"), ("docs", "docs")]
+
+
+def test_sql_operators(spark):
+    engine = sqlfront.Engine(spark)
+    rows = [("a", '{"n":1,"s":"x y","t":["u","v"],"o":{"k":2.5},"r":{"z":{"q":1},"workspace":"w","path":"/p"}}', [1.0, 0.0], "red fish swims"), ("b", '{"n":"1","s":null}', [0.6, 0.8], "blue Fish"), ("c", None, None, None)]
+    engine.register("nodes", spark.createDataFrame(rows, "id string, properties string, embedding array<double>, body string"))
+    engine.register_text("nodes", "id", "body")
+    engine.register_vectors("nodes", "id", "embedding")
+    engine.register_embedding(lambda text: [float(len(text)), 0.0])
+    ids = lambda w: "".join(r.id for r in engine.sql(f"SELECT id FROM nodes WHERE {w} ORDER BY id").collect())
+    one = lambda e, i="a": engine.sql(f"SELECT {e} AS v FROM nodes WHERE id = '{i}'").first().v
+    assert ids("properties @> '{\"n\":1}'") == "a" and ids("properties @> '{\"t\":[\"v\"],\"o\":{\"k\":2.5}}'") == "a" and ids("properties @> '{\"s\":null}'") == "b"
+    assert ids("properties ? 's'") == "ab" and ids("properties ?| ARRAY['o', 'zz']") == "a" and ids("properties ?& ARRAY['n', 's']") == "ab"
+    assert ids("properties @@ '$.o.k > 2 && $.n == 1'") == "a" and ids("properties @? '$.s'") == "ab" and ids("NOT (properties @? '$.o')") == "bc"
+    assert (one("properties - 's' - 't' - 'r'"), one("properties #- '{o,k}' -> 'o'"), one("properties #>> '{t,1}'")) == ('{"n":1,"o":{"k":2.5}}', "{}", "v")
+    assert one("properties -> 'o' || '{\"m\":1}'::jsonb") == '{"k":2.5,"m":1}' and one("properties->>'s' || '!' || properties->>'n'") == "x y!1"
+    assert one("JSONB_SET(properties -> 'o', '{k}', '3')") == '{"k":3}' and one("JSONB_SET(properties -> 'o', '{m}', '3', false)") == '{"k":2.5}'
+    assert (one("JSON_GET_INT(properties, 'n')"), one("JSON_GET_DOUBLE(properties, 'o.k')"), one("JSON_GET(properties, 'o')"), one("JSON_VALUE(properties, '$.n' RETURNING DOUBLE)")) == (1, 2.5, '{"k":2.5}', 1.0)
+    assert (one("JSON_EXISTS(properties, '$.o.k')"), one("JSON_EXISTS(properties, '$.o.z')"), one("JSON_QUERY(properties, '$.o')"), one("JSON_QUERY(properties, '$.n')"), one("JSON_QUERY(properties, '$.n' WITH WRAPPER)")) == (True, False, '{"k":2.5}', None, "[1]")
+    assert ids("REFERENCES('w:/p')") == "a" and ids("REFERENCES(properties, 'w:/q')") == ""
+    assert ids("to_tsvector('english', body) @@ to_tsquery('english', 'fish & !blue')") == "a" and ids("FULLTEXT_MATCH('fi:* | zz', 'english')") == "ab"
+    assert one("ts_rank(to_tsvector('english', body), to_tsquery('english', 'fish & zz'))") == 0.25
+    assert (one("embedding <-> ARRAY[1, 1]"), one("embedding <=> '[0.6, 0.8]'", "b"), one("embedding <#> '[2, 2]'::vector(2)")) == (1.0, pytest.approx(0.0), -2.0)
+    assert [r.id for r in engine.sql("SELECT id FROM nodes WHERE embedding IS NOT NULL ORDER BY embedding <=> EMBEDDING('x') LIMIT 2").collect()] == ["a", "b"]
+    assert [r.node_id for r in engine.sql("SELECT k.node_id FROM KNN(ARRAY[0.6, 0.8], 1, 'properties ->> ''n'' = ''1''') AS k").collect()] == ["b"]
+    assert engine.sql("EXPLAIN SELECT 1 AS x").count() > 0
+
+
+def test_sql_changes_of_logs(spark):
+    schema = "revision long, id string, deleted boolean, v string, branch string"
+    log = spark.createDataFrame([(1, "a", False, "x", "main"), (1, "b", False, "y", "main")], schema)
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register_log("docs", log, spark.createDataFrame([("main", None, None)], versioning.BRANCHES))
+    state = lambda w="": {r.id: r.v for r in engine.sql(f"SELECT id, v FROM docs {w}").collect()}
+    engine.sql("INSERT INTO docs (id, v) VALUES ('c', 'z')")
+    engine.sql("CREATE BRANCH 'draft'")
+    engine.sql("USE BRANCH 'draft'")
+    engine.sql("UPDATE docs SET v = 'it''s' WHERE id = 'a'")
+    engine.sql("DELETE FROM docs WHERE id = 'b'")
+    assert state() == {"a": "it's", "c": "z"} and state("WHERE __branch = 'main'") == {"a": "x", "b": "y", "c": "z"}
+    both = engine.sql("SELECT n.id FROM docs o JOIN docs n ON o.id = n.id WHERE o.__branch = 'main' AND n.__branch = 'draft' AND o.v <> n.v").collect()
+    assert [r.id for r in both] == ["a"] and state("WHERE __branch = 'main' AND __revision <= 1") == {"a": "x", "b": "y"}
+    engine.sql("BEGIN")
+    engine.sql("DELETE FROM docs WHERE id = 'c'")
+    assert state() == {"a": "it's"}
+    engine.sql("ROLLBACK")
+    assert state() == {"a": "it's", "c": "z"}
+    with pytest.raises(ValueError):
+        engine.sql("COMMIT")
