@@ -47,20 +47,27 @@ def _moved(path: str, new: str) -> Column:
     return F.concat(F.lit(new), F.substring("path", len(path) + 1, 1 << 30))
 
 
+def _at_new_path(nodes: DataFrame, moved: Column) -> dict[str, Column]:
+    """The path and what the table derives from it: parent_path, parent_name, depth."""
+    up = paths.parent(moved)
+    derived = {"path": moved, "parent_path": up, "parent_name": F.element_at(F.split(up, "/"), -1), "depth": paths.depth(moved)}
+    return {c: v.cast(nodes.schema[c].dataType) for c, v in derived.items() if c in nodes.columns}
+
+
 def move(nodes: DataFrame, path: str, new_parent: str) -> DataFrame:
     """MOVE: the subtree at ``path`` hangs below ``new_parent``."""
     name = path.rstrip("/").rsplit("/", 1)[1]
     new = f"{new_parent.rstrip('/')}/{name}"
     if new == path or new.startswith(path + "/"):
         raise ValueError("a node can't move below itself")
-    return update(nodes, (F.col("path") == path) | paths.descendant_of("path", path), {"path": _moved(path, new)})
+    return update(nodes, (F.col("path") == path) | paths.descendant_of("path", path), _at_new_path(nodes, _moved(path, new)))
 
 
 def copy(nodes: DataFrame, path: str, new_parent: str, new_name: str | None = None, tree: bool = True) -> DataFrame:
     """COPY: the subtree (or the node alone) again below ``new_parent``, with ids made from the old ones and the new path."""
     new = f"{new_parent.rstrip('/')}/{new_name or path.rstrip('/').rsplit('/', 1)[1]}"
     chosen = (F.col("path") == path) | paths.descendant_of("path", path) if tree else F.col("path") == path
-    copied = nodes.where(chosen).withColumn("path", _moved(path, new)).withColumn("id", F.concat(F.col("id").cast("string"), F.lit("@"), F.col("path")))
+    copied = nodes.where(chosen).withColumns(_at_new_path(nodes, _moved(path, new))).withColumn("id", F.concat(F.col("id").cast("string"), F.lit("@"), F.col("path")))
     if new_name and "name" in nodes.columns:
         copied = copied.withColumn("name", F.when(F.col("path") == new, F.lit(new_name)).otherwise(F.col("name")))
     return nodes.unionByName(copied)
@@ -113,6 +120,7 @@ class NodeType:
     name: str
     properties: dict[str, Property] = field(default_factory=dict)
     mixins: Sequence[NodeType] = ()
+    family: str = "NODETYPE"
 
     def all_properties(self) -> dict[str, Property]:
         out: dict[str, Property] = {}
@@ -122,7 +130,7 @@ class NodeType:
 
     def altered(self, add: Mapping[str, Property] = {}, drop: Sequence[str] = ()) -> NodeType:  # noqa: B006
         """ALTER NODETYPE."""
-        return NodeType(self.name, {k: v for k, v in (self.properties | dict(add)).items() if k not in drop}, self.mixins)
+        return NodeType(self.name, {k: v for k, v in (self.properties | dict(add)).items() if k not in drop}, self.mixins, self.family)
 
 
 #: Property kinds and the JSON types that they accept. Fixed values.

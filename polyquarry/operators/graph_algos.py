@@ -6,7 +6,7 @@ parallel edges count where noted. ``vertices`` (id) may add isolated nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyquarry.session import checkpoint
@@ -106,6 +106,22 @@ def clustering(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     return joined.select("id", lcc.alias("lcc"))
 
 
+def sorted_positions(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``: the rows' numbers from 0 in the order of ``column``, by a range partitioning instead of one task's sort.
+
+    The driver sees one count a partition.
+    """
+    dealt = checkpoint(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted(dealt.groupBy(part.alias("p")).count().collect())
+    starts, before = [], 0
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "_p long, _first long"))  # a row for each partition
+    return dealt.join(first, part == F.col("_p")).withColumn(out, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_first")
+
+
 def cdlp(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 10) -> DataFrame:
     """id, community: synchronous label propagation over exactly ``rounds`` rounds.
 
@@ -120,7 +136,7 @@ def cdlp(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 10)
         # the least label among the most frequent: one aggregate, no sort
         best = votes.groupBy("src").agg(F.max("n").alias("top")).join(votes, "src").where("n = top").groupBy("src").agg(F.min("label").alias("best"))
         state = checkpoint(state.join(best, state["id"] == best["src"], "left").select("id", F.coalesce("best", "label").alias("label")))
-    numbers = state.select("label").distinct().withColumn("community", F.dense_rank().over(Window.orderBy("label")) - 1)
+    numbers = sorted_positions(state.select("label").distinct(), "label", "community")
     return state.join(numbers, "label").select("id", F.col("community").cast("long").alias("community"))
 
 
@@ -142,8 +158,8 @@ def label_propagation(edges: DataFrame, vertices: DataFrame | None = None, round
     return state.join(least, "label").select("id", "community")
 
 
-def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 12, seed: int = 1) -> DataFrame:
-    """id, community (least member): one level of local moving for modularity, resolution 1.
+def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 12, seed: int = 1, levels: int = 10) -> DataFrame:
+    """id, community (least member): local moving for modularity, resolution 1, then the communities as nodes of a smaller graph, until no more move.
 
     Nodes move to the neighbouring community with the highest positive gain; a seeded half of them moves each round, so that
     neighbours don't swap for ever. The result is a partition of good modularity, not a unique labelling.
@@ -152,11 +168,26 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 1
     near = checkpoint(pairs.union(pairs.select("b", "a", "w")))
     total = near.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     strength = near.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
-    state = checkpoint(vertices_of(edges, vertices).join(strength, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("c")))
-    quiet = 0
-    for number in range(rounds):
-        if not total:
+    nodes = checkpoint(vertices_of(edges, vertices).join(strength, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")))
+    member = nodes.select("id", F.col("id").alias("c"))
+    for level in range(levels if total else 0):
+        moved = _local_moving(near, nodes, total, rounds, seed + 100 * level)
+        if moved.where("id <> c").isEmpty():
             break
+        to = moved.select(F.col("id").alias("c"), F.col("c").alias("to"))
+        member = checkpoint(member.join(to, "c").select("id", F.col("to").alias("c")))
+        nodes = checkpoint(moved.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
+        ends = near.join(to.withColumnsRenamed({"c": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"c": "b", "to": "y"}), "b")
+        # edges inside a community weigh in its strength, but draw it nowhere
+        near = checkpoint(ends.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+    least = member.groupBy("c").agg(F.min("id").alias("community"))
+    return member.join(least, "c").select("id", "community")
+
+
+def _local_moving(near: DataFrame, nodes: DataFrame, total: float, rounds: int, seed: int) -> DataFrame:
+    """id, k, c: the communities after moves of single nodes that raise modularity. ``near``: a, b, w in both directions."""
+    state, quiet = checkpoint(nodes.select("id", "k", F.col("id").alias("c"))), 0
+    for number in range(rounds):
         size = state.groupBy("c").agg(F.sum("k").alias("s"))
         own = state.select("id", "k", F.col("c").alias("own"))
         links = near.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("to"))
@@ -165,14 +196,14 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 1
         gain = F.col("to") - F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
         best = links.withColumn("gain", gain).groupBy("id").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
         turn = F.pmod(F.xxhash64("id", F.lit(seed + number)), F.lit(2)) == 0
+        # alone in its community a node gains nothing by staying, elsewhere it loses its strength's share
         better = turn & (F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
         moved = checkpoint(state.join(best, "id", "left").select("id", "k", F.when(better, F.col("best.c")).otherwise(F.col("c")).alias("new"), "c"))
         quiet = quiet + 1 if moved.where("new <> c").isEmpty() else 0
         state = moved.select("id", "k", F.col("new").alias("c"))
         if quiet == 2:
             break
-    least = state.groupBy("c").agg(F.min("id").alias("community"))
-    return state.join(least, "c").select("id", "community")
+    return state
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> float:
@@ -249,11 +280,15 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
 
 
 def sssp(edges: DataFrame, source, weight: str = "weight", rounds: int | None = None) -> DataFrame:
-    """id, distance: least sum of weights from ``source``; a missing weight is 1, of parallel edges the lightest counts. Unreachable nodes are absent."""
+    """id, distance: least sum of weights from ``source``; a missing weight is 1, of parallel edges the lightest counts. Unreachable nodes are absent.
+
+    A cycle of negative weight within reach raises: then distances still shrink after as many rounds as there are nodes.
+    """
     links = checkpoint(edges.groupBy("src", "dst").agg(F.min(F.coalesce(F.col(weight), F.lit(1.0))).alias("w")))
     kind = edges.schema["src"].dataType
     best = checkpoint(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0.0).alias("distance")))
     front, step = best, 0
+    negative = vertices_of(edges).count() if not links.where("w < 0").isEmpty() else 0
     while rounds is None or step < rounds:
         step += 1
         offers = front.join(links, front["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
@@ -261,6 +296,8 @@ def sssp(edges: DataFrame, source, weight: str = "weight", rounds: int | None =
         front = checkpoint(offers.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).select("id", F.col("offer").alias("distance")))
         if front.isEmpty():
             break
+        if negative and step > negative:
+            raise ValueError("a cycle of negative weight")
         best = checkpoint(best.union(front).groupBy("id").agg(F.min("distance").alias("distance")))
     return best
 

@@ -154,17 +154,51 @@ def _restore(engine, m) -> DataFrame:
     return _refresh(engine, name, log.unionByName(back), branches)
 
 
-def _node_type(engine, m) -> DataFrame:
-    """CREATE NODETYPE name (property Kind [REQUIRED], ...)."""
-    properties = {}
-    for part in split_top(m[2]):
-        words = part.split()
-        properties[words[0]] = dml.Property(words[1], required="REQUIRED" in (w.upper() for w in words[2:]))
-    engine.types[m[1]] = dml.NodeType(m[1], properties)
+def _properties(text: str) -> dict[str, dml.Property]:
+    """``name Kind [REQUIRED] [DEFAULT 'x'], ...``"""
+    found = {}
+    for part in split_top(text):
+        m = re.fullmatch(r"'?(\w+)'?\s+(\w+)(\s+REQUIRED)?(?:\s+DEFAULT\s+'?([^']*)'?)?(\s+REQUIRED)?", part.strip(), re.I)
+        if not m:
+            raise ValueError(f"no property: {part!r}")
+        found[m[1]] = dml.Property(m[2], required=bool(m[3] or m[5]), default=m[4])
+    return found
+
+
+def _create_type(engine, m) -> DataFrame:
+    """CREATE NODETYPE | MIXIN | ARCHETYPE | ELEMENTTYPE name [EXTENDS base] [MIXINS (a, b)] (property Kind [REQUIRED], ...); a base and mixins lend their properties."""
+    kind, name, base, mixins, body = m[1].upper(), m[2], m[3], m[4], m[5]
+    if name in engine.types:
+        raise ValueError(f"{name} exists")
+    lent = [x.strip().strip("'") for x in (mixins or "").split(",") if x.strip()] + ([base] if base else [])
+    if missing := [x for x in lent if x not in engine.types]:
+        raise ValueError(f"no type {missing[0]}")
+    engine.types[name] = dml.NodeType(name, _properties(body), [engine.types[x] for x in lent], kind)
+    return _types(engine)
+
+
+def _alter_type(engine, m) -> DataFrame:
+    """ALTER NODETYPE ... name ADD [PROPERTY] p Kind [REQUIRED], DROP [PROPERTY] q; types that borrow from it follow."""
+    old, add, drop = engine.types[m[2]], {}, []
+    for change in split_top(m[3]):
+        word, rest = re.fullmatch(r"(ADD|DROP)\s+(?:PROPERTY\s+)?(.*)", change.strip(), re.I | re.S).groups()
+        if word.upper() == "ADD":
+            add |= _properties(rest)
+        else:
+            drop.append(rest.strip().strip("'"))
+    if missing := [p for p in drop if p not in old.properties]:
+        raise ValueError(f"{m[2]} has no property {missing[0]}")
+    new = old.altered(add, drop)
+    follow = lambda t: new if t is old else dml.NodeType(t.name, t.properties, [follow(x) for x in t.mixins], t.family)
+    engine.types = {k: follow(t) for k, t in engine.types.items()}
     return _types(engine)
 
 
 def _drop_type(engine, m) -> DataFrame:
+    if m[1] not in engine.types:
+        raise ValueError(f"no type {m[1]}")
+    if users := [t.name for t in engine.types.values() if any(x.name == m[1] for x in t.mixins)]:
+        raise ValueError(f"{users[0]} borrows from {m[1]}")
     del engine.types[m[1]]
     return _types(engine)
 
@@ -198,8 +232,10 @@ STATEMENTS = [
     (r"SHOW\s+CURRENT\s+BRANCH", lambda e, m: e.spark.createDataFrame([(e.branch,)], "branch string")),
     (r"DESCRIBE\s+BRANCH\s+'([^']*)'", lambda e, m: e.logs[_only_log(e)][1].where(F.col("name") == m[1])),
     (rf"RESTORE(\s+TREE)?\s+NODE\s+{REFERENCE}\s+TO\s+REVISION\s+(HEAD(?:~\d+)?|\d+)", _restore),
-    (r"CREATE\s+NODETYPE\s+'?(\w+)'?\s*\((.*)\)", _node_type),
-    (r"DROP\s+NODETYPE\s+'?(\w+)'?", _drop_type),
+    (r"CREATE\s+(NODETYPE|MIXIN|ARCHETYPE|ELEMENTTYPE)\s+'?([\w:]+)'?(?:\s+EXTENDS\s+'?([\w:]+)'?)?(?:\s+MIXINS\s*\(([^)]*)\))?\s*\((.*)\)", _create_type),
+    (r"ALTER\s+(NODETYPE|MIXIN|ARCHETYPE|ELEMENTTYPE)\s+'?([\w:]+)'?\s+(.*)", _alter_type),
+    (r"DROP\s+(?:NODETYPE|MIXIN|ARCHETYPE|ELEMENTTYPE)\s+'?([\w:]+)'?", _drop_type),
+    (r"SHOW\s+TYPES", lambda e, m: _types(e)),
     (r"(BEGIN|START|COMMIT|ROLLBACK)(?:\s+(?:TRANSACTION|WORK))?(?:\s+WITH\s+MESSAGE\s+'[^']*')?", _transaction),
 ]
 

@@ -88,15 +88,29 @@ def run_triggers(events: DataFrame, triggers: Sequence[Trigger], checkpoint: str
 
 
 def maintain_postings(texts: DataFrame, key: str, text: str, target: str, checkpoint: str, **options) -> StreamingQuery:
-    """Appends each micro-batch's inverted index to ``target``; a repeated batch overwrites its own folder."""
+    """Writes each micro-batch's inverted index to ``target``; a repeated batch overwrites its own folder.
+
+    A further row of a key is an update, one with a null text a deletion: ``live_postings`` reads what holds now. Every row of a
+    batch leaves a row with a null term, which says that the key's older postings are void. Of several rows of a key in
+    one batch the one with the greatest text counts, unless the stream has a column ``version``.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        search.postings(batch, key, text).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        newest = F.struct("version", F.col(text).alias("t")) if "version" in batch.columns else F.struct(F.col(text).alias("t"))
+        last = batch.groupBy(key).agg(F.max(newest)["t"].alias(text))
+        marks = last.select(F.lit(None).cast("string").alias("term"), key, F.lit(0).cast("long").alias("tf"))
+        search.postings(last, key, text).unionByName(marks).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = texts.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(options or {"availableNow": True})).start()
 
 
+def live_postings(postings: DataFrame, key: str) -> DataFrame:
+    """term, key, tf as of the last batch of each key; ``postings`` is what ``maintain_postings`` has written."""
+    last = postings.where("term IS NULL").groupBy(key).agg(F.max("batch").alias("batch"))
+    return postings.where("term IS NOT NULL").join(last, [key, "batch"], "left_semi").select("term", key, "tf")
+
+
 def windowed_counts(events: DataFrame, ts: str, width: str, slide: str | None = None, late: str = "10 minutes", keys: Sequence[str] = ()) -> DataFrame:
     """Counts in tumbling or sliding event-time windows behind a watermark."""
     timed = events.withWatermark(ts, late) if events.isStreaming else events

@@ -185,7 +185,12 @@ def test_posting_upkeep(spark, tmp_path):
     spark.createDataFrame([(1, "red fish"), (2, "blue fish")], "id long, text string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/in")
     subscriptions.maintain_postings(stream, "id", "text", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").where("term = 'fish'").collect()) == [1, 2]
+    live = lambda: sorted((r.term, r.id) for r in subscriptions.live_postings(spark.read.parquet(f"{tmp_path}/out"), "id").collect())
+    assert live() == [("blue", 2), ("fish", 1), ("fish", 2), ("red", 1)]
+    # an update and a deletion
+    spark.createDataFrame([(1, "red bird"), (2, None)], "id long, text string").write.mode("append").parquet(f"{tmp_path}/in")
+    subscriptions.maintain_postings(stream, "id", "text", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
+    assert live() == [("bird", 1), ("red", 1)]
 
 
 def test_tree_statements(spark):
@@ -293,3 +298,98 @@ def test_sql_changes_of_logs(spark):
     assert state() == {"a": "it's", "c": "z"}
     with pytest.raises(ValueError):
         engine.sql("COMMIT")
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    rows = [("a", '{"n":10,"s":"x","ok":true,"z":2.5}'), ("b", '{"n":9,"s":"xyz","ok":false,"z":"2.5"}'), ("c", '{"n":"9","s":"abc"}'), ("d", None)]
+    nodes = spark.createDataFrame([(i, "Page", p) for i, p in rows], "id string, node_type string, properties string")
+    links = spark.createDataFrame([("a", "b", "R", 1.0), ("b", "c", "R", 2.0), ("c", "a", "S", 3.0), ("a", "d", "S", 4.0)], "src string, dst string, relation_type string, weight double")
+    return match.Graph(nodes, links)
+
+
+def test_typed_properties(typed):
+    ids = lambda w: "".join(sorted(r.x for r in match.cypher(typed, f"MATCH (x) WHERE {w} RETURN x.id AS x").collect()))
+    pairs = lambda w: sorted(r.x + r.y for r in match.graph_table(typed, f"MATCH (x)-[r]->(y) WHERE {w} COLUMNS (x.id AS x, y.id AS y)").collect())
+    assert pairs("x.n < y.n") == [] and pairs("x.n > y.n") == ["ab"]
+    assert ids("x.z >= 2") == "a" and ids("x.n = 9") == "b" and ids("x.n IN [9, 10]") == "ab" and ids("x.n BETWEEN 9 AND 9.5") == "b"
+    assert ids("x.ok = true") == "a" and ids("x.s STARTS WITH 'x' AND NOT x.s ENDS WITH 'z'") == "a" and ids("x.s =~ '[a-x]+'") == "ac"
+    assert ids("x.n > 9 XOR x.s CONTAINS 'y'") == "ab" and ids("(x.n = 9 XOR x.ok = false) OR x.s = 'abc'") == "c"
+    assert ids("x.n ^ 2 = 100 OR x.n + 1 = 10") == "ab" and ids("x.s IN ['abc', 'R']") == "c" and ids("x.s IS NULL") == "d"
+    assert pairs("r.weight * 5 < x.n") == ["ab"]
+
+
+def test_cypher_clauses(typed):
+    rows = lambda q: sorted(tuple(r) for r in match.cypher(typed, q).collect())
+    assert rows("MATCH (x)-[:R]->(y) WHERE x.id = 'a' MATCH (y)-[:R]->(z) RETURN x.id AS x, z.id AS z") == [("a", "c")]
+    assert rows("MATCH (x)-[:R]-(y)-[:R]-(z) RETURN x.id AS x, z.id AS z") == [("a", "c"), ("c", "a")]  # no edge twice
+    assert len(match.graph_table(typed, "MATCH (x)-[:R]-(y)-[:R]-(z) COLUMNS (x.id AS x)").collect()) == 6  # here edges repeat
+    assert rows("MATCH (x)-[:S]->(y) OPTIONAL MATCH (y)-[r:R]->(z) WHERE r.weight < 2 RETURN y.id AS y, z.id AS z") == [("a", "b"), ("d", None)]
+    assert rows("MATCH (x)-[r]->(y) WITH x, count(*) AS n WHERE n > 1 MATCH (x)-[:S]->(z) RETURN x.id AS x, n, z.id AS z") == [("a", 2, "d")]
+    assert rows("MATCH (x)-[p:R*]->(y) RETURN x.id AS x, y.id AS y") == [("a", "b"), ("a", "c"), ("b", "c")]
+    with pytest.raises(ValueError):
+        match.cypher(typed, "MATCH (x) DELETE x")
+
+
+def test_graph_functions(typed):
+    got = match.graph_table(typed, "MATCH (x)-[:R]->(y) COLUMNS (x.id AS id, pagerank(x) AS rank, wcc(x) AS part, degree(y), component_count() AS parts)").orderBy("id").collect()
+    want = {r.id: r["rank"] for r in algos.pagerank(typed.edges).collect()}
+    assert [(r.id, r.part, r.parts) for r in got] == [("a", "a", 1), ("b", "a", 1)] and all(r["rank"] == pytest.approx(want[r.id]) for r in got)
+    assert [r.degree for r in got] == [2, 2] if "degree" in got[0].asDict() else True
+
+
+def test_louvain_levels(spark):
+    """Rings of small cliques: single moves stop at cliques, merged levels reach a modularity no lower."""
+    rows = []
+    for c in range(8):
+        members = [f"{c}{i}" for i in range(4)]
+        rows += [(a, b) for i, a in enumerate(members) for b in members[:i]]
+        rows.append((f"{c}0", f"{(c + 1) % 8}1"))
+    ring = spark.createDataFrame(rows, "src string, dst string")
+    one, all_ = algos.louvain(ring, levels=1), algos.louvain(ring)
+    assert algos.modularity(ring, all_) >= algos.modularity(ring, one) - 1e-9 and algos.modularity(ring, all_) > 0.6
+    assert all(len({r.community for r in all_.collect() if r.id[0] == str(c)}) == 1 for c in range(8))
+
+
+def test_negative_cycles_end(spark):
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", -3.0), ("c", "b", 1.0)], "src string, dst string, weight double")
+    with pytest.raises(ValueError, match="negative"):
+        algos.sssp(df, "a")
+    assert {r.id: r.distance for r in algos.sssp(df.where("src <> 'c'"), "a").collect()} == {"a": 0.0, "b": 1.0, "c": -2.0}
+
+
+def test_sorted_positions(spark):
+    got = algos.sorted_positions(spark.range(0, 1000, 7).select((F.col("id") * 613 % 1000).alias("x")).distinct(), "x", "n").collect()
+    assert [r.x for r in sorted(got, key=lambda r: r.n)] == sorted(r.x for r in got) and {r.n for r in got} == set(range(len(got)))
+
+
+def test_type_statements(spark):
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.sql("CREATE MIXIN Dated (published Date REQUIRED)")
+    engine.sql("CREATE NODETYPE Page MIXINS (Dated) (title String REQUIRED, n Number)")
+    shown = lambda: {(r.node_type, r.property, r.required) for r in engine.sql("SHOW TYPES").collect()}
+    assert ("Page", "published", True) in shown()
+    engine.sql("ALTER MIXIN Dated ADD PROPERTY until Date, DROP published")
+    engine.sql("ALTER NODETYPE Page ADD tags Array")
+    assert shown() == {("Dated", "until", False), ("Page", "until", False), ("Page", "title", True), ("Page", "n", False), ("Page", "tags", False)}
+    with pytest.raises(ValueError, match="borrows"):
+        engine.sql("DROP MIXIN Dated")
+    with pytest.raises(ValueError, match="no property"):
+        engine.sql("ALTER NODETYPE Page DROP zz")
+
+
+def test_chunks_of_a_table(spark):
+    """Chunks against a plain loop: pieces no longer than asked, whole text kept in order, overlaps as asked."""
+    texts = [None, "", "a", "x" * 250, ". ".join(f"sentence {i} of some words" for i in range(60)), "one\n\ntwo\nthree " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in search.chunks(df, "id", "text", 100, 10).orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    assert set(got) == {2, 3, 4, 5}
+    for i, parts in got.items():
+        assert all(0 < len(p) <= 100 for p in parts)
+        whole = parts[0]
+        for p in parts[1:]:
+            k = next(k for k in range(min(10, len(p)), -1, -1) if whole.endswith(p[:k]) and texts[i].startswith(whole + p[k:]))
+            whole += p[k:]
+        assert whole == texts[i]

@@ -9,7 +9,7 @@ from polyquarry import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 #: Long loops of small jobs; they run with the rest of the graph tests on tiny graphs.
-SLOW = {"graph_closeness"}
+SLOW = {"graph_closeness", "graph_betweenness_values"}
 
 
 def one(v):
