@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "documents", "graphs", "sqltexts", "versions")
+MODULES = ("relational", "documents", "geometries", "graphs", "sqltexts", "versions")
 
 
 def _gather(kind: str) -> dict:
