@@ -14,6 +14,8 @@ from polyquarry.llm.components import components
 SEED = 42
 #: Most fingerprints that meet in one comparison; larger buckets are compared tile by tile.
 TILE = 2048
+#: Documents of one fingerprint that meet its component in one place.
+COPIES = 1 << 18
 #: Places among which the members of one component are dealt.
 SALTS = 32
 
@@ -271,19 +273,23 @@ def near_groups(
     names = [f"fp{i}" for i in range(words)]
     docs = docs.select(boxed(docs, but=(text, "component", *names)), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
     printed = cut(fingerprints(docs, "text", shingle, words, first_on_tie, repeats))
-    prints = printed.groupBy(*names).agg(F.min("key").alias("_least"))
+    prints = printed.groupBy(*names).agg(F.min("key").alias("_least"), F.ceil(F.count("*") / F.lit(COPIES)).cast("long").alias("_places"))
     # a single word is its own id; several are named by a hash of them, whose order doesn't matter
     ident = F.col("fp0") if words == 1 else F.xxhash64(*names)
     prints = cut(prints.withColumn("_id", ident))
     links = near_links(prints, names, radius, total_radius if total_radius is not None else radius, tile)
     roots = components(links, "_id", "_root")
-    rooted = cut(prints.select("_id", "_least").join(roots, "_id", "left"))
-    alone = rooted.where("_root IS NULL").select("_id", F.col("_least").alias("component"))
+    rooted = cut(prints.select("_id", "_least", "_places").join(roots, "_id", "left"))
+    alone = rooted.where("_root IS NULL").select("_id", "_places", F.col("_least").alias("component"))
     # a component may hold a large part of all fingerprints: its members meet its least key in SALTS places
     linked = rooted.where("_root IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
     least = linked.groupBy("_root").agg(F.min("_least").alias("component")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    named = alone.unionByName(linked.join(least, ["_root", "_salt"]).select("_id", "component"))
-    return printed.withColumn("_id", ident).join(named, "_id").select("row.*", *names, "component")
+    named = alone.unionByName(linked.join(least, ["_root", "_salt"]).select("_id", "_places", "component"))
+    # documents with one fingerprint meet its component in places of COPIES documents each
+    hot = F.broadcast(prints.where("_places > 1").select("_id", F.col("_places").alias("_of")))  # one row for COPIES documents, at most
+    dealt = printed.withColumn("_id", ident).join(hot, "_id", "left").withColumn("_place", F.pmod(F.monotonically_increasing_id(), F.coalesce("_of", F.lit(1).cast("long"))))
+    named = named.select("_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_places") - 1)).alias("_place"))
+    return dealt.join(named, ["_id", "_place"]).select("row.*", *names, "component")
 
 
 def op5_simhash_groups(spark, sf_dir):

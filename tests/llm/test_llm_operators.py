@@ -281,6 +281,25 @@ def test_tiles_lose_no_link(spark):
     assert len(set(roots.values())) == 1 and len(roots) == 300
 
 
+def test_simhash_hot_fingerprints(spark, folder, monkeypatch):
+    """Copies dealt over places give what they give in one; columns of users keep their values."""
+    one = run(spark, "op5_simhash_groups", folder)
+    monkeypatch.setattr(simhash, "COPIES", 2)
+    many = run(spark, "op5_simhash_groups", folder)
+    key = lambda f: sorted(map(str, f[["doc_id", "fingerprint", "component_id"]].values.tolist()))
+    assert key(one) == key(many)
+    docs = spark.createDataFrame([(i, "same text", f"mine {i}", i) for i in range(9)], "key long, text string, _id string, _places long")
+    got = simhash.near_groups(docs.withColumn("component", F.lit("old")), "key").collect()
+    assert all((r.component, r["_id"], r["_places"]) == (0, f"mine {r.key}", r.key) for r in got) and len(got) == 9
+
+
+def test_mix_clashing_columns(spark):
+    rows = [(i, "ab"[i % 2], 1 + i % 5, *[f"mine {i}"] * 8) for i in range(40)] + [(3, "b", 4, *["mine 3"] * 8)]
+    df = spark.createDataFrame(rows, "key long, src string, words long, mean string, base string, more string, total string, sid string, at string, size string, row string")
+    out = mixing.mix_to_targets(df, "key", "src", "words").collect()
+    assert len(out) == 41 and all(r[c] == f"mine {r.key}" for r in out for c in ("mean", "base", "more", "total", "sid", "at", "size", "row"))
+
+
 def test_block_plan_keeps_all_pairs():
     for n in (10, 10**6, 10**9, 10**12):
         widths, t = simhash.block_plan(n, 4)
