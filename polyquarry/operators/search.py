@@ -26,6 +26,43 @@ def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str
     return rows.orderBy("distance", key).limit(k)
 
 
+def vector_cells(df: DataFrame, vector: str, key: str, cells: int = 64, sample: int = 10_000, rounds: int = 5, seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
+    """An inverted file: ``df`` with ``cell``, the nearest of ``cells`` centres; and the centres.
+
+    Centres are fitted to about ``sample`` vectors (the documented bound; chosen by a hash of ``key``) by rounds of k-means, every row
+    gets its cell. Write the table partitioned by cell: a search then reads the partitions of the cells that it probes.
+    """
+    import numpy as np
+
+    rows = df.where(F.col(vector).isNotNull())
+    count = rows.count()
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.where(u < sample / max(1, count)).select(vector).limit(2 * sample).collect()
+    points = np.array([r[0] for r in picked], dtype=np.float64)
+    if not len(points):
+        return df.withColumn("cell", F.lit(0)), []
+    centres = points[np.random.default_rng(seed).permutation(len(points))[: min(cells, len(points))]]
+    for _ in range(rounds):
+        near = ((points[:, None, :] - centres[None, :, :]) ** 2).sum(2).argmin(1) if len(points) * len(centres) < 1 << 24 else np.array([((p - centres) ** 2).sum(1).argmin() for p in points])
+        centres = np.array([points[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+    shared = df.sparkSession.sparkContext.broadcast(centres)  # cells x dimensions
+
+    def cell(vectors):
+        import pandas as pd
+
+        c = shared.value
+        norms = (c**2).sum(1)
+        return pd.Series([0 if v is None or len(v) != c.shape[1] else int((norms - 2 * (c @ np.asarray(v, dtype=np.float64))).argmin()) for v in vectors], dtype="int32")
+
+    return df.withColumn("cell", F.pandas_udf(cell, "int")(F.col(vector))), centres.tolist()
+
+
+def nearest_in_cells(indexed: DataFrame, centres: list[list[float]], vector: str, query: Sequence[float], k: int, key: str, probes: int = 16) -> DataFrame:
+    """The k nearest by L2 among the rows of the ``probes`` cells whose centres are nearest to the query: approximate, exact if all cells are probed."""
+    order = sorted(range(len(centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centres[i], query, strict=True)))
+    return nearest(indexed.where(F.col("cell").isin(order[:probes])), vector, query, k, key).drop("cell")
+
+
 def nearest_documents(chunks: DataFrame, vector: str, query: Sequence[float], k: int, document: str, chunk: str, metric: str = "cosine_unit") -> DataFrame:
     """The k documents whose best chunk is nearest."""
     scored = chunks.withColumn("distance", vectors.DISTANCES[metric](vector, vectors.vector(query)))
@@ -203,6 +240,59 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(tokens(text)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
+def text_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, length: the number of words of every text, for ranks from an index."""
+    return df.select(key, F.size(tokens(text)).alias("length")).where("length >= 0")
+
+
+def _index_terms(tree) -> list[tuple[str, str]]:
+    if tree[0] in ("term", "prefix"):
+        return [(tree[0], tree[1])]
+    return list(dict.fromkeys(x for part in tree[1:] for x in _index_terms(part)))
+
+
+def _needs_all(tree) -> bool:
+    """Whether texts without any of the query's words may match."""
+    if tree[0] in ("term", "prefix"):
+        return False
+    if tree[0] == "not":
+        return True
+    left, right = _needs_all(tree[1]), _needs_all(tree[2])
+    return (left and right) if tree[0] == "and" else (left or right)
+
+
+def index_search(index: DataFrame, lengths: DataFrame, key: str, query: str, limit: int = 1000, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``fulltext_search`` on a written index (``postings``, ``text_lengths``): no text is read.
+
+    Only the postings of the query's words are, which is a partition or bucket each where the index is written by term, or a pushed
+    filter. Texts that a purely negative query wants come from ``lengths``.
+    """
+    tree = parse_tsquery(query)
+    wanted, terms = _index_terms(tree), query_terms(tree)
+    test = F.lit(False)
+    for kind, word in wanted:
+        test = test | (F.col("term") == word if kind == "term" else F.col("term").startswith(word))
+    held = {w: f"_t{i}" for i, w in enumerate(wanted)}
+    sums = [F.sum(F.when(F.col("term") == w if kind == "term" else F.col("term").startswith(w), F.col("tf")).otherwise(0)).alias(c) for (kind, w), c in held.items()]
+    found = checkpoint(index.where(test).groupBy(key).agg(*sums))
+    counts = found.agg(*(F.count_if(F.col(held["term", t]) > 0).alias(f"df{i}") for i, t in enumerate(terms))).first() if terms else ()
+    total = lengths.agg(F.count("*"), F.avg("length")).first()
+
+    def holds(t) -> Column:
+        if t[0] in ("term", "prefix"):
+            return F.coalesce(F.col(held[t[0], t[1]]), F.lit(0)) > 0
+        if t[0] == "not":
+            return ~holds(t[1])
+        return holds(t[1]) & holds(t[2]) if t[0] == "and" else holds(t[1]) | holds(t[2])
+
+    rows = lengths.join(found, key, "left" if _needs_all(tree) else "inner").where(holds(tree))
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        n, tf = counts[f"df{i}"] or 0, F.coalesce(F.col(held["term", t]), F.lit(0))
+        score = score + F.lit(math.log(1 + (total[0] - n + 0.5) / (n + 0.5))) * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(total[1] or 1.0)))
+    return rows.select(key, score.alias("rank")).orderBy(F.desc("rank"), key).limit(limit)
+
+
 # --- hybrid
 
 

@@ -242,6 +242,14 @@ def text_search(spark, d):
     return found.select("doc_id", F.round("rank", 9).alias("rank"))
 
 
+@query("text_search_index", ORACLES["text_search"])
+def text_search_index(spark, d):
+    """The same search on an index; users write ``postings`` and ``text_lengths`` once."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    index, lengths = search.postings(docs, "doc_id", "text"), search.text_lengths(docs, "doc_id", "text")
+    return search.index_search(index, lengths, "doc_id", "license & general & public", 20).select("doc_id", F.round("rank", 9).alias("rank"))
+
+
 @query("text_fuzzy", f"SELECT DISTINCT w AS term FROM (SELECT unnest({_TOKENS}) AS w FROM documents) WHERE damerau_levenshtein(w, 'license') <= 1")
 def text_fuzzy(spark, d):
     words = spread(table(spark, d, "documents").select("doc_id", "text", "lang")).select(F.explode(search.tokens("text")).alias("term")).distinct()

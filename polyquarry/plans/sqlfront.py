@@ -31,6 +31,7 @@ class Engine:
         self.text: dict[str, tuple[str, str]] = {}
         self.vectors: dict[str, tuple[str, str]] = {}
         self.json_columns = set(sqltext.JSON_COLUMNS)
+        self.policies: dict[str, str | None] = {}
         self.embed: Callable[[str], list[float]] | None = None
         self.saved: dict | None = None
         if udfs:
@@ -44,7 +45,33 @@ class Engine:
         """``json_columns``: columns of JSON text, besides those called properties, translations or relations."""
         self.tables[name] = df
         self.json_columns |= set(json_columns)
-        df.createOrReplaceTempView(name)
+        self._show(name)
+
+    def _show(self, name: str) -> None:
+        """The view of a table: without what its policy hides."""
+        hidden, df = self.policies.get(name), self.tables[name]
+        (df.where(F.expr(self.rewrite(hidden))) if hidden else df).createOrReplaceTempView(name)
+
+    def register_policy(self, name: str, condition: str | None, hide_root: bool = True) -> None:
+        """Rows that queries see of a table: those that meet ``condition``, and without ``hide_root``'s exception not the node at '/'.
+
+        Statements that change the table still work on all its rows. A condition is put into every view, so it reaches the scan.
+        """
+        parts = [f"({condition})"] if condition else []
+        if hide_root and "path" in self.tables[name].columns:
+            parts.append("coalesce(path <> '/', true)")
+        self.policies[name] = " AND ".join(parts) or None
+        self._show(name)
+
+    def register_aggregate(self, name: str, function: Callable, kind: str) -> None:
+        """An aggregate: ``function`` maps pandas Series of a group to one value."""
+        from pyspark.sql.pandas.functions import PandasUDFType
+
+        self.spark.udf.register(name, F.pandas_udf(function, kind, PandasUDFType.GROUPED_AGG))
+
+    def register_table_function(self, name: str, maker: type, schema: str) -> None:
+        """A table function: a class whose ``eval`` yields rows."""
+        self.spark.udtf.register(name, F.udtf(maker, returnType=schema))
 
     def register_embedding(self, function: Callable[[str], list[float]]) -> None:
         """What EMBEDDING('text') calls, once for each literal of a statement."""
@@ -266,8 +293,8 @@ class Engine:
         for name in set(self.tables) - set(saved["tables"]):
             self.spark.catalog.dropTempView(name)
         self.tables, self.logs, self.branch, self.types, self.translations = (saved[k] for k in ("tables", "logs", "branch", "types", "translations"))
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
+        for name in self.tables:
+            self._show(name)
         self.graphs = {n: g for n, (g, _, _) in saved["graphs"].items()}
         for g, nodes, edges in saved["graphs"].values():
             g.nodes, g.edges = nodes, edges

@@ -272,3 +272,99 @@ def graph_k_shortest_first(spark, d):
     edges = fixtures.follows(spark, d)
     ends = edges.agg(F.min("src"), F.max("dst")).first()
     return algos.k_shortest_paths(edges, ends[0], ends[1], 3).agg(F.min("cost").alias("cost"), F.count("*").alias("paths"))
+
+
+# --- policies, paths, durations, functions of users
+
+
+_sql("sql_dollar_paths", "SELECT id, $.properties.at.nation AS nation FROM nodes WHERE $.properties.segment = 'BUILDING'", f"{_N} SELECT id, properties ->> '$.at.nation' AS nation FROM nodes WHERE properties ->> '$.segment' = 'BUILDING'")
+
+
+@query("sql_policy", f"{_N} SELECT id FROM nodes WHERE node_type <> 'Customer'")
+def sql_policy(spark, d):
+    """A row filter and the hidden root."""
+    engine = sqlfront.Engine(spark, udfs=False)
+    nodes = fixtures.nodes(spark, d)
+    root = nodes.limit(1).select(F.lit("root").alias("id"), F.lit("/").alias("path"), F.lit("").alias("name"), F.lit("Root").alias("node_type"), F.lit("{}").alias("properties"))
+    engine.register("nodes", nodes.union(root))
+    engine.register_policy("nodes", "node_type <> 'Customer'")
+    return engine.sql("SELECT id FROM nodes")
+
+
+@query("sql_durations", "SELECT event_id, ts + INTERVAL 30 DAY AS a, ts - INTERVAL 90 MINUTE AS b, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01')) AS BIGINT) AS c FROM events")
+def sql_durations(spark, d):
+    """A month is 30 days; the difference of two times."""
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register("events", table(spark, d, "events"))
+    return engine.sql("SELECT event_id, ts + INTERVAL '1 month' AS a, ts - INTERVAL '1 hour 30 minutes' AS b, CAST(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000 - unix_micros(TIMESTAMP '2024-01-01 00:00:00') / 1000000 AS BIGINT) AS c FROM events")
+
+
+@query("sql_invoke", "SELECT c_custkey AS id, c_custkey * 2 + 1 AS v FROM customer")
+def sql_invoke(spark, d):
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register("customer", table(spark, d, "customer"))
+    engine.register_function("twice_and_one", lambda x: 2 * x + 1, "long")
+    return engine.sql("SELECT c_custkey AS id, INVOKE('twice_and_one', c_custkey) AS v FROM customer")
+
+
+@query("sql_user_aggregate", "SELECT c_nationkey AS nation, max(c_custkey) - min(c_custkey) AS spread FROM customer GROUP BY 1")
+def sql_user_aggregate(spark, d):
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register("customer", table(spark, d, "customer"))
+    engine.register_aggregate("spread_of", lambda x: int(x.max() - x.min()), "long")
+    return engine.sql("SELECT c_nationkey AS nation, spread_of(c_custkey) AS spread FROM customer GROUP BY 1")
+
+
+class _Digits:
+    def eval(self, n: int):
+        for i, c in enumerate(str(n)):
+            yield i, int(c)
+
+
+@query("sql_user_table_function", "SELECT c_custkey AS id, CAST(i AS INTEGER) AS place, CAST(substr(CAST(c_custkey AS VARCHAR), i + 1, 1) AS INTEGER) AS digit FROM customer, range(0, 20) r(i) WHERE i < length(CAST(c_custkey AS VARCHAR))")
+def sql_user_table_function(spark, d):
+    engine = sqlfront.Engine(spark, udfs=False)
+    engine.register("customer", table(spark, d, "customer"))
+    engine.register_table_function("digits_of", _Digits, "place int, digit int")
+    return engine.sql("SELECT c.c_custkey AS id, t.place, t.digit FROM customer c, LATERAL digits_of(c.c_custkey) t")
+
+
+def _plain(name: str, text: str, oracle: str, *tables: str) -> None:
+    """Aggregates that Spark's SQL has itself."""
+
+    def run(spark, d):
+        engine = sqlfront.Engine(spark, udfs=False)
+        for t in tables:
+            engine.register(t, table(spark, d, t))
+        return engine.sql(text)
+
+    query(name, oracle)(run)
+
+
+_plain(
+    "agg_statistics",
+    "SELECT c_nationkey AS nation, round(stddev(c_acctbal), 6) AS sd, round(variance(c_acctbal), 4) AS var, round(percentile(c_acctbal, 0.25), 6) AS q1, round(median(c_acctbal), 6) AS med, round(corr(c_acctbal, c_custkey), 9) AS r FROM customer GROUP BY 1",
+    "SELECT c_nationkey AS nation, round(stddev(c_acctbal), 6) AS sd, round(variance(c_acctbal), 4) AS var, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(median(c_acctbal), 6) AS med, round(corr(c_acctbal, c_custkey), 9) AS r FROM customer GROUP BY 1",
+    "customer",
+)
+_plain(
+    "agg_grouping_sets",
+    "SELECT c_mktsegment AS segment, c_nationkey AS nation, grouping(c_mktsegment) AS g, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+    "SELECT c_mktsegment AS segment, c_nationkey AS nation, CAST(grouping(c_mktsegment) AS TINYINT) AS g, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+    "customer",
+)
+_plain("agg_by_all", "SELECT c_mktsegment AS segment, c_nationkey % 3 AS part, count(*) AS n FROM customer GROUP BY ALL", "SELECT c_mktsegment AS segment, c_nationkey % 3 AS part, count(*) AS n FROM customer GROUP BY ALL", "customer")
+_plain(
+    "window_named",
+    "SELECT c_custkey AS id, rank() OVER w AS r, lag(c_custkey) OVER w AS before FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",
+    "SELECT c_custkey AS id, CAST(rank() OVER w AS INTEGER) AS r, lag(c_custkey) OVER w AS before FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",
+    "customer",
+)
+
+
+@query("agg_approximate", "SELECT true AS close_count, true AS close_median FROM range(1)")
+def agg_approximate(spark, d):
+    """approx_count_distinct and approx_percentile within their stated error of the exact values."""
+    line = table(spark, d, "lineitem")
+    got = line.agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"), F.count_distinct("l_partkey").alias("exact"), F.percentile_approx("l_extendedprice", 0.5, 1000).alias("m"), F.median("l_extendedprice").alias("median"))
+    return got.select((F.abs(F.col("n") / F.col("exact") - 1) < 0.08).alias("close_count"), (F.abs(F.col("m") / F.col("median") - 1) < 0.02).alias("close_median"))

@@ -380,7 +380,7 @@ def test_type_statements(spark):
 
 def test_chunks_of_a_table(spark):
     """Chunks against a plain loop: pieces no longer than asked, whole text kept in order, overlaps as asked."""
-    texts = [None, "", "a", "x" * 250, ". ".join(f"sentence {i} of some words" for i in range(60)), "one\n\ntwo\nthree " * 30]
+    texts = [None, "", "a", "".join(f"{i}{chr(97 + i % 26)}" for i in range(90)), ". ".join(f"sentence {i} of some words" for i in range(60)), "one\n\ntwo\nthree " * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {}
     for r in search.chunks(df, "id", "text", 100, 10).orderBy("id", "chunk_index").collect():
@@ -393,3 +393,38 @@ def test_chunks_of_a_table(spark):
             k = next(k for k in range(min(10, len(p)), -1, -1) if whole.endswith(p[:k]) and texts[i].startswith(whole + p[k:]))
             whole += p[k:]
         assert whole == texts[i]
+
+
+def test_index_search_is_search(spark, tmp_path):
+    texts = ["red fish", "blue fish fish", "red bird", "", None, "green redwood tree", "fish tree"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    search.postings(df, "id", "text").write.partitionBy("term").parquet(f"{tmp_path}/index")
+    index, lengths = spark.read.parquet(f"{tmp_path}/index"), search.text_lengths(df, "id", "text")
+    for q in ("fish", "red & fish", "red | tree", "fish & !blue", "red:* & !bird", "!fish", "(red | blue) & fish"):
+        want = [(r.id, round(r["rank"], 9)) for r in search.fulltext_search(df.where("text IS NOT NULL"), "id", "text", q).collect()]
+        got = [(r.id, round(r["rank"], 9)) for r in search.index_search(index, lengths, "id", q).collect()]
+        assert [i for i, _ in got] == [i for i, _ in want], q
+
+
+def test_vector_cells_recall(spark):
+    import random
+
+    r = random.Random(3)
+    centre = [[r.gauss(0, 6) for _ in range(12)] for _ in range(20)]
+    rows = [(i, [c + r.gauss(0, 1) for c in centre[i % 20]]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    indexed, centres = search.vector_cells(df, "v", "id", cells=32, sample=1000)
+    indexed = indexed.persist()
+    assert indexed.count() == 3000
+    hits = 0
+    for q in range(0, 3000, 250):
+        want = {x.id for x in search.nearest(df, "v", rows[q][1], 10, "id").collect()}
+        hits += len(want & {x.id for x in search.nearest_in_cells(indexed, centres, "v", rows[q][1], 10, "id", probes=6).collect()})
+    assert hits / 120 >= 0.9
+
+
+def test_sampled_betweenness(spark):
+    star = spark.createDataFrame([(f"a{i}", "hub") for i in range(60)] + [("hub", f"b{i}") for i in range(60)], "src string, dst string")
+    exact = {r.id: r.betweenness for r in algos.betweenness(star).collect()}
+    some = {r.id: r.betweenness for r in algos.betweenness(star, sources=40).collect()}
+    assert some["a1"] == exact["a1"] == 0 and abs(some["hub"] - exact["hub"]) < 0.15
