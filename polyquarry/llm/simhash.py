@@ -230,7 +230,7 @@ def near_links(prints: DataFrame, names: list[str], radius: int, total_radius: i
         import pyarrow as pa
 
         word, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        ids, own = part["_id"].to_numpy(), part["_own"].to_numpy()
+        ids, own = part["_id"], part["_own"].to_numpy()
         values = np.stack([part[n].to_numpy().view(np.uint64) for n in names], axis=1)
         left, right = (np.nonzero(own == x)[0] for x in (i, j))
         parents = np.arange(len(ids))
@@ -246,9 +246,10 @@ def near_links(prints: DataFrame, names: list[str], radius: int, total_radius: i
                 merged = _forest(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, parents]))
                 parents = merged
         order = np.nonzero(parents != np.arange(len(ids)))[0]
-        return pa.table({"a": ids[order], "b": ids[parents[order]]})
+        return pa.table({"a": ids.take(pa.array(order)), "b": ids.take(pa.array(parents[order]))})
 
-    return placed.groupBy("_w", "_key", "_i", "_j").applyInArrow(compare, "a long, b long")
+    kind = prints.schema["_id"].dataType.simpleString()
+    return placed.groupBy("_w", "_key", "_i", "_j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_groups(
