@@ -37,38 +37,56 @@ def _slices(texts):
 def _tokens(texts):
     """Of the distinct tokens, sorted, two hashes each; each token's place among them; tokens of each text (words, then one end).
 
-    Tokens are told apart by both hashes (128 bits); they are sorted by the first.
+    Tokens are told apart by both hashes, 64 and 32 bits; they are sorted by the first. ``texts``: an Arrow array; null: no words.
     """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from xxhash import xxh3_128_digest
 
-    flat, lengths = [], []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        flat += words
-        flat.append(END)
-        lengths.append(len(words) + 1)
-    distinct = list(dict.fromkeys(flat))
-    both = np.frombuffer(b"".join(map(xxh3_128_digest, distinct)), dtype="<u8").reshape(-1, 2)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    runs, lengths = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    ids, words = runs.indices.to_numpy(), runs.dictionary.cast(pa.binary())
+    edges, data = np.frombuffer(words.buffers()[1], dtype=np.int32)[: len(words) + 1].tolist(), words.buffers()[2]
+    data = data.to_pybytes() if data is not None else b""
+    digests = [xxh3_128_digest(data[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    if (blank := runs.dictionary.index("").as_py()) >= 0:  # beside blanks at the ends of a text
+        some = ids != blank
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[some], minlength=len(lengths))
+        ids = ids[some]
+        ids = ids - (ids > blank)
+        del digests[blank]
+    ids = np.insert(ids, np.cumsum(lengths), len(digests))
+    both = np.frombuffer(b"".join([*digests, xxh3_128_digest(END)]), dtype="<u8").reshape(-1, 2)
     order = np.argsort(both[:, 0], kind="stable")
-    place = np.empty(len(distinct), dtype=np.int32)
-    place[order] = np.arange(len(distinct), dtype=np.int32)
-    number = dict(zip(distinct, place.tolist(), strict=True))
-    ids = np.fromiter(map(number.__getitem__, flat), dtype=np.int32, count=len(flat))
-    return both[order, 0], both[order, 1], ids, np.array(lengths, dtype=np.int64)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return both[order, 0], both[order, 1].astype("<u4"), place[ids], lengths + 1
+
+
+def _distinct(h):
+    """Sorted distinct values; by a sort, which is faster here than a hash table."""
+    import numpy as np
+
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
-def _pairs(hashes, ids, lengths):
-    """Hash of each token with the one before it; the first of a text follows START."""
+def _grams(hashes, ids, lengths, order: int):
+    """Hash of each token with the ``order`` - 1 before it; before a text's first token stands START."""
     import numpy as np
 
     own = hashes[ids]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = np.uint64(START_HASH)
-    h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (own + np.uint64(0x7F4A7C15))
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    h = own
+    for _ in range(order - 1):
+        before = np.empty_like(own)
+        before[1:] = h[:-1]
+        before[starts] = np.uint64(START_HASH)
+        h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (own + np.uint64(0x7F4A7C15))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(32))
+    return h
 
 
 def _cuts(sorted_hashes, bits: int):
@@ -121,20 +139,34 @@ def _widened(data: bytes, many: int):
     return np.frombuffer(data, dtype=f"<u{len(data) // many}").astype(np.int64)
 
 
-def _packed(ids) -> bytes:
-    """32-bit numbers, compressed byte by byte."""
+def _packed(values) -> bytes:
+    """Integers, compressed byte by byte."""
     import numpy as np
     import pyarrow as pa
 
-    return pa.compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(data, many: int):
+def _unpacked(data, many: int, kind: str = "<i4"):
     import numpy as np
     import pyarrow as pa
 
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * many, codec="zstd"), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    wide = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=wide * many, codec="zstd"), dtype=np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_hashes(sorted_hashes) -> bytes:
+    """Sorted hashes as their differences, whose high bytes are empty."""
+    import numpy as np
+
+    return _packed(np.diff(sorted_hashes, prepend=np.uint64(0)))
+
+
+def _unpacked_hashes(data, many: int):
+    import numpy as np
+
+    return np.cumsum(_unpacked(data, many, "<u8"), dtype=np.uint64)
 
 
 # --- the filter
@@ -215,18 +247,18 @@ class LogFrequencyFilter:
 # --- the operator
 
 
-def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: float = 4.0, segment: int = 8 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: float = 4.0, order: int = 3, segment: int = 4 << 20) -> DataFrame:
     """``keys``, held_out, n_tokens, n_known, train_tokens, base_score and score of each row's whole text.
 
     The model is learned from rows whose boolean ``held`` is false (null counts as false). Tokens are the blank-separated words of the
     A-Z-lower-cased text (null: none), then one end. base_score adds log10((c + 1) / (N + V + 1)), c a token's count, N all and V
-    distinct training tokens. score adds log10 of (c' + kappa * p) / (n + kappa): p the base probability, n the count of the
-    token before (of texts, at the start), c' the pair's count, read from a log-frequency Bloom filter
-    and cut to what n and c allow.
+    distinct training tokens. score adds log10 of a token's probability given the ``order`` - 1 before it: from p, the base
+    probability, on, p = (c' + kappa * p) / (n + kappa) for pairs, then triples, up to ``order``; c' is the n-gram's count, read from
+    a log-frequency Bloom filter and cut to what is known of its parts, n that of the tokens before (of texts, at the start).
 
     Texts are tokenised once, into checkpointed slices of some MB: packed arrays under a number that all later joins use. Counts are
     kept in segments of the hash range, one for about each ``segment`` bytes of text, so that their sizes don't follow the corpus:
-    tables of tokens (told apart by 128 bits) and a Bloom filter for pairs. Tasks add up what they count before they send it,
+    tables of tokens (told apart by 96 bits) and a Bloom filter for the n-grams of each order. Tasks add up what they count before they send it,
     so a frequent n-gram reaches its segment once a task. Slices then ask the segments for their distinct n-grams;
     a segment that many ask is copied to several tasks. No broadcast and no work of the driver grows with the corpus
     but the list of segments that are copied (at most 12 bytes for each ASKED n-grams asked).
@@ -253,13 +285,13 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         for batch in batches:
             for a, b in _slices(column(batch, "text")):
                 part = batch.slice(a, b - a)
-                hashes, check, ids, lengths = _tokens(column(part, "text").to_pylist())
+                hashes, check, ids, lengths = _tokens(column(part, "text"))
                 train = ~column(part, "held").to_numpy(zero_copy_only=False).astype(bool)
                 kept = pa.RecordBatch.from_arrays([column(part, "row"), column(part, "held")], names=["row", "held"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, kept.schema) as out:
                     out.write_batch(kept)
-                blobs = [sink.getvalue().to_pybytes(), hashes.tobytes(), check.tobytes(), _packed(ids), lengths.tobytes(), train.astype(np.uint8).tobytes()]
+                blobs = [sink.getvalue().to_pybytes(), _packed_hashes(hashes), check.tobytes(), _packed(ids), lengths.tobytes(), train.astype(np.uint8).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "keys", "hashes", "check", "ids", "lengths", "train"])
                 number += 1
 
@@ -270,33 +302,28 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         """Number, hashes, second hashes, ids, lengths and, for each token, whether it is in training."""
         import numpy as np
 
-        kinds = {"hashes": np.uint64, "check": np.uint64, "lengths": np.int64, "train": np.uint8}
+        kinds = {"check": np.uint32, "lengths": np.int64, "train": np.uint8}
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes, check, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
+                check, lengths, train = (np.frombuffer(column(batch, c)[i].as_buffer(), dtype=k) for c, k in kinds.items())
                 ids = _unpacked(column(batch, "ids")[i].as_buffer(), int(lengths.sum()))
+                hashes = _unpacked_hashes(column(batch, "hashes")[i].as_buffer(), len(check))
                 yield column(batch, "slice")[i].as_py(), hashes, check, ids, lengths, np.repeat(train == 1, lengths)
 
-    def of_slice(kind):
-        """Distinct tokens or pairs of a slice, sorted, with their training counts."""
-
-        def one(hashes, check, ids, lengths, train):
-            import numpy as np
-
-            return hashes, check, np.bincount(ids[train], minlength=len(hashes))
+    def counted(kind):
+        """Training counts by segment, added up over a task's slices; and how many n-grams its slices will ask for."""
 
-        def two(hashes, check, ids, lengths, train):
+        def found(hashes, check, ids, lengths, train):
+            """Distinct tokens or training n-grams with their counts; of all distinct n-grams, how many are in each segment."""
             import numpy as np
 
-            h = _pairs(hashes, ids, lengths)
-            known, inverse = np.unique(h, return_inverse=True)
-            return known, None, np.bincount(inverse[train], minlength=len(known))
-
-        return one if kind == 1 else two
-
-    def counted(kind):
-        """Training counts by segment, added up over a task's slices; and how many n-grams its slices will ask for."""
-        found = of_slice(kind)
+            if kind == 1:
+                h, n, all_ = hashes, np.bincount(ids[train], minlength=len(hashes)), hashes
+            else:
+                grams = _grams(hashes, ids, lengths, kind)
+                h, n = np.unique(grams[train], return_counts=True)
+                all_ = _distinct(grams)
+            return h, check, n, np.bincount((all_ >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
         def run(batches):
             import numpy as np
@@ -304,13 +331,14 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
 
             def send(parts):
                 hashes, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
-                check = None if kind == 2 else np.concatenate([p[1] for p in parts])
-                asked = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64))
+                check = None if kind > 1 else np.concatenate([p[1] for p in parts])
+                asked = sum(p[3] for p in parts)
                 h, check, n = _merged(hashes, check, counts.astype(np.int64))
                 segs, cuts = _cuts(h, bits)
-                blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if x is not None else [None] * len(segs) for x in (h, check)]
-                many = [_narrow(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(asked[segs], pa.int64()), *(pa.array(b, pa.binary()) for b in (*blobs, many))], names=["seg", "asked", "hashes", "check", "counts"])
+                ranges = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+                blobs = [[_packed_hashes(h[a:b]) for a, b in ranges], [check[a:b].tobytes() if check is not None else None for a, b in ranges], [_narrow(n[a:b]) for a, b in ranges]]
+                numbers = (segs, asked[segs], np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(b, pa.binary()) for b in blobs)], names=["seg", "asked", "many", "hashes", "check", "counts"])
 
             parts = []
             for _, *of in opened(batches):
@@ -325,102 +353,110 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
 
     def asks(kind):
         """Distinct n-grams of each slice, by segment."""
-        found = of_slice(kind)
 
         def run(batches):
             import pyarrow as pa
 
-            for number, *of in opened(batches):
-                h, check, _ = found(*of)
+            for number, hashes, check, ids, lengths, _ in opened(batches):
+                h, check = (hashes, check) if kind == 1 else (_distinct(_grams(hashes, ids, lengths, kind)), None)
                 segs, cuts = _cuts(h, bits)
-                blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if x is not None else [None] * len(segs) for x in (h, check)]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(segs), pa.int64()), pa.array(segs, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["slice", "seg", "hashes", "check"])
+                ranges = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+                blobs = [[_packed_hashes(h[a:b]) for a, b in ranges], [check[a:b].tobytes() if check is not None else None for a, b in ranges]]
+                numbers = ([number] * len(segs), segs, cuts[1:] - cuts[:-1])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(b, pa.binary()) for b in blobs)], names=["slice", "seg", "many", "hashes", "check"])
 
         return run
 
     def built(kind):
-        """A segment's table of tokens or filter of pairs."""
+        """A segment's table of tokens or filter of n-grams."""
 
         def run(t):
             import numpy as np
             import pyarrow as pa
 
-            def all_of(name):
-                return np.concatenate([np.frombuffer(b, dtype="<u8") for b in t[name].to_pylist()])
-
-            n = [_widened(c, len(h) // 8) for h, c in zip(t["hashes"].to_pylist(), t["counts"].to_pylist(), strict=True)]
-            h, check, n = _merged(all_of("hashes"), all_of("check") if kind == 1 else None, np.concatenate(n))
+            many = t["many"].to_pylist()
+            h = np.concatenate([_unpacked_hashes(b, k) for b, k in zip(t["hashes"].to_pylist(), many, strict=True)])
+            n = np.concatenate([_widened(b, k) for b, k in zip(t["counts"].to_pylist(), many, strict=True)])
+            check = np.concatenate([np.frombuffer(b, dtype="<u4") for b in t["check"].to_pylist()]) if kind == 1 else None
+            h, check, n = _merged(h, check, n)
             blob = b"".join(x.tobytes() for x in (h, check, n)) if kind == 1 else LogFrequencyFilter.build(h[n > 0], n[n > 0])
-            made = [t["seg"][0].as_py(), sum(t["asked"].to_pylist()), blob, int(n.sum()), int((n > 0).sum())]
-            return pa.table({c: pa.array([v], k) for c, v, k in zip(("seg", "asked", "held", "tokens", "types"), made, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
+            made = [t["seg"][0].as_py(), sum(t["asked"].to_pylist()), len(h), blob, int(n.sum()), int((n > 0).sum())]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            return pa.table({c: pa.array([v], k) for c, v, k in zip(("seg", "asked", "known", "held", "tokens", "types"), made, kinds, strict=True)})
 
         return run
 
     def answered(kind):
-        """What a segment holds of each slice's n-grams: counts of tokens, levels of pairs."""
+        """What a segment holds of each slice's n-grams: counts of tokens, levels of longer ones."""
 
         def run(asked, tables):
             import numpy as np
             import pyarrow as pa
 
-            out = []
-            if asked.num_rows:
-                blob = tables["held"][0].as_buffer()
-                if kind == 2:
-                    model = LogFrequencyFilter(blob)
+            out, many = [], asked["many"].to_pylist()
+            if asked.num_rows:  # all at once, since one slice asks a segment for few
+                h = np.concatenate([_unpacked_hashes(b, k) for b, k in zip(asked["hashes"].to_pylist(), many, strict=True)])
+                blob = tables["held"][0].as_buffer() if tables.num_rows else b"\0" * 8  # no n-gram in training
+                if kind > 1:
+                    found = LogFrequencyFilter(blob).levels_of(h)
                 else:
-                    known, check, total = np.frombuffer(blob, dtype="<u8").reshape(3, -1)
-                for h, c in zip(asked["hashes"].to_pylist(), asked["check"].to_pylist(), strict=True):
-                    h = np.frombuffer(h, dtype="<u8")
-                    if kind == 2:
-                        out.append(model.levels_of(h).tobytes())
-                    else:
-                        out.append(_narrow(total[_places(known, check, h, np.frombuffer(c, dtype="<u8"))]))
-            return pa.table({"slice": asked["slice"], "kind": pa.array([kind] * len(out), pa.int32()), "seg": asked["seg"], "many": pa.array([len(h) // 8 for h in asked["hashes"].to_pylist()], pa.int64()), "answer": pa.array(out, pa.binary())})
+                    n = tables["known"][0].as_py()
+                    known, check, total = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n), np.frombuffer(blob, "<i8", n, 12 * n)
+                    found = total[_places(known, check, h, np.concatenate([np.frombuffer(b, dtype="<u4") for b in asked["check"].to_pylist()]))]
+                ends = np.cumsum(many).tolist()
+                out = [found[e - k : e].tobytes() if kind > 1 else _narrow(found[e - k : e]) for e, k in zip(ends, many, strict=True)]
+            return pa.table({"slice": asked["slice"], "kind": pa.array([kind] * len(out), pa.int32()), "seg": asked["seg"], "many": asked["many"], "answer": pa.array(out, pa.binary())})
 
         return run
 
     def exchange(kind):
         """The segments, and what they answer each slice."""
-        narrow = slices.drop("keys") if kind == 1 else slices.drop("keys", "check").withColumn("check", F.lit(b""))
-        narrow = narrow.select("slice", "hashes", "check", "ids", "lengths", "train")
-        segments = cut(narrow.mapInArrow(counted(kind), "seg long, asked long, hashes binary, check binary, counts binary").groupBy("seg").applyInArrow(built(kind), "seg long, asked long, held binary, tokens long, types long"))
+        narrow = slices.select("slice", "hashes", "check", "ids", "lengths", "train")
+        segments = cut(narrow.mapInArrow(counted(kind), "seg long, asked long, many long, hashes binary, check binary, counts binary").groupBy("seg").applyInArrow(built(kind), "seg long, asked long, known long, held binary, tokens long, types long"))
         copies = segments.select("seg", F.ceil(F.col("asked") / F.lit(ASKED)).cast("int").alias("copies"))
         hot = copies.where("copies > 1")  # one row for each ASKED n-grams asked, at most
         copy = F.pmod(F.xxhash64("slice"), F.coalesce("copies", F.lit(1))).alias("copy")
-        asked = narrow.mapInArrow(asks(kind), "slice long, seg long, hashes binary, check binary").join(F.broadcast(hot), "seg", "left").select("slice", "seg", copy, "hashes", "check")
+        asked = narrow.mapInArrow(asks(kind), "slice long, seg long, many long, hashes binary, check binary").join(F.broadcast(hot), "seg", "left").select("slice", "seg", copy, "many", "hashes", "check")
         spread = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("asked") / F.lit(ASKED)), F.lit(1)).cast("long") - 1)).alias("copy")
-        tables = segments.select("seg", spread, "held")
+        tables = segments.select("seg", spread, "known", "held")
         answers = asked.withColumn("copy", F.col("copy").cast("long")).groupBy("seg", "copy").cogroup(tables.groupBy("seg", "copy"))
         return segments, cut(answers.applyInArrow(answered(kind), "slice long, kind int, seg long, many long, answer binary"))
 
     ones, counts = exchange(1)
     n_all, n_types = ones.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    _, levels = exchange(2)
+    replies = counts
+    for kind in range(2, order + 1):
+        replies = replies.unionByName(exchange(kind)[1])
 
     def score(part, replies):
         import numpy as np
         import pyarrow as pa
 
         made = pa.ipc.open_stream(part["keys"][0].as_py()).read_all()
-        hashes, lengths = (np.frombuffer(part[c][0].as_py(), dtype=k) for c, k in (("hashes", np.uint64), ("lengths", np.int64)))
+        lengths = np.frombuffer(part["lengths"][0].as_py(), dtype=np.int64)
         ids = _unpacked(part["ids"][0].as_buffer(), int(lengths.sum()))
         by_seg = sorted(zip(*(replies[c].to_pylist() for c in ("kind", "seg", "many", "answer")), strict=True))
         counts = np.concatenate([_widened(b, n) for k, _, n, b in by_seg if k == 1])
-        seems = LogFrequencyFilter.value(np.arange(127))[np.frombuffer(b"".join(b for k, _, _, b in by_seg if k == 2), dtype=np.uint8)]
+        steps = LogFrequencyFilter.value(np.arange(127))
+        hashes = _unpacked_hashes(part["hashes"][0].as_buffer(), len(counts))
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        texts = counts[ids[-1]]  # each text ends once: the number of training texts
         c = counts[ids]
-        n = np.empty_like(c)
-        n[1:] = c[:-1]
-        n[starts] = counts[ids[-1]]  # each text ends once: the number of training texts
         base = (c + 1) / (n_all + n_types + 1)
-        _, pair = np.unique(_pairs(hashes, ids, lengths), return_inverse=True)
-        seen = np.minimum(seems[pair], np.minimum(c, n))
+        p, seen = base, c.astype(np.float64)
+        for kind in range(2, order + 1):
+            levels = np.frombuffer(b"".join(b for k, _, _, b in by_seg if k == kind), dtype=np.uint8)
+            n = np.empty_like(seen)
+            n[1:] = seen[:-1]
+            n[starts] = texts
+            _, gram = np.unique(_grams(hashes, ids, lengths, kind), return_inverse=True)
+            seen = np.minimum(steps[levels[gram]], np.minimum(seen, n))
+            p = (seen + kappa * p) / (n + kappa)
         values = {
             "n_tokens": pa.array(lengths),
             "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
             "base_score": pa.array(np.add.reduceat(np.log10(base), starts)),
-            "score": pa.array(np.add.reduceat(np.log10((seen + kappa * base) / (n + kappa)), starts)),
+            "score": pa.array(np.add.reduceat(np.log10(p), starts)),
         }
         for name, value in values.items():
             made = made.append_column(name, value)
@@ -430,7 +466,7 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
     schema = T.StructType([docs.schema["row"], docs.schema["held"]])
     for name, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())):
         schema = schema.add(name, kind)
-    out = packed.groupBy("slice").cogroup(counts.unionByName(levels).groupBy("slice")).applyInArrow(score, schema)
+    out = packed.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(score, schema)
     out = out.withColumn("train_tokens", F.lit(int(n_all)).cast("long")).withColumnRenamed("held", "held_out")
     return out.select("row.*", *(F.col(c).alias(n) for c, n in new.items()))
 
