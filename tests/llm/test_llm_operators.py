@@ -540,11 +540,15 @@ def lm_by_hand(rows):
     tokens = [(k, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "\n"]) for k, t, *_ in rows]
     held = [zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k, _ in tokens]
     count = Counter(w for (_, ws), h in zip(tokens, held, strict=True) if not h for w in ws)
-    pairs = Counter(p for (_, ws), h in zip(tokens, held, strict=True) if not h for p in zip([None, *ws[:-1]], ws, strict=True))
+    train = [ws for (_, ws), h in zip(tokens, held, strict=True) if not h]
+    pairs = Counter(p for ws in train for p in zip([None, *ws], ws))  # noqa: B905
+    triples = Counter(p for ws in train for p in zip([None, None, *ws], [None, *ws], ws))  # noqa: B905
     n, v, texts = sum(count.values()), len(count), held.count(False)
     for (k, ws), h in zip(tokens, held, strict=True):
-        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)
-        exact = sum(math.log10((pairs[u, w] + 4 * (count[w] + 1) / (n + v + 1)) / ((texts if u is None else count[u]) + 4)) for u, w in zip([None, *ws[:-1]], ws, strict=True))
+        base, exact = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 0.0
+        for t, u, w in zip([None, None, *ws], [None, *ws], ws):  # noqa: B905
+            p = (pairs[u, w] + 4 * (count[w] + 1) / (n + v + 1)) / ((texts if u is None else count[u]) + 4)
+            exact += math.log10((triples[t, u, w] + 4 * p) / ((texts if u is None else pairs[t, u]) + 4))
         yield k, h, len(ws), sum(count[w] > 0 for w in ws), n, base, exact
 
 
@@ -576,6 +580,28 @@ def test_lm_clashing_keys(spark, odd):
     assert len(got) == len(ODD) and (got.held_out == 7).all() and not got.held_out_.any() and (got["slice"] == "x").all()
 
 
+def test_packed_hashes():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        h = np.sort(r.integers(0, 2**64, n, dtype=np.uint64))
+        assert (lm._unpacked_hashes(lm._packed_hashes(h), n) == h).all()
+        ids = r.integers(0, 2**31, n).astype(np.int32)
+        assert (lm._unpacked(lm._packed(ids), n) == ids).all()
+
+
+def test_tokens_are_words():
+    import pyarrow as pa
+
+    texts = [" a B\x0bb", None, "", "ÄÖ a\x85b\u2003c  ", "\n\n"]
+    hashes, check, ids, lengths = lm._tokens(pa.array(texts))
+    want = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    named = {}
+    for i, w in zip(ids.tolist(), (x for ws in want for x in ws), strict=True):
+        assert named.setdefault(i, w) == w
+    assert len(named) == len(set(named.values())) == len(hashes)
+
+
 def test_tokens_with_one_first_hash():
     known, check = np.array([3, 5, 5, 9], dtype=np.uint64), np.array([1, 2, 7, 4], dtype=np.uint64)
     assert lm._places(known, check, np.array([5, 5, 9], dtype=np.uint64), np.array([7, 2, 4], dtype=np.uint64)).tolist() == [2, 1, 3]
