@@ -293,6 +293,25 @@ def test_simhash_hot_fingerprints(spark, folder, monkeypatch):
     assert all((r.component, r["_id"], r["_places"]) == (0, f"mine {r.key}", r.key) for r in got) and len(got) == 9
 
 
+def test_balance_solves_the_dual(spark):
+    """Tilts against a plain bisection of each source's equation, easy targets and hard ones."""
+    r = random.Random(11)
+    cells, totals = [], {}
+    for sid, share in enumerate((0.3, 0.999, 1.5, 1.99, 0.01)):
+        sizes = {r.randint(1, 4000) if sid % 2 else 1 + int(r.expovariate(0.05)): r.randint(1, 50) for _ in range(80)}
+        cells += [(sid, size, n) for size, n in sizes.items()]
+        whole, docs = sum(size * n for size, n in sizes.items()), sum(sizes.values())
+        totals[sid] = (share * whole, whole / docs)
+    got = mixing.balance(spark.createDataFrame(cells, "sid int, size long, n long"), totals, 2.0)
+    for sid, (target, mean) in totals.items():
+        mine = [(size, n) for s, size, n in cells if s == sid]
+        taken = lambda t: sum(n * size * min(2.0, math.exp(min(700.0, t * size / mean))) for size, n in mine)  # noqa: E731, B023
+        low, high = -700.0, 700.0
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if taken((low + high) / 2) < target else (low, (low + high) / 2)
+        assert taken(got[sid]) == pytest.approx(target, rel=1e-6) and got[sid] == pytest.approx(high, rel=1e-4, abs=1e-5)
+
+
 def test_mix_clashing_columns(spark):
     rows = [(i, "ab"[i % 2], 1 + i % 5, *[f"mine {i}"] * 8) for i in range(40)] + [(3, "b", 4, *["mine 3"] * 8)]
     df = spark.createDataFrame(rows, "key long, src string, words long, mean string, base string, more string, total string, sid string, at string, size string, row string")
