@@ -17,6 +17,8 @@ START_HASH = 0x2545F4914F6CDD1D
 SLICE = 4 << 20
 #: n-grams of one segment that a task looks up; a segment that is asked for more is copied to several tasks.
 ASKED = 4 << 20
+#: Turns in which slices ask for their n-grams, each for a part of the segments: what is shuffled for one is freed before the next.
+TURNS = 2
 #: Entries that a task counts before it sends them on.
 HELD = 2 << 20
 
@@ -351,8 +353,8 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
 
         return run
 
-    def asks(kind):
-        """Distinct n-grams of each slice, by segment."""
+    def asks(kind, turn, turns):
+        """Distinct n-grams of each slice, by segment; those of every ``turns``-th segment."""
 
         def run(batches):
             import pyarrow as pa
@@ -360,9 +362,10 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
             for number, hashes, check, ids, lengths, _ in opened(batches):
                 h, check = (hashes, check) if kind == 1 else (_distinct(_grams(hashes, ids, lengths, kind)), None)
                 segs, cuts = _cuts(h, bits)
-                ranges = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+                now = segs % turns == turn
+                ranges = list(zip(cuts[:-1][now].tolist(), cuts[1:][now].tolist(), strict=True))
                 blobs = [[_packed_hashes(h[a:b]) for a, b in ranges], [check[a:b].tobytes() if check is not None else None for a, b in ranges]]
-                numbers = ([number] * len(segs), segs, cuts[1:] - cuts[:-1])
+                numbers = ([number] * len(ranges), segs[now], (cuts[1:] - cuts[:-1])[now])
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(b, pa.binary()) for b in blobs)], names=["slice", "seg", "many", "hashes", "check"])
 
         return run
@@ -415,12 +418,17 @@ def lm_scores(docs: DataFrame, keys: list[str], text: str, held: str, kappa: flo
         segments = cut(narrow.mapInArrow(counted(kind), "seg long, asked long, many long, hashes binary, check binary, counts binary").groupBy("seg").applyInArrow(built(kind), "seg long, asked long, known long, held binary, tokens long, types long"))
         copies = segments.select("seg", F.ceil(F.col("asked") / F.lit(ASKED)).cast("int").alias("copies"))
         hot = copies.where("copies > 1")  # one row for each ASKED n-grams asked, at most
-        copy = F.pmod(F.xxhash64("slice"), F.coalesce("copies", F.lit(1))).alias("copy")
-        asked = narrow.mapInArrow(asks(kind), "slice long, seg long, many long, hashes binary, check binary").join(F.broadcast(hot), "seg", "left").select("slice", "seg", copy, "many", "hashes", "check")
+        copy = F.pmod(F.xxhash64("slice"), F.coalesce("copies", F.lit(1)))
         spread = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("asked") / F.lit(ASKED)), F.lit(1)).cast("long") - 1)).alias("copy")
         tables = segments.select("seg", spread, "known", "held")
-        answers = asked.withColumn("copy", F.col("copy").cast("long")).groupBy("seg", "copy").cogroup(tables.groupBy("seg", "copy"))
-        return segments, cut(answers.applyInArrow(answered(kind), "slice long, kind int, seg long, many long, answer binary"))
+        found, turns = None, 1 if kind == 1 else TURNS
+        for turn in range(turns):
+            asked = narrow.mapInArrow(asks(kind, turn, turns), "slice long, seg long, many long, hashes binary, check binary")
+            asked = asked.join(F.broadcast(hot), "seg", "left").select("slice", "seg", copy.cast("long").alias("copy"), "many", "hashes", "check")
+            mine = tables.where(F.col("seg") % turns == turn).groupBy("seg", "copy")
+            part = cut(asked.groupBy("seg", "copy").cogroup(mine).applyInArrow(answered(kind), "slice long, kind int, seg long, many long, answer binary"))
+            found = part if found is None else found.unionByName(part)
+        return segments, found
 
     ones, counts = exchange(1)
     n_all, n_types = ones.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
