@@ -299,7 +299,7 @@ def knn_documents(spark, d):
 @query("vector_hamming", "SELECT a.vec_id, CAST(len(list_filter(list_zip(a.embedding, b.embedding), lambda x: x[1] <> x[2])) AS INTEGER) AS apart FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
 def vector_hamming(spark, d):
     e = table(spark, d, "embeddings")
-    one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("other")))  # one row
+    one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("other")).limit(1))  # one row
     return e.crossJoin(one).select("vec_id", vectors.hamming("embedding", "other").alias("apart"))
 
 
