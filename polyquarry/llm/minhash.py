@@ -1,4 +1,4 @@
-"""Near-duplicate groups by exact Jaccard similarity of shingle sets, candidates by banded MinHash."""
+"""Near-duplicate groups by exact Jaccard similarity of shingle sets, candidates by SimHash fingerprints and MinHash bands."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyquarry.llm.common import cut
 from polyquarry.llm.components import components
-from polyquarry.llm.simhash import SALTS, _forest, shingle_hashes
+from polyquarry.llm.simhash import SALTS, _forest, majority_bits, near_links, shingle_hashes
 
 #: A pair of similarity J shares no band with chance (1 - J^ROWS)^BANDS: 7e-6 at J = 0.8, less above.
 BANDS, ROWS = 30, 5
@@ -63,12 +63,13 @@ def similar_pairs(sets: list, left, right, least: tuple[int, int]):
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def least_of_groups(docs: DataFrame, key: str, text: str = "text", shingle: int = 5, least: tuple[int, int] = (4, 5), tile: int = TILE) -> DataFrame:
+def least_of_groups(docs: DataFrame, key: str, text: str = "text", shingle: int = 5, least: tuple[int, int] = (4, 5), radius: int = 4, tile: int = TILE) -> DataFrame:
     """The least ``key`` of each group of documents; groups are the components of links.
 
     Documents link if the Jaccard similarity of their distinct shingles is ``least`` (a fraction) or more; texts without words
-    link to each other. Candidates share a MinHash band, each set with the band's least one, which gives loose components;
-    within these every pair of sets is compared by its shingles. Components of over ``tile`` sets are split, and every two
+    link to each other. Candidates are sets whose SimHash fingerprints differ in at most ``radius`` bits, found by the bit-sliced
+    comparison, and sets that share a MinHash band, each with the band's least one: fingerprints alone would miss many pairs near
+    ``least``. Both give loose components; within these every pair of sets is compared by its shingles. Components of over ``tile`` sets are split, and every two
     tiles meet in a task of their own; small ones share tasks. Equal sets, told apart by 128 bits, are compared once. ``key`` is
     another for each row; the rows may come again with the same keys when ``docs`` is read twice. Empty tables give no rows.
     """
@@ -80,23 +81,30 @@ def least_of_groups(docs: DataFrame, key: str, text: str = "text", shingle: int
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            ids, sizes, bands = [], [], []
+            ids, sizes, bands, prints = [], [], [], []
             for value in batch.column(1):
                 hashes = shingle_set(value.as_py(), shingle)
                 ids.append(xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 bands.append(band_keys(hashes).view(np.int64))
+                prints.append(majority_bits(hashes.reshape(-1, 1))[0])
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *bands])))
-            made = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "_id", "_n", "_bands"])
+            made = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "_id", "_n", "_fp", "_bands"])
 
-    signed = docs.select(key, text).mapInArrow(sign, f"`{key}` {kind}, _id binary, _n long, _bands array<long>")
-    sets = cut(signed.groupBy("_id").agg(F.min(key).alias("_least"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
+    signed = docs.select(key, text).mapInArrow(sign, f"`{key}` {kind}, _id binary, _n long, _fp long, _bands array<long>")
+    sets = cut(signed.groupBy("_id").agg(F.min(key).alias("_least"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands")))
 
     spread = sets.select("_id", F.explode("_bands").alias("_band"))
     shared = spread.groupBy("_band").agg(F.min("_id").alias("a"), F.count("*").alias("_many")).where("_many > 1").select("_band", "a")
-    loose = components(spread.join(shared, "_band").select("a", F.col("_id").alias("b")), "_id", "_root")
+    banded = spread.join(shared, "_band").select("a", F.col("_id").alias("b"))
+    # sets with one fingerprint link to the least of them, which stands for them in the comparison
+    prints = cut(sets.where("_n > 0").groupBy(F.col("_fp").alias("fp0")).agg(F.min("_id").alias("_id"), F.count("*").alias("_many")))
+    alike = sets.where("_n > 0").join(prints.where("_many > 1").select(F.col("fp0").alias("_fp"), F.col("_id").alias("a")), "_fp").select("a", F.col("_id").alias("b"))
+    printed = near_links(prints.select("fp0", "_id"), ["fp0"], radius, radius)
+    # links are cut one kind at a time, so that no plan holds both
+    loose = components(cut(banded.where("a <> b")).unionByName(cut(alike.where("a <> b").unionByName(printed))), "_id", "_root")
     members = cut(loose.join(sets.select("_id", "_least", "_n"), "_id"))
 
     # components over a tile's size: their members meet the number of tiles in SALTS places

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as pipeline
 import pytest
 from llm_rows import ODD, words
+from polyquarry.llm.simhash import majority_bits
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -89,6 +90,22 @@ def test_near_duplicates_are_those_of_the_shingles(spark, odd, monkeypatch, tile
     assert sorted(x.doc_id for x in out.collect()) == survivors(rows)
 
 
+def test_near_duplicates_come_by_fingerprints(spark, odd, monkeypatch):
+    """Without any MinHash band, copies whose SimHash fingerprints are near still meet."""
+    minhash = pipeline.minhash
+    fingerprint = lambda t: int(majority_bits(minhash.shingle_set(t, 5).reshape(-1, 1))[0])
+    texts = []
+    for n in range(12):
+        base = words(4000 + n, 1500).split()
+        texts += [" ".join(base), " ".join([*base[:700], f"other{n}", *base[701:]])]
+    apart = [(fingerprint(texts[i]) ^ fingerprint(texts[i + 1])).bit_count() for i in range(0, 24, 2)]
+    assert any(apart) and max(apart) <= 4
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: __import__("numpy").empty(0, dtype="uint64"))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    out = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, odd.schema), "")
+    assert sorted(x.doc_id for x in out.collect()) == survivors(rows) == list(range(0, 24, 2))
+
+
 def test_mix(spark, odd):
     out = pipeline.mix_sources(spark, odd, "")
     assert out.columns == COLUMNS
