@@ -191,9 +191,17 @@ FUNCTIONS = {
 }
 
 
+#: Results that a task keeps for arguments that come again.
+KEPT = 1 << 14
+
+
 def udf(name: str):
-    """The pandas UDF of an ST_ function: GeoJSON texts and numbers in, GeoJSON text or a scalar out."""
+    """The pandas UDF of an ST_ function: GeoJSON texts and numbers in, GeoJSON text or a scalar out.
+
+    The functions are pure, so what a task has computed for equal arguments is used again; it keeps ``KEPT`` results at most.
+    """
     function, kind = FUNCTIONS[name.lower()]
+    known, most, missing = {}, KEPT, object
 
     def over(*columns):
         import pandas as pd
@@ -203,8 +211,16 @@ def udf(name: str):
             if any(v is None or v != v for v in row):
                 out.append(None)
                 continue
-            made = function(*(row if name.lower() == "st_geomfromgeojson" else map(_geom, row)))
-            out.append(json.dumps(made, separators=(",", ":")) if kind == "geometry" and made is not None else made)
+            key = tuple(v or repr(v) for v in row)  # 0.0 and -0.0 are equal, but not as text
+            made = known.get(key, missing)
+            if made is missing:
+                made = function(*(row if name.lower() == "st_geomfromgeojson" else map(_geom, row)))
+                if kind == "geometry" and made is not None:
+                    made = json.dumps(made, separators=(",", ":"))
+                if len(known) >= most:
+                    known.clear()
+                known[key] = made
+            out.append(made)
         return pd.Series(out, dtype="object")
 
     shape = {1: lambda a: over(a), 2: lambda a, b: over(a, b), 3: lambda a, b, c: over(a, b, c), 4: lambda a, b, c, d: over(a, b, c, d)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from polyquarry.functions.geo import st
 from polyquarry.plans.registry import registry
-from polyquarry.sources.tables import table
+from polyquarry.sources.tables import dealt, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -29,7 +29,7 @@ _I = f"(CASE WHEN {_INNER} THEN {_area('greatest(ax0, bx0)', 'greatest(ay0, by0)
 
 def _boxes(spark, d):
     """id, corners, and the boxes ``a`` and ``b`` as polygons."""
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in _CORNERS.items()))
+    rows = dealt(table(spark, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in _CORNERS.items()))
     box = lambda n: st("st_makeenvelope", *(f"{n}{c}" for c in ("x0", "y0", "x1", "y1")))
     return rows.withColumns({"a": box("a"), "b": box("b")})
 

@@ -17,3 +17,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table dealt evenly over four tasks a core, however its files are cut: splits of a file without a row group of their own are empty.
+
+    For narrow rows before functions that take a millisecond each, where one row group would keep all work in one task.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
