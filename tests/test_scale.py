@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from polyquarry.functions import geo
 from polyquarry.functions import geometry as g
+from polyquarry.operators import graph_algos as algos
 from polyquarry.plans import geometries
 
 SQUARE = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}'
@@ -48,3 +49,28 @@ def test_overlays_of_random_boxes():
         both = max(0, min(a + c, p + s) - max(a, p)) * max(0, min(b + d, q + t) - max(b, q))
         want = {"intersection": both, "union": c * d + s * t - both, "difference": c * d - both, "symdifference": c * d + s * t - 2 * both}
         assert {k: planar(g.overlay(one, two, k)) for k in want} == pytest.approx(want)
+
+
+def test_all_pairs_in_blocks_agree_with_joins(spark):
+    """Searches of the whole graph from blocks of nodes, against layers of joins; parallels, loops, islands, over 64 sources."""
+    r = random.Random(9)
+    rows = [(f"v{r.randrange(90)}", f"v{r.randrange(90)}") for _ in range(260)] + [("v3", "v4")] * 3 + [("x", "x"), ("y", "z")]
+    links, alone = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([("alone",)], "id string")
+    for name in ("closeness", "betweenness"):
+        one, two = ({x.id: x[name] for x in getattr(algos, name)(links, alone, held=held).collect()} for held in (0, 1 << 20))
+        assert one == pytest.approx(two) and max(one.values()) > 0 and len(one) > 70
+
+
+def test_all_pairs_shuffle_no_pairs(spark):
+    """No rows of (source, node) travel: what the searches give is one row a node and block."""
+    n = 150
+    ring = spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(n)).alias("dst"))
+    assert {round(x.closeness * n, 9) for x in algos.closeness(ring).collect()} == {2.0}
+    assert {round(x.betweenness, 9) for x in algos.betweenness(ring).collect()} == {0.5}
+
+
+def test_numbers_of_paths_beyond_doubles(spark):
+    """400 layers with ten parallels each: 1e400 paths."""
+    chain = spark.range(400).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("m")
+    got = {x.id: x.betweenness for x in algos.betweenness(chain).collect()}
+    assert got == pytest.approx({i: i * (400 - i) / (400 * 399) for i in range(401)})
