@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyquarry.session import checkpoint
+
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """DISTINCT ON: the first row of each group of ``keys`` in ``order``, which must be total to be reproducible."""
@@ -91,3 +93,24 @@ def array_agg(column: str, order: Sequence[str]) -> Column:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, ``median``: the middle value or the mean of the two middle ones; nulls don't count, null for no values.
+
+    Equal values are counted, the counts dealt by range, and only the ranges that hold the middle are numbered. The driver sees one count a
+    range; no task holds all values.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    dealt = checkpoint(values.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    sizes = sorted((r.p, r.n) for r in dealt.groupBy("p").agg(F.sum("n").alias("n")).collect())
+    whole, before, parts = sum(n for _, n in sizes), 0, []
+    middle = {(whole - 1) // 2, whole // 2}
+    for p, n in sizes:
+        parts += [(p, k - before) for k in sorted(middle) if before <= k < before + n]
+        before += n
+    found = [F.when((F.col("p") == p) & (F.col("upto") - F.col("n") <= k) & (F.lit(k) < F.col("upto")), F.col("v")) for p, k in parts]
+    held = dealt.where(F.col("p").isin([p for p, _ in parts])) if parts else dealt.limit(0)
+    upto = held.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    means = [F.max(x) for x in found] or [F.lit(None).cast("double")]
+    return upto.agg((sum(means[1:], means[0]) / len(means)).alias("median"))
