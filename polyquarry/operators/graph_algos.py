@@ -6,6 +6,8 @@ parallel edges count where noted. ``vertices`` (id) may add isolated nodes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ MOST_HELD = 1 << 23
 
 
 def vertices_of(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id"))  # edges are read once
     return (ids if vertices is None else ids.union(vertices.select("id"))).distinct()
 
 
@@ -85,26 +87,75 @@ def component_count(edges: DataFrame, vertices: DataFrame | None = None) -> Data
     return components(edges, vertices).agg(F.countDistinct("component").alias("components"))
 
 
+#: About the most pairs that a task closes triangles among.
+MOST_PAIRS = 1 << 20
+
+
 def triangles(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """id, triangles: undirected, without loops and parallels.
+    """id, triangles: undirected, without loops and parallels."""
+    return _triangles(checkpoint(undirected(edges)), vertices_of(edges, vertices))
 
-    Edges point from the smaller to the larger degree, so a hub closes triangles but seldom opens wedges.
+
+def _triangles(pairs: DataFrame, nodes: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """Triangles of checkpointed ``pairs`` (a, b).
+
+    Nodes have one of p colours, and each multiset of three colours is a task that gets the pairs of its colours: a pair travels p
+    times, no wedge does, and a task holds about ``most`` pairs. There pairs point from the smaller to the larger degree, so a
+    hub closes triangles but seldom opens wedges.
     """
-    pairs = checkpoint(undirected(edges))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    ranked = pairs.join(degree.withColumnsRenamed({"id": "a", "d": "da"}), "a").join(degree.withColumnsRenamed({"id": "b", "d": "db"}), "b")
-    first = F.struct("da", "a") < F.struct("db", "b")
-    turned = checkpoint(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")))
-    wedges = turned.alias("p").join(turned.alias("q"), F.col("p.u") == F.col("q.u")).where(F.col("p.v") < F.col("q.v")).select(F.col("p.u").alias("u"), F.col("p.v").alias("x"), F.col("q.v").alias("y"))
-    closed = wedges.join(pairs, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
-    counts = closed.select(F.explode(F.array("u", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    return vertices_of(edges, vertices).join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
+    count = pairs.count()
+    p = max(4, math.ceil(math.sqrt(6 * count / most)))
+    colour = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(p)).cast("int")
+    three = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda c: F.array_sort(F.array("x", "y", c)))
+    dealt = pairs.withColumns({"x": colour("a"), "y": colour("b")}).select("a", "b", "x", "y", F.explode(three).alias("t"))
+    dealt = dealt.select("a", "b", "x", "y", *(F.col("t")[i].alias(f"t{i}") for i in range(3)))
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def close(key, part):
+        import numpy as np
+        import pyarrow as pa
+
+        first, _, last = (x.as_py() for x in key)
+        ids = pa.chunked_array([*part["a"].chunks, *part["b"].chunks], type=part.schema.field("a").type).combine_chunks().dictionary_encode()
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.combine_chunks()
+        codes, n = ids.indices.to_numpy().astype(np.int64), len(ids.dictionary)
+        colours = np.zeros(n, dtype=np.int32)
+        colours[codes] = np.concatenate([part["x"].to_numpy(), part["y"].to_numpy()])
+        order = np.argsort(np.bincount(codes, minlength=n), kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        u, v = rank[codes[: len(codes) // 2]], rank[codes[len(codes) // 2 :]]
+        keys = np.sort(np.minimum(u, v) * n + np.maximum(u, v))
+        u, v, colours = keys // n, keys % n, colours[order]
+        more = np.searchsorted(u, u, "right") - np.arange(len(u)) - 1  # later pairs of the same node
+        before, counts, at = np.cumsum(more) - more, np.zeros(n, dtype=np.int64), 0
+        while at < len(u):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + (1 << 21))))
+            m = more[at:to]
+            one = np.repeat(np.arange(at, to), m)
+            two = one + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            wanted = v[one] * n + v[two]
+            place = np.searchsorted(keys, wanted)
+            closed = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == wanted)
+            corners = np.stack([u[one[closed]], v[one[closed]], v[two[closed]]])
+            if first != last:  # those of a single colour have a task of their own
+                c = colours[corners]
+                corners = corners[:, (c[0] != c[1]) | (c[1] != c[2])]
+            counts += np.bincount(corners.ravel(), minlength=n)
+            at = to
+        some = np.flatnonzero(counts)
+        return pa.table({"id": ids.dictionary.take(pa.array(order[some])), "n": pa.array(counts[some])})
+
+    counts = dealt.groupBy("t0", "t1", "t2").applyInArrow(close, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return nodes.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
 
 
 def clustering(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """id, lcc: 2 t / (d (d - 1)); 0 below two neighbours."""
-    degree = undirected(edges).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    joined = triangles(edges, vertices).join(degree, "id", "left")
+    pairs = checkpoint(undirected(edges))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    joined = _triangles(pairs, vertices_of(edges, vertices)).join(degree, "id", "left")
     lcc = F.when(F.col("d") > 1, 2.0 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
     return joined.select("id", lcc.alias("lcc"))
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from polyquarry.functions import geo
 from polyquarry.functions import geometry as g
 from polyquarry.operators import graph_algos as algos
-from polyquarry.plans import geometries
+from polyquarry.operators import relational
+from polyquarry.plans import geometries, sqltexts
+from polyquarry.session import checkpoint
 
 SQUARE = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}'
 
@@ -74,3 +77,36 @@ def test_numbers_of_paths_beyond_doubles(spark):
     chain = spark.range(400).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("m")
     got = {x.id: x.betweenness for x in algos.betweenness(chain).collect()}
     assert got == pytest.approx({i: i * (400 - i) / (400 * 399) for i in range(401)})
+
+
+def test_triangles_by_colours(spark):
+    """Against brute force, over several colours, names and a hub; no wedge is shuffled."""
+    r = random.Random(4)
+    near = {(f"v{a}", f"v{b}") for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(500))} | {("hub", f"v{i}") for i in range(60)}
+    pairs = {(min(x), max(x)) for x in near if x[0] != x[1]}
+    names = sorted({x for p in pairs for x in p})
+    want = {a: sum((b, c) in pairs for i, b in enumerate(names) for c in names[i + 1 :] if tuple(sorted((a, b))) in pairs and tuple(sorted((a, c))) in pairs) for a in names}
+    links = spark.createDataFrame(sorted(near), "src string, dst string")
+    for most in (1 << 20, 20):
+        found = algos._triangles(checkpoint(algos.undirected(links)), algos.vertices_of(links), most)
+        assert {x.id: x.triangles for x in found.collect()} == want
+    plan = algos.triangles(links)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "SortMergeJoin [u" not in plan
+    assert algos.triangles(links.limit(0)).count() == 0
+
+
+def test_exact_median(spark):
+    r = random.Random(2)
+    for n in (0, 1, 2, 7, 1000, 1001):
+        values = [round(r.uniform(0, 50), r.choice([0, 1])) for _ in range(n)] + [None]
+        got = relational.exact_median(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect()
+        assert [x.median for x in got] == [statistics.median(values[:-1]) if n else None]
+
+
+def test_sketches_are_not_kept_for_each_key(spark, tmp_path):
+    """The plan has no aggregate that holds percentiles beside the distinct keys, and no median in one task."""
+    spark.range(500).select((F.col("id") % 40).alias("l_partkey"), F.col("id").cast("double").alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sqltexts.agg_approximate(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and not any("l_partkey" in line and "percentile_approx" in line and "Aggregate [l_partkey" in line for line in plan.splitlines())
+    assert [tuple(x) for x in got.collect()] == [(True, True)]
