@@ -17,6 +17,19 @@ from polyquarry.session import checkpoint
 MOST_HELD = 1 << 23
 
 
+def _kept_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once, dealt and sorted by ``key``: the joins of all rounds on it leave it where it is."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartition(parts, key).sortWithinPartitions(key), dealt=True)
+
+
+def _lightest(edges: DataFrame, weight: str) -> DataFrame:
+    """src, dst, w, kept by src: of parallel edges the lightest, a missing weight is 1."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = edges.select("src", "dst", F.coalesce(F.col(weight), F.lit(1.0)).alias("w")).repartition(parts, "src")
+    return checkpoint(own.groupBy("src", "dst").agg(F.min("w").alias("w")).sortWithinPartitions("src"), dealt=True)
+
+
 def vertices_of(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id"))  # edges are read once
     return (ids if vertices is None else ids.union(vertices.select("id"))).distinct()
@@ -197,10 +210,12 @@ def cdlp(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 10)
 def label_propagation(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 20, seed: int = 1) -> DataFrame:
     """id, community (least member): half of the nodes, chosen by a seeded hash, adopt their neighbours' most frequent label each round."""
     state = checkpoint(vertices_of(edges, vertices).withColumn("label", F.col("id")))
-    near = undirected(edges)
-    near = checkpoint(near.union(near.select("b", "a")))
+    near = checkpoint(undirected(edges))
+    near = _kept_by(near.union(near.select("b", "a")), "b")
+    parts = near.rdd.getNumPartitions()
     for number in range(rounds):
-        votes = near.join(state.withColumnRenamed("id", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
+        # votes travel once, to the node that counts them
+        votes = near.join(state.withColumnRenamed("id", "b"), "b").select("a", "label").repartition(parts, "a").groupBy("a", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.max_by("label", F.struct("n", F.xxhash64("label", F.lit(seed)))).alias("best"))
         turn = F.pmod(F.xxhash64("id", F.lit(seed + number)), F.lit(2)) == 0
         moved = checkpoint(state.join(best, state["id"] == best["a"], "left").select("id", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("new"), "label"))
@@ -241,11 +256,14 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 1
 def _local_moving(near: DataFrame, nodes: DataFrame, total: float, rounds: int, seed: int) -> DataFrame:
     """id, k, c: the communities after moves of single nodes that raise modularity. ``near``: a, b, w in both directions."""
     state, quiet = checkpoint(nodes.select("id", "k", F.col("id").alias("c"))), 0
+    near = _kept_by(near, "b")
+    parts = near.rdd.getNumPartitions()
     for number in range(rounds):
         size = state.groupBy("c").agg(F.sum("k").alias("s"))
         own = state.select("id", "k", F.col("c").alias("own"))
-        links = near.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("to"))
-        links = links.join(own, "id").join(size, "c")
+        # a link carries its end's community and that community's strength, and travels once
+        sent = near.join(state.join(size, "c").select(F.col("id").alias("b"), "c", "s"), "b").select(F.col("a").alias("id"), "c", "s", "w")
+        links = sent.repartition(parts, "id").groupBy("id", "c").agg(F.sum("w").alias("to"), F.first("s").alias("s")).join(own, "id")
         # gain of being in c, its own strength left out of its present community
         gain = F.col("to") - F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
         best = links.withColumn("gain", gain).groupBy("id").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
@@ -465,11 +483,15 @@ def sssp(edges: DataFrame, source, weight: str = "weight", rounds: int | None =
 
     A cycle of negative weight within reach raises: then distances still shrink after as many rounds as there are nodes.
     """
-    links = checkpoint(edges.groupBy("src", "dst").agg(F.min(F.coalesce(F.col(weight), F.lit(1.0))).alias("w")))
-    kind = edges.schema["src"].dataType
-    best = checkpoint(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0.0).alias("distance")))
+    return _sssp(_lightest(edges, weight), source, rounds)
+
+
+def _sssp(links: DataFrame, source, rounds: int | None = None) -> DataFrame:
+    """``sssp`` over ``links`` as ``_lightest`` gives them."""
+    kind = links.schema["src"].dataType
+    best = checkpoint(links.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0.0).alias("distance")))
     front, step = best, 0
-    negative = vertices_of(edges).count() if not links.where("w < 0").isEmpty() else 0
+    negative = vertices_of(links).count() if not links.where("w < 0").isEmpty() else 0
     while rounds is None or step < rounds:
         step += 1
         offers = front.join(links, front["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
@@ -513,7 +535,7 @@ def k_shortest_paths(edges: DataFrame, start, end, k: int, weight: str = "weight
     extended, the others wait; the bound rises to the waiting ones until k paths are complete. All paths within the
     bound have then been seen, so the k best are exact.
     """
-    links = checkpoint(edges.where("src <> dst").groupBy("src", "dst").agg(F.min(F.coalesce(F.col(weight), F.lit(1.0))).alias("w")))
+    links = _lightest(edges.where("src <> dst"), weight)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     left = checkpoint(sssp(back, end, "w").withColumnsRenamed({"distance": "left"}))
     kind = edges.schema["src"].dataType
@@ -540,8 +562,8 @@ def k_shortest_paths(edges: DataFrame, start, end, k: int, weight: str = "weight
 
 def a_star(edges: DataFrame, start, end, weight: str = "weight", heuristic: DataFrame | None = None) -> DataFrame:
     """path, cost of a cheapest path. ``heuristic`` (id, estimate), admissible, prunes nodes that can't be on a better path."""
-    links = edges.select("src", "dst", F.coalesce(F.col(weight), F.lit(1.0)).alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
-    far = sssp(links, start, "w")
+    links = _lightest(edges, weight)
+    far = _sssp(links, start)
     goal = far.where(F.col("id") == F.lit(end)).first()
     if goal is None:
         return edges.sparkSession.createDataFrame([], f"path array<{edges.schema['src'].dataType.simpleString()}>, cost double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from polyquarry.operators import graph_algos as algos
 from polyquarry.plans import match
 from polyquarry.plans.registry import registry
+from polyquarry.session import checkpoint
 from polyquarry.sources import fixtures
 
 QUERIES, ORACLES, query = registry()
@@ -110,12 +111,12 @@ _TRI = f"{_F}, {_PAIRS}, {_IDS}, t AS (SELECT p.a AS x, p.b AS y, q.b AS z FROM
 
 @query("graph_triangles", f"{_TRI} SELECT id, n AS triangles FROM tri")
 def graph_triangles(spark, d):
-    return algos.triangles(fixtures.follows(spark, d))
+    return algos.triangles(checkpoint(fixtures.follows(spark, d)))
 
 
 @query("graph_lcc", f"{_TRI}, deg AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1) SELECT id, CASE WHEN d > 1 THEN round(2.0 * n / (d * (d - 1)), 9) ELSE 0.0 END AS lcc FROM tri JOIN deg USING (id)")
 def graph_lcc(spark, d):
-    return algos.clustering(fixtures.follows(spark, d)).select("id", F.round("lcc", 9).alias("lcc"))
+    return algos.clustering(checkpoint(fixtures.follows(spark, d))).select("id", F.round("lcc", 9).alias("lcc"))
 
 
 def _cdlp_sql(rounds: int) -> str:
@@ -132,52 +133,52 @@ def graph_cdlp(spark, d):
 
 @query("graph_bfs", f"{_F}, links AS (SELECT DISTINCT src, dst FROM follows), walk(id, distance) AS (SELECT min(src), 0 FROM follows UNION SELECT dst, distance + 1 FROM walk JOIN links ON src = id WHERE distance < 8) SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY 1")
 def graph_bfs(spark, d):
-    edges = fixtures.follows(spark, d)
+    edges = checkpoint(fixtures.follows(spark, d))  # read by several jobs
     return algos.bfs(edges, edges.agg(F.min("src").alias("id"))).select("id", "distance")
 
 
 @query("graph_sssp", f"{_F}, links AS (SELECT src, dst, min(weight) AS w FROM follows GROUP BY 1, 2), walk(id, distance, hops) AS (SELECT min(src), 0.0::DOUBLE, 0 FROM follows UNION SELECT dst, min(distance + w), hops + 1 FROM walk JOIN links ON src = id WHERE hops < 14 GROUP BY dst, hops) SELECT id, min(distance) AS distance FROM walk GROUP BY 1")
 def graph_sssp(spark, d):
-    edges = fixtures.follows(spark, d)
+    edges = checkpoint(fixtures.follows(spark, d))  # read by several jobs
     return algos.sssp(edges, edges.agg(F.min("src")).first()[0])
 
 
 @query("graph_closeness", f"{_F}, {_IDS}, links AS (SELECT DISTINCT src, dst FROM follows), walk(s, id, distance) AS (SELECT id, id, 0 FROM ids UNION SELECT s, dst, distance + 1 FROM walk JOIN links ON src = id WHERE distance < 5), dist AS (SELECT s, id, min(distance) AS d FROM walk GROUP BY 1, 2 HAVING min(distance) > 0) SELECT s AS id, round(count(*) / ((SELECT count(*) FROM ids) - 1) * count(*) / sum(d), 9) AS closeness FROM dist GROUP BY 1")
 def graph_closeness(spark, d):
-    return algos.closeness(fixtures.follows(spark, d)).select("id", F.round("closeness", 9).alias("closeness"))
+    return algos.closeness(checkpoint(fixtures.follows(spark, d))).select("id", F.round("closeness", 9).alias("closeness"))
 
 
 @query("graph_betweenness")
 def graph_betweenness(spark, d):
-    return algos.betweenness(fixtures.follows(spark, d))
+    return algos.betweenness(checkpoint(fixtures.follows(spark, d)))
 
 
 @query("graph_label_propagation")
 def graph_label_propagation(spark, d):
-    return algos.label_propagation(fixtures.follows(spark, d))
+    return algos.label_propagation(checkpoint(fixtures.follows(spark, d)))
 
 
 @query("graph_louvain")
 def graph_louvain(spark, d):
-    return algos.louvain(fixtures.follows(spark, d))
+    return algos.louvain(checkpoint(fixtures.follows(spark, d)))
 
 
 @query("graph_shortest_paths")
 def graph_shortest_paths(spark, d):
-    edges = fixtures.follows(spark, d)
+    edges = checkpoint(fixtures.follows(spark, d))  # read by several jobs
     ends = edges.agg(F.min("src"), F.max("dst")).first()
     return algos.shortest_paths(edges, ends[0], ends[1])
 
 
 @query("graph_k_shortest")
 def graph_k_shortest(spark, d):
-    edges = fixtures.follows(spark, d)
+    edges = checkpoint(fixtures.follows(spark, d))  # read by several jobs
     ends = edges.agg(F.min("src"), F.max("dst")).first()
     return algos.k_shortest_paths(edges, ends[0], ends[1], 3)
 
 
 @query("graph_a_star")
 def graph_a_star(spark, d):
-    edges = fixtures.follows(spark, d)
+    edges = checkpoint(fixtures.follows(spark, d))  # read by several jobs
     ends = edges.agg(F.min("src"), F.max("dst")).first()
     return algos.a_star(edges, ends[0], ends[1])

@@ -71,13 +71,18 @@ def _bounded(df):
     return type(df)(df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
 
 
-def checkpoint(df):
-    """``df`` written once to the shared checkpoint folder, without lineage."""
+def checkpoint(df, dealt: bool = False):
+    """``df`` written once to the shared checkpoint folder, without lineage.
+
+    ``dealt``: joins later know how it is partitioned and sorted. Adaptive execution, which doesn't tell, is off while it is made.
+    """
     spark = df.sparkSession
     checkpoint_folder(spark)
     # a checkpointed table inherits its plan's constraints, which grow exponentially over rounds of a loop; and what was
     # shuffled to make it is of no more use once it is written
     own = {"spark.sql.constraintPropagation.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if dealt:
+        own["spark.sql.adaptive.enabled"] = "false"
     before = {key: spark.conf.get(key, None) for key in own}
     try:
         for key, value in own.items():

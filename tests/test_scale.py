@@ -110,3 +110,20 @@ def test_sketches_are_not_kept_for_each_key(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "median(" not in plan and not any("l_partkey" in line and "percentile_approx" in line and "Aggregate [l_partkey" in line for line in plan.splitlines())
     assert [tuple(x) for x in got.collect()] == [(True, True)]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rounds_leave_links_where_they_are(spark):
+    """A round's join on written links shuffles the front only, not the links."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = spark.range(500).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 51).alias("dst"), F.lit(2.0).alias("weight"))
+        kept, front = algos._lightest(links, "weight"), spark.range(9)
+        assert exchanges(front.join(kept, front["id"] == kept["src"])) == 1
+        assert exchanges(front.withColumnRenamed("id", "dst").join(algos._kept_by(links, "dst"), "dst")) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
