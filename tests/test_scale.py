@@ -11,7 +11,7 @@ from polyquarry.functions import geo
 from polyquarry.functions import geometry as g
 from polyquarry.operators import graph_algos as algos
 from polyquarry.operators import relational
-from polyquarry.plans import geometries, sqltexts
+from polyquarry.plans import geometries, match, sqltexts
 from polyquarry.session import checkpoint
 
 SQUARE = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}'
@@ -127,3 +127,27 @@ def test_rounds_leave_links_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_hubs_fan_out_in_places(spark, monkeypatch):
+    """A hub of 40 edges, dealt over places of 7: every pair once, on both sides of a hub, with parallel edges and filters."""
+    monkeypatch.setattr(match, "HUB", 7)
+    ids = [f"c{i}" for i in range(43)] + ["h", "g"]
+    nodes = spark.createDataFrame([(x, x[0], f"/{x}", "{}") for x in ids], "id string, node_type string, path string, properties string")
+    links = spark.createDataFrame([(f"c{i}", "h" if i < 40 else "g", "IN", 1.0) for i in range(43)], "src string, dst string, relation_type string, weight double")
+    run = lambda t: sorted(tuple(r) for r in match.cypher(match.Graph(nodes, links), t).collect())
+    pairs = lambda low, high: [(f"c{i}", f"c{j}") for i in range(low, high) for j in range(low, high) if i != j]
+    assert run("MATCH (a)-[:IN]-(n)-[:IN]-(b) WHERE n.id = 'h' RETURN a.id AS a, b.id AS b") == sorted(pairs(0, 40))
+    assert run("MATCH (a:c)-[:IN]-(n)-[:IN]-(b) RETURN a.id AS a, b.id AS b") == sorted(pairs(0, 40) + pairs(40, 43))
+    # GRAPH_TABLE lets an edge repeat
+    both = match.graph_table(match.Graph(nodes, links), "MATCH (a)-[:IN]->(n)<-[:IN]-(b) COLUMNS (n.id AS n, count(*) AS k)")
+    assert sorted(tuple(r) for r in both.collect()) == [("g", 9), ("h", 1600)]
+
+
+def test_components_run_once_for_all_functions(spark, monkeypatch):
+    runs, real = [], algos.components
+    monkeypatch.setattr(match.graph_algos, "components", lambda *a: runs.append(1) or real(*a))
+    nodes = spark.createDataFrame([(x, "N", f"/{x}", "{}") for x in "abcd"], "id string, node_type string, path string, properties string")
+    links = spark.createDataFrame([("a", "b", "T", 1.0), ("c", "d", "T", 1.0)], "src string, dst string, relation_type string, weight double")
+    got = match.graph_table(match.Graph(nodes, links), "MATCH (x)-[:T]->(y) COLUMNS (x.id AS id, wcc(y) AS part, component_count() AS parts)")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "a", 2), ("c", "c", 2)] and len(runs) == 1
